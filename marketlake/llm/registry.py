@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, simhash
+from marketlake.llm import decontaminate, simhash, tokenbin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1,
+        "op2_rans_tokens": tokenbin.op2,
         "op9_simhash": simhash.op9,
     }
 
