@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, simhash, tokenbin
+from marketlake.llm import decontaminate, mixing, simhash, tokenbin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1,
         "op2_rans_tokens": tokenbin.op2,
+        "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
     }
 
