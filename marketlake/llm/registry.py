@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, mixing, simhash, tokenbin
+from marketlake.llm import decontaminate, mixing, secrets, simhash, tokenbin
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontaminate": decontaminate.op1,
         "op2_rans_tokens": tokenbin.op2,
+        "op3_secrets": secrets.op3,
         "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
     }
@@ -23,4 +24,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op3_secrets": secrets.ORACLE,
     }
