@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, mixing, secrets, simhash, tokenbin
+from marketlake.llm import decontaminate, mixing, quality, secrets, simhash, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +16,10 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": decontaminate.op1,
         "op2_rans_tokens": tokenbin.op2,
         "op3_secrets": secrets.op3,
+        "op5_host_reputation": urls.op5,
         "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
+        "op10_weak_supervision": quality.op10,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_secrets": secrets.ORACLE,
+        "op5_host_reputation": urls.ORACLE,
     }
