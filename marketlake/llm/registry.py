@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, mixing, quality, secrets, simhash, tokenbin, urls
+from marketlake.llm import decontaminate, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_rans_tokens": tokenbin.op2,
         "op3_secrets": secrets.op3,
         "op5_host_reputation": urls.op5,
+        "op7_suffix_array": suffixes.op7,
         "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
         "op10_weak_supervision": quality.op10,
