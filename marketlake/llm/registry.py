@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
+from marketlake.llm import decontaminate, language, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_decontaminate": decontaminate.op1,
         "op2_rans_tokens": tokenbin.op2,
         "op3_secrets": secrets.op3,
+        "op4_bigru_language": language.op4,
         "op5_host_reputation": urls.op5,
         "op7_suffix_array": suffixes.op7,
         "op8_mixing": mixing.op8,
