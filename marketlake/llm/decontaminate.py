@@ -284,8 +284,8 @@ def find_contamination(
     return docs
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the same columns and rows, every benchmark window cut out of the text."""
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs with the same columns and rows, every benchmark window cut out of the text; a column n_chars follows it."""
     out = fresh("contamination", docs.columns)
     found = find_contamination(docs, benchmark, text, window=window, out=out)
 
@@ -296,7 +296,10 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "tex
         return pd.Series([t if t is None or not len(s) else cut(t.encode(), [(x["first"], x["end"]) for x in s]) for t, s in zip(body, spans, strict=True)])
 
     hit = F.size(F.col(out)["spans"]) > 0
-    return found.withColumn(text, F.when(hit, cleaned(F.col(text), F.col(out)["spans"])).otherwise(F.col(text))).drop(out)
+    clean = found.withColumn(text, F.when(hit, cleaned(F.col(text), F.col(out)["spans"])).otherwise(F.col(text)))
+    if n_chars in docs.columns:
+        clean = clean.withColumn(n_chars, F.when(hit, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return clean.drop(out)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

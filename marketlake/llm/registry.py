@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, language, mixing, quality, secrets, simhash, suffixes, tokenbin, urls
+from marketlake.llm import decontaminate, language, mixing, quality, secrets, sentences, simhash, suffixes, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,10 +19,12 @@ def queries() -> dict[str, Query]:
         "op3_secrets": secrets.op3,
         "op4_bigru_language": language.op4,
         "op5_host_reputation": urls.op5,
+        "op6_sentence_spans": sentences.op6,
         "op7_suffix_array": suffixes.op7,
         "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
         "op10_weak_supervision": quality.op10,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op3_secrets": secrets.ORACLE,
         "op5_host_reputation": urls.ORACLE,
+        "op6_sentence_spans": sentences.ORACLE,
     }

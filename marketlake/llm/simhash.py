@@ -193,28 +193,34 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links."""
+def _grouped(docs: DataFrame, shingle: int, most: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """docs (uid, doc_id, text) as prints (uid, doc_id, f), and classes (f, root, first): first is the struct
+    (no_id, doc_id, uid) of the class's first document. Both are small beside the texts."""
     spark = docs.sparkSession
-    prints = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "f", shingle).drop("text")
-    path = write_shared(prints, "fingerprints")
-    prints = spark.read.parquet(path)
-    classes = prints.groupBy("f").agg(F.min("doc_id").alias("least"))
+    prints = spark.read.parquet(write_shared(fingerprints(docs, "text", "f", shingle).drop("text"), "fingerprints"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
+    classes = prints.groupBy("f").agg(first.alias("first"))
     roots = components(links(classes.select("f"), most, blocks))
     classes = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    groups = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints, classes
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links."""
+    docs = docs.select(F.lit(0).cast("long").alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    prints, classes = _grouped(docs, shingle, most, blocks)
+    groups = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     of_class = classes.select("f", "root").join(groups, "root").select("f", "component_id")
     return prints.join(of_class, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with one document of each group: that of the smallest doc_id; of rows that share it, the first text."""
-    group = near_copies(docs, doc_id, text, **how).where("component_id is null or doc_id = component_id")
-    kept = group.select(F.col("doc_id").alias("_kept_id")).distinct()
-    row = fresh("row", docs.columns)
-    same = docs.join(kept, docs[doc_id].eqNullSafe(kept["_kept_id"]), "left_semi")
-    one = same.groupBy(F.col(doc_id).alias("_of")).agg(F.min(F.struct(F.col(text).alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias(row))).alias("_m"))
-    return one.select(F.col("_m")[row].alias(row)).select(f"{row}.*")
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """docs with one document of each group: that of the smallest doc_id; of rows that share it, the first read."""
+    uid = fresh("uid", docs.columns)
+    docs = docs.withColumn(uid, F.monotonically_increasing_id())
+    _, classes = _grouped(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, most, blocks)
+    kept = classes.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid)
+    return docs.join(kept, uid, "left_semi").drop(uid)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
