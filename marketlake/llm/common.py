@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gc
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Folders used in place of spark.checkpoint.dir where the session names none, by application.
 _OWN_DIRS: dict[str, str] = {}
 
@@ -63,6 +68,14 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def per_worker(key: tuple, make: Callable[[], T]) -> T:
+    """make(), once in each Python worker process: tasks that follow in the same process find it again."""
+    cache = sys.modules.setdefault("_marketlake_per_worker", types.ModuleType("_marketlake_per_worker")).__dict__
+    if key not in cache:
+        cache[key] = make()
+    return cache[key]
+
+
 def lower_ascii(col: Column) -> Column:
     """A-Z lower-cased; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -12,9 +12,7 @@ doc_id (null first), then text; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,17 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import drop_shared, pieces, release, shuffle_partitions, table, write_shared
+from marketlake.llm.common import drop_shared, per_worker, pieces, release, shuffle_partitions, table, write_shared
 
 END_ID = 2
 SCALE_BITS = 22
-LANES = 512
+LANES = 2048
 #: Steps of all lanes between checkpoints.
 CHECKPOINT = 256
 #: Tokens after which a block ends with the document that reached them.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 #: Words that a worker remembers the ids of.
-REMEMBER = 1 << 20
+REMEMBER = 300_000
 
 LOW = np.uint64(1 << 31)
 
@@ -46,12 +44,19 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
 # --- text to ids ---------------------------------------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible character that byte-level tokenizers write for each byte: itself if printable, else from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library; each distinct word goes through the library once.
 
     The byte-level tokenizer cuts a text into pieces by its published pattern and merges inside a piece only, so the
     ids of a text are those of its pieces in turn. A space between two characters that are not white space always
-    starts a piece; texts are first split there, and only words not seen before are cut into pieces. Texts in which a
+    starts a piece; texts are first split there, and only words not seen before are cut and merged. Texts in which a
     space touches other white space are cut whole; texts that hold an added token's string go to the library whole.
     """
 
@@ -59,50 +64,72 @@ class Encoder:
 
     def __init__(self, path: str, remember: int = REMEMBER):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # for pieces that are cut already, and each seen once: the merges alone, without a cache of the library's own
+        self.merge = Tokenizer.from_file(path).model
+        self.merge._resize_cache(0)
+        self.letters = byte_letters()
+        self.id_bytes = [n.to_bytes(4, "little") for n in range(self.library.get_vocab_size())]
         self.cut = regex.compile(self.PIECES).findall
-        self.touching = re.compile(r" \s|\s ").search
-        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}  # without the space before them
+        self.old_words: dict[str, bytes] = {}  # those of the generation before; words still in use come back
+        self.short: dict[str, bytes] = {}  # pieces of one or two characters
         self.remember = remember
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.pieces]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, made in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[piece] = np.array(made.ids, "<u4").tobytes()
+    def piece(self, piece: str) -> bytes:
+        if len(piece) > 2:
+            return self.merged(piece)
+        found = self.short.get(piece)
+        if found is None:
+            found = self.short[piece] = self.merged(piece)
+        return found
+
+    def merged(self, piece: str) -> bytes:
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.merge.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
+    def word(self, word: str) -> bytes:
+        """The ids of a space and the word. Letters are one piece; so is a mark after them."""
+        if word.isalpha():
+            return self.merged(" " + word)
+        if word[-1] in ",.;:!?" and (stem := word[:-1]).isalpha():
+            known = self.words.get(stem) or self.old_words.get(stem)
+            return (known or self.merged(" " + stem)) + self.piece(word[-1])
+        return b"".join(map(self.piece, self.cut(" " + word)))
 
     def whole(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        cut = self.cut(text)
-        self.learn(set(cut))
-        return b"".join(map(self.pieces.__getitem__, cut))
+        return b"".join(map(self.piece, self.cut(text)))
 
     def __call__(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
         """For each text its ids and the end id, as little-endian unsigned 32-bit integers."""
         end = int(end_id).to_bytes(4, "little")
         if len(self.words) > self.remember:
-            self.words, self.pieces = {}, {}
-        split = [None if self.touching(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for words in split:
-            if words:
-                seen.update(words[1:])
-        new = [w for w in seen if w not in self.words]
-        cut = [self.cut(" " + w) for w in new]
-        self.learn({p for c in cut for p in c})
-        for w, c in zip(new, cut, strict=True):
-            self.words[w] = b"".join(map(self.pieces.__getitem__, c))
+            self.words, self.old_words = {}, self.words
+        split = [t.split(" ") for t in texts]
+        firsts = [words.pop(0) for words in split]
+        unknown = set().union(*split).difference(self.words)
+        again = unknown.intersection(self.old_words)
+        self.words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
+        touching = {""}  # words with white space beside their spaces are not remembered
+        for w in unknown.difference(again):
+            if not w or w[0].isspace() or w[-1].isspace():
+                touching.add(w)
+            else:
+                self.words[w] = self.word(w)
+        touching &= unknown
         ids_of = self.words.__getitem__
-        return [
-            self.whole(t) + end if words is None else b"".join([self.whole(words[0]), *map(ids_of, words[1:]), end])
-            for t, words in zip(texts, split, strict=True)
-        ]
+        out = []
+        for text, first, words in zip(texts, firsts, split, strict=True):
+            if first[-1:].isspace() or (touching and not touching.isdisjoint(words)) or any(a in text for a in self.added):
+                out.append(self.whole(text) + end)
+            else:
+                out.append(b"".join([self.whole(first), *map(ids_of, words), end]))
+        return out
 
 
 # --- the coder ------------------------------------------------------------------------------------------------------
@@ -252,12 +279,14 @@ def _ids(raw: bytes) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]):
-    total: Counter[int] = Counter()
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for raw in batch.column(0):
-            ids, n = np.unique(_ids(raw.as_py()), return_counts=True)
-            total.update(dict(zip(ids.tolist(), n.tolist(), strict=True)))
-    yield pa.RecordBatch.from_pydict({"id": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
+            n = np.bincount(_ids(raw.as_py()), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+    ids = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array(total[ids], pa.int64())})
 
 
 def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> tuple[str, str]:
@@ -267,7 +296,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     """
     spark = docs.sparkSession
     path = tokenizer or vocabulary_file()
-    staged_at = write_shared(_stage(docs.select("doc_id", "text"), lambda: Encoder(path), end_id), "ids")
+    staged_at = write_shared(_stage(docs.select("doc_id", "text"), lambda: per_worker(("encoder", path), lambda: Encoder(path)), end_id), "ids")
     release(spark)
     staged = spark.read.parquet(staged_at)
     counts = staged.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
