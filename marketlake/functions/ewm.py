@@ -1,0 +1,29 @@
+"""Exponential weights over one ticker's bars in date order. Each value depends on the one before, which no frame
+expresses, so these run on a ticker's arrays inside applyInPandas; a ticker's daily bars are some ten thousand rows at
+the very most."""
+
+from __future__ import annotations
+
+import pandas as pd
+
+
+def ema(x: pd.Series, span: int, min_periods: int = 0) -> pd.Series:
+    """e0 = x0, e = (1 - a) e + a x with a = 2 / (span + 1); missing before min_periods values."""
+    return x.ewm(span=span, adjust=False, min_periods=min_periods).mean()
+
+
+def weighted_mean(x: pd.Series, n: int) -> pd.Series:
+    """Sums of q**k x over sums of q**k with q = 1 - 1/n, for the k-th value back; missing before n values."""
+    return x.ewm(com=n - 1, min_periods=n).mean()
+
+
+def rsi(close: pd.Series, n: int) -> pd.Series:
+    """From smoothed gains and losses; 50 where there is no loss or too little history, so a pure rise has 50 too."""
+    change = close.diff()
+    gain, loss = weighted_mean(change.clip(lower=0), n), weighted_mean((-change).clip(lower=0), n)
+    return (100 - 100 / (1 + gain / loss.where(loss != 0))).fillna(50.0)
+
+
+def true_range(high: pd.Series, low: pd.Series, close: pd.Series) -> pd.Series:
+    before = close.shift()
+    return pd.concat([high - low, (high - before).abs(), (low - before).abs()], axis=1).max(axis=1)
