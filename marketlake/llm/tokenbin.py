@@ -17,20 +17,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlake.llm.common import drop_shared, per_worker, pieces, release, shuffle_partitions, table, write_shared
 
 END_ID = 2
-SCALE_BITS = 22
+SCALE_BITS = 20
 LANES = 2048
 #: Steps of all lanes between checkpoints.
 CHECKPOINT = 256
 #: Tokens after which a block ends with the document that reached them.
 BLOCK_TOKENS = 1 << 20
 #: Words that a worker remembers the ids of.
-REMEMBER = 300_000
+REMEMBER = 400_000
 
 LOW = np.uint64(1 << 31)
 
@@ -64,72 +65,125 @@ class Encoder:
 
     def __init__(self, path: str, remember: int = REMEMBER):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # for pieces that are cut already, and each seen once: the merges alone, without a cache of the library's own
-        self.merge = Tokenizer.from_file(path).model
+        self.merge = self.library.model  # pieces are cut already, and each seen once: no cache of the library's own
         self.merge._resize_cache(0)
         self.letters = byte_letters()
         self.id_bytes = [n.to_bytes(4, "little") for n in range(self.library.get_vocab_size())]
         self.cut = regex.compile(self.PIECES).findall
-        self.words: dict[str, bytes] = {}  # without the space before them
-        self.old_words: dict[str, bytes] = {}  # those of the generation before; words still in use come back
+        # words met so far (without the space before them), where their ids lie in `flat`, and when each was last met
+        self.known = pa.array([], pa.string())
+        self.flat, self.start, self.size, self.met = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.round = 0
         self.short: dict[str, bytes] = {}  # pieces of one or two characters
         self.remember = remember
 
     def piece(self, piece: str) -> bytes:
-        if len(piece) > 2:
-            return self.merged(piece)
         found = self.short.get(piece)
         if found is None:
-            found = self.short[piece] = self.merged(piece)
+            found = self.merged([piece])[0]
+            if len(piece) <= 2:
+                self.short[piece] = found
         return found
 
-    def merged(self, piece: str) -> bytes:
-        id_bytes = self.id_bytes
-        return b"".join([id_bytes[t.id] for t in self.merge.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-
-    def word(self, word: str) -> bytes:
-        """The ids of a space and the word. Letters are one piece; so is a mark after them."""
-        if word.isalpha():
-            return self.merged(" " + word)
-        if word[-1] in ",.;:!?" and (stem := word[:-1]).isalpha():
-            known = self.words.get(stem) or self.old_words.get(stem)
-            return (known or self.merged(" " + stem)) + self.piece(word[-1])
-        return b"".join(map(self.piece, self.cut(" " + word)))
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that hold no line break (or of a single piece)."""
+        if not pieces:
+            return []
+        tokenize, id_bytes, join = self.merge.tokenize, self.id_bytes, b"".join
+        shown = "\n".join(pieces).encode().decode("latin-1").translate(self.letters)
+        shown = [shown] if len(pieces) == 1 else shown.split(self.letters[10])
+        return [join([id_bytes[t.id] for t in tokenize(s)]) for s in shown]
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of a space and each of these distinct words. Letters are one piece; so is a mark after them."""
+        plain, marked, rest = [], [], []
+        for w in words:
+            if w.isalpha():
+                plain.append(w)
+            elif w[-1] in ",.;:!?" and w[:-1].isalpha():
+                marked.append(w)
+            else:
+                rest.append(w)
+        plain += {w[:-1] for w in marked}.difference(plain)
+        known = dict(zip(plain, self.merged([" " + w for w in plain]), strict=True))
+        for w in marked:
+            known[w] = known[w[:-1]] + self.piece(w[-1])
+        cut = [self.cut(" " + w) for w in rest]
+        longer = [p for p in set().union(*cut) if len(p) > 2 and "\n" not in p]
+        ids_of = dict(zip(longer, self.merged(longer), strict=True))
+        for w, c in zip(rest, cut, strict=True):
+            known[w] = b"".join([ids_of[p] if p in ids_of else self.piece(p) for p in c])
+        return list(map(known.__getitem__, words))
 
     def whole(self, text: str) -> bytes:
         if any(a in text for a in self.added):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.piece, self.cut(text)))
 
-    def __call__(self, texts: list[str], end_id: int = END_ID) -> list[bytes]:
-        """For each text its ids and the end id, as little-endian unsigned 32-bit integers."""
-        end = int(end_id).to_bytes(4, "little")
-        if len(self.words) > self.remember:
-            self.words, self.old_words = {}, self.words
-        split = [t.split(" ") for t in texts]
-        firsts = [words.pop(0) for words in split]
-        unknown = set().union(*split).difference(self.words)
-        again = unknown.intersection(self.old_words)
-        self.words.update(zip(again, map(self.old_words.__getitem__, again), strict=True))
-        touching = {""}  # words with white space beside their spaces are not remembered
-        for w in unknown.difference(again):
-            if not w or w[0].isspace() or w[-1].isspace():
-                touching.add(w)
-            else:
-                self.words[w] = self.word(w)
-        touching &= unknown
-        ids_of = self.words.__getitem__
-        out = []
-        for text, first, words in zip(texts, firsts, split, strict=True):
-            if first[-1:].isspace() or (touching and not touching.isdisjoint(words)) or any(a in text for a in self.added):
-                out.append(self.whole(text) + end)
-            else:
-                out.append(b"".join([self.whole(first), *map(ids_of, words), end]))
-        return out
+    def rows_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(rows among the known words, which of these words stand beside other white space); new words are learnt."""
+        self.round += 1
+        if len(self.known) > self.remember:  # the half met longest ago goes
+            kept = np.flatnonzero(self.met > np.median(self.met))
+            size = self.size[kept]
+            at = np.cumsum(size) - size
+            self.flat = self.flat[np.repeat(self.start[kept] - at, size) + np.arange(int(size.sum()))]
+            self.known, self.start, self.size, self.met = self.known.take(pa.array(kept)), at.astype(np.int32), size, self.met[kept]
+        rows = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy().copy()
+        missing = np.flatnonzero(rows < 0)
+        words = distinct.take(pa.array(missing)).to_pylist()
+        touching = np.array([not w or w[0].isspace() or w[-1].isspace() for w in words], bool)
+        beside, fresh = missing[touching], missing[~touching]
+        made = self.learn([w for w, t in zip(words, touching.tolist(), strict=True) if not t])
+        size = np.fromiter(map(len, made), np.int32, len(made)) // 4
+        rows[fresh] = len(self.known) + np.arange(len(made))
+        rows[beside] = 0
+        self.start = np.r_[self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)]
+        self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, np.frombuffer(b"".join(made), "<u4")]
+        self.known = pa.concat_arrays([self.known, distinct.take(pa.array(fresh))])
+        self.met = np.r_[self.met, np.zeros(len(made), np.int32)]
+        self.met[rows[rows < len(self.met)]] = self.round
+        return rows, beside
+
+    def __call__(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, each with the end id; how many each text has)."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        begin = split.offsets.to_numpy().astype(np.int64)
+        begin, count = begin[:-1] - begin[0], np.diff(begin)
+        coded = pc.dictionary_encode(split.flatten())
+        index, distinct = coded.indices.to_numpy(), coded.dictionary
+        first_words = distinct.take(pa.array(index[begin])).to_pylist()
+        rows, beside = self.rows_of(distinct)
+        odd = np.zeros(len(texts), bool)  # texts to encode whole
+        if len(beside):
+            bad = np.zeros(len(distinct), bool)
+            bad[beside] = True
+            odd |= np.add.reduceat(bad[index], begin) > 0
+        for a in self.added:
+            odd |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # each text's first word has no space before it; a whole text stands in its first word's place
+        firsts = [self.whole(texts[i].as_py() if odd[i] else w) for i, w in enumerate(first_words)]
+        more = [*firsts, int(end_id).to_bytes(4, "little")]
+        more_size = np.fromiter(map(len, more), np.int32, len(more)) // 4
+        flat = np.r_[self.flat, np.frombuffer(b"".join(more), "<u4")]
+        size, start = np.r_[self.size, more_size], np.r_[self.start, (len(self.flat) + np.cumsum(more_size) - more_size).astype(np.int32)]
+        place = rows[index]
+        place[begin] = len(self.size) + np.arange(len(texts))
+        kept = ~np.repeat(odd, count)
+        kept[begin] = True
+        kept_count = np.add.reduceat(kept.astype(np.int64), begin)
+        place = np.insert(place[kept], np.cumsum(kept_count), len(size) - 1)
+        n = size[place]
+        at = np.cumsum(n, dtype=np.int64) - n
+        ids = flat[np.repeat(start[place] - at, n) + np.arange(int(n.sum()))]
+        return ids, np.add.reduceat(n.astype(np.int64), np.cumsum(kept_count + 1) - kept_count - 1)
 
 
 # --- the coder ------------------------------------------------------------------------------------------------------
@@ -235,7 +289,7 @@ def decode_block(data: bytes, model: Model, slots: np.ndarray, part: int | None
 
 # --- Spark jobs -----------------------------------------------------------------------------------------------------
 
-_STAGED = "part int, seq int, doc_ids array<bigint>, lengths array<int>, ids binary, n bigint"
+_STAGED = "part int, seq int, doc_ids array<bigint>, lengths array<int>, width int, ids binary, n bigint"
 _FILE = "part int, seq int, start bigint, doc_ids array<bigint>, lengths array<int>, block binary"
 
 
@@ -248,41 +302,47 @@ def _stage(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> Data
 
         encode, part, seq = encoder(), TaskContext.get().partitionId(), 0
         doc_ids: list = []
-        made: list[bytes] = []
+        made: list[np.ndarray] = []
         held = 0
 
         def chunk():
-            ids = np.frombuffer(b"".join(made), "<u4")
-            narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids
-            lengths = [len(m) // 4 for m in made]
-            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": lengths, "ids": bytes([narrow.itemsize]) + narrow.tobytes(), "n": len(ids)}
+            ids = np.concatenate(made)
+            narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
+            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": lengths, "width": narrow.itemsize, "ids": narrow.tobytes(), "n": len(ids)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary()), ("n", pa.int64())])
-        for batch in pieces(batches, "text", 2 << 20):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts, end_id), strict=True):
-                doc_ids.append(doc_id)
-                made.append(ids)
-                held += len(ids) // 4
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary()), ("n", pa.int64())])
+        lengths: list[int] = []
+        for batch in pieces(batches, "text", 6 << 20):
+            ids, n = encode(batch.column(1), end_id)
+            ends, names = np.cumsum(n), batch.column(0).to_pylist()
+            at = done = 0
+            while done < len(n):
+                # documents up to the one that fills the block
+                to = min(len(n), int(np.searchsorted(ends, ends[done] - n[done] + BLOCK_TOKENS - held)) + 1)
+                doc_ids += names[done:to]
+                lengths += n[done:to].tolist()
+                made.append(ids[at : ends[to - 1]])
+                held += int(ends[to - 1]) - at
+                at, done = int(ends[to - 1]), to
                 if held >= BLOCK_TOKENS:
                     yield chunk()
-                    doc_ids, made, held, seq = [], [], 0, seq + 1
+                    doc_ids, lengths, made, held, seq = [], [], [], 0, seq + 1
         if made:
             yield chunk()
 
     return docs.mapInArrow(chunks, _STAGED)
 
 
-def _ids(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+def _ids(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}")
 
 
 def _count(batches: Iterator[pa.RecordBatch]):
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0):
-            n = np.bincount(_ids(raw.as_py()), minlength=len(total))
+        for raw, width in zip(*batch.columns, strict=True):
+            n = np.bincount(_ids(raw.as_py(), width.as_py()), minlength=len(total))
             n[: len(total)] += total
             total = n
     ids = np.flatnonzero(total)
@@ -299,7 +359,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     staged_at = write_shared(_stage(docs.select("doc_id", "text"), lambda: per_worker(("encoder", path), lambda: Encoder(path)), end_id), "ids")
     release(spark)
     staged = spark.read.parquet(staged_at)
-    counts = staged.select("ids").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = staged.select("ids", "width").mapInArrow(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     model = Model.of_counts([(r["id"], r["n"]) for r in counts.collect()])
     rows = pa.table({"id": pa.array(model.symbols, pa.int64()), "freq": pa.array(model.freq.astype(np.int64))})
     model_at = write_shared(spark.createDataFrame(rows.to_pandas(), "id bigint, freq bigint").coalesce(1), "model")
@@ -316,7 +376,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
         model, starts = shared.value
         for batch in batches:
             for r in batch.to_pylist():
-                row = {"part": r["part"], "seq": r["seq"], "start": starts[r["part"]] + r["before"], "doc_ids": r["doc_ids"], "lengths": r["lengths"], "block": encode_block(_ids(r["ids"]), model)}
+                row = {"part": r["part"], "seq": r["seq"], "start": starts[r["part"]] + r["before"], "doc_ids": r["doc_ids"], "lengths": r["lengths"], "block": encode_block(_ids(r["ids"], r["width"]), model)}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("block", pa.binary())])
