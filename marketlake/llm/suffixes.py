@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import pieces, table, utf8
+from marketlake.llm.common import pieces, release, table, utf8, write_shared
 
 LENGTH = 100
 GRAM = 32
@@ -200,7 +200,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
 
     found = docs.select("uid", "text").mapInArrow(find, "h bigint, uid bigint, at int")
     buckets = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = found.join(buckets, "h").groupBy("uid").agg(F.collect_list(F.struct("at", (F.col("n") > hot).alias("hot"))).alias("open"))
+    open_ = found.join(buckets, "h").withColumn("hot", F.col("n") > hot).groupBy("uid", "hot").agg(F.collect_list("at").alias("open"))
+    # written, so that the shuffles of all anchors are done with before texts move
+    open_ = spark.read.parquet(write_shared(open_, "open-anchors"))
+    release(spark)
 
     def records(batches):
         for batch in pieces(batches, "text", 4 << 20):
@@ -208,23 +211,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             text, at, first, last, h = all_anchors(texts, powers.value, length, gram)
             marks = batch.column(3)
             owner = np.repeat(np.arange(len(marks)), np.diff(marks.offsets.to_numpy()))
-            fields = marks.flatten()
-            place, is_hot = fields.field(0).to_numpy().astype(np.int64), fields.field(1).to_numpy(zero_copy_only=False)
+            place = marks.flatten().to_numpy().astype(np.int64)
             wide = np.int64(1) << 40
-            key, wanted = text * wide + at, owner * wide + place
-            by = np.argsort(wanted)
-            slot = np.minimum(np.searchsorted(wanted[by], key), max(0, len(by) - 1))
-            kept = wanted[by][slot] == key if len(by) else np.zeros(len(key), bool)
-            hot_row = is_hot[by][slot][kept] if len(by) else np.zeros(0, bool)
+            kept = np.isin(text * wide + at, owner * wide + place)
             t, a, f, l = text[kept], at[kept], first[kept], last[kept]
             body = [texts[i][b : e + length] for i, b, e in zip(t.tolist(), f.tolist(), l.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(h[kept].view(np.int64)), batch.column(1).take(pa.array(t)), batch.column(0).take(pa.array(t)), pa.array(f.astype(np.int32)),
-                pa.array((a - f).astype(np.int32)), pa.array((a - l).astype(np.int32)), pa.array(body, pa.binary()), pa.array(hot_row, pa.bool_()),
-            ], names=["h", "doc_id", "uid", "first", "lead", "tail", "body", "hot"])
+                pa.array((a - f).astype(np.int32)), pa.array((a - l).astype(np.int32)), pa.array(body, pa.binary()),
+            ], names=["h", "doc_id", "uid", "first", "lead", "tail", "body"])
 
-    made = docs.join(open_, "uid").select("uid", "doc_id", "text", "open").mapInArrow(records, _RECORD + ", hot boolean")
-    cold = made.where("not hot").drop("hot").repartition(F.col("h")).sortWithinPartitions("h", F.col("doc_id").asc_nulls_first(), "uid", "first")
+    def made(marks: DataFrame) -> DataFrame:
+        return docs.join(marks, "uid").select("uid", "doc_id", "text", "open").mapInArrow(records, _RECORD)
+
+    cold = made(open_.where("not hot")).repartition(F.col("h")).sortWithinPartitions("h", F.col("doc_id").asc_nulls_first(), "uid", "first")
 
     def refine(batches):
         held: list[pa.Table] = []
@@ -272,7 +272,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                     out.append((hashlib.blake2b(r["body"][k : k + length], digest_size=16).digest(), r["doc_id"], r["uid"], r["first"] + k))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["digest", "doc_id", "uid", "at"])
 
-    each = made.where("hot").drop("hot").mapInArrow(strings, "digest binary, doc_id bigint, uid bigint, at bigint")
+    if open_.where("hot").isEmpty():
+        return spans
+    each = made(open_.where("hot")).mapInArrow(strings, "digest binary, doc_id bigint, uid bigint, at bigint")
     earliest = each.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"))
     again = each.join(earliest, "digest").where("uid != first.uid or at != first.at")
     return spans.unionByName(again.select("uid", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
@@ -291,10 +293,12 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     """doc_id, n_bytes, spans (array<struct<begin, end>> of removed bytes) and kept (the bytes left) of every document."""
     docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spans = repeated_spans(docs, length, gram, hot).groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    spans = docs.sparkSession.read.parquet(write_shared(spans, "spans"))
+    release(docs.sparkSession)
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def cut(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2 << 20):
             texts, marks = utf8(batch, "text"), batch.column(2)
             rows, kept = [], []
             for body, found in zip(texts, marks, strict=True):
