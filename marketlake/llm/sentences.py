@@ -61,7 +61,7 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST
     """(uid, later): for documents (uid, doc_id, text), the first sentences of runs that occur earlier too."""
 
     def hashed(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             uid, doc_id, at, digest = [], [], [], []
             for u, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text"), strict=True):
                 for i, h in runs(t, run, least_words, most_words):
@@ -83,7 +83,7 @@ def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     marks = repeated_sentences(docs, run, least_words, most_words)
 
     def cut(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             n, removed, kept, folded = [], [], [], []
             for t, later in zip(utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 found = sentences(t, most_words)
