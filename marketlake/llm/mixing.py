@@ -150,7 +150,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", **how) -> DataFrame:
     """docs with the same columns, each text replaced by the words of it that the mix takes, a block's words as often
-    as its block is drawn, with the white space before each word; documents of which nothing is taken go."""
+    as its block is drawn, with the white space between them; documents of which nothing is taken go."""
     spark = docs.sparkSession
     name = fresh("row", docs.columns)
     numbered = docs.withColumn(name, F.monotonically_increasing_id())
@@ -158,7 +158,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
     parts = spark.read.parquet(write_shared(parts, "parts"))
     of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("_parts"))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    joined = F.transform("_parts", lambda p: F.repeat(F.concat(F.array_join(F.slice("_words", (p["first"] + 1).cast("int"), p["words"].cast("int")), ""), F.lit("")), p["uses"].cast("int")))
+
+    def drawn(p: Column) -> Column:
+        piece = F.array_join(F.slice("_words", (p["first"] + 1).cast("int"), p["words"].cast("int")), "")
+        return F.array_repeat(F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", ""), p["uses"].cast("int"))
+
+    joined = F.flatten(F.transform("_parts", drawn))
     out = numbered.join(of_row, name).withColumn("_words", words).withColumn(text, F.array_join(joined, " "))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
