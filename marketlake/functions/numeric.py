@@ -31,8 +31,9 @@ def text_or_null(text: Column) -> Column:
 
 
 def half_even(col: Column, digits: int = 0) -> Column:
-    """Rounded, without negative zero."""
-    return F.bround(col, digits) + F.lit(0.0)
+    """The scaled double rounded to the nearest whole, ties to even, and scaled back; without negative zero."""
+    scale = float(10**digits)
+    return F.rint(col * scale) / scale + F.lit(0.0)
 
 
 def clamp(col: Column, low: float, high: float) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from marketlake.functions.numeric import half_even
+
 KEY = ("ticker", "metric", "fiscal_year", "fiscal_period", "form_type")
 DOCUMENT = (
     "struct<facts: map<string, map<string, struct<units: map<string, array<struct<"
@@ -200,7 +202,7 @@ def mismatches(new: DataFrame, stored: DataFrame) -> DataFrame:
     same = lambda a, b: F.coalesce(a == b, F.lit(False))
     both = side(new, "new").join(side(stored, "db"), ["ticker", *on])
     c = F.col
-    differs = ~same(F.bround("value_new", 2), F.bround("value_db", 2)) | ~same(c("unit_new"), c("unit_db")) | ~same(c("period_end_new"), c("period_end_db"))
+    differs = ~same(half_even(c("value_new"), 2), half_even(c("value_db"), 2)) | ~same(c("unit_new"), c("unit_db")) | ~same(c("period_end_new"), c("period_end_db"))
     return both.where(differs)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 
 from marketlake.functions import ewm
 from marketlake.functions import windows as wf
-from marketlake.functions.numeric import present, ratio
+from marketlake.functions.numeric import half_even, present, ratio
 
 
 
@@ -90,7 +90,7 @@ def atr_percentile(with_atr: DataFrame, lookback: int = 252, least: int = 20) ->
     out = with_atr.select("ticker").distinct().join(out, "ticker", "left")
     short = F.coalesce(F.col("_have") < least, F.lit(True))
     regime = F.when(short, "normal").when(F.col("_p") < 25, "compression").when(F.col("_p") > 75, "expansion").otherwise("normal")
-    return out.select("ticker", F.when(short, 50.0).otherwise(F.bround("_p", 1)).alias("atr_percentile"), regime.alias("atr_regime"))
+    return out.select("ticker", F.when(short, 50.0).otherwise(half_even(F.col("_p"), 1)).alias("atr_percentile"), regime.alias("atr_regime"))
 
 
 def last_row(bars: DataFrame) -> DataFrame:

@@ -111,8 +111,13 @@ def _metric(value: Column, score: str, label: Column) -> Column:
     return F.struct(value.alias("value"), F.col(score).alias("score"), label.alias("label"))
 
 
+def _shown(col: Column, digits: int, sign: str = "") -> Column:
+    """Digits after the point, ties to even."""
+    return F.format_string(f"%{sign}.{digits}f", half_even(col, digits))
+
+
 def _signed(col: Column, digits: int) -> Column:
-    return F.coalesce(F.format_string(f"%+.{digits}f%%", col * 100), F.lit("N/A"))
+    return F.coalesce(F.when(col.isNotNull(), F.concat(_shown(col * 100, digits, "+"), F.lit("%"))), F.lit("N/A"))
 
 
 def record(s: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
@@ -122,17 +127,17 @@ def record(s: DataFrame, cfg: SignalConfig = SignalConfig()) -> DataFrame:
     primary = F.struct(
         _metric(half_even(c("p200") * 100, 2), "s_price", _signed(c("p200"), 1)).alias("price_vs_sma200"),
         _metric(half_even(c("slope") * 100, 2), "s_slope", _signed(c("slope"), 2)).alias("sma200_slope"),
-        _metric(half_even(c("rsi"), 1), "s_rsi", F.format_string("%.1f", c("rsi"))).alias("rsi"),
+        _metric(half_even(c("rsi"), 1), "s_rsi", _shown(c("rsi"), 1)).alias("rsi"),
         _metric(c("golden_cross"), "s_regime", yes(c("golden_cross"))).alias("golden_cross_regime"),
     )
     secondary = F.struct(
         _metric(half_even(c("roc") * 100, 2), "s_roc", _signed(c("roc"), 1)).alias("roc_20d"),
         _metric(half_even(c("macd"), 3), "s_macd", F.when(c("macd_bullish"), "Bullish").otherwise("Bearish")).alias("macd"),
-        _metric(half_even(c("pct_b"), 2), "s_bb", F.coalesce(F.format_string("%.2f", c("pct_b")), F.lit("N/A"))).alias("bb_pct_b"),
+        _metric(half_even(c("pct_b"), 2), "s_bb", F.coalesce(F.when(c("pct_b").isNotNull(), _shown(c("pct_b"), 2)), F.lit("N/A"))).alias("bb_pct_b"),
         _metric(c("bb_squeeze"), "s_squeeze", yes(c("bb_squeeze"))).alias("bb_squeeze"),
     )
     confirmation = F.struct(
-        _metric(half_even(c("volume_ratio"), 2), "s_volume", F.concat(F.format_string("%.1f", c("volume_ratio")), F.lit("x avg"))).alias("volume_surge"),
+        _metric(half_even(c("volume_ratio"), 2), "s_volume", F.concat(_shown(c("volume_ratio"), 1), F.lit("x avg"))).alias("volume_surge"),
         _metric(half_even(c("obv_change"), 0), "s_obv", F.when(c("obv_change") > 0, "Rising").otherwise("Falling")).alias("obv_trend"),
     )
     part = lambda score, weight, metrics: F.struct(c(score).alias("score"), F.lit(weight).alias("weight"), metrics.alias("metrics"))

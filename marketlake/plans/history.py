@@ -217,10 +217,10 @@ TODAY = "1996-06-01"
 def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
     j = li.join(p, li["l_partkey"] == p["p_partkey"])
-    spot = p.groupBy("p_brand").agg(F.bround(F.avg("p_retailprice"), 4).alias("underlying_price")).withColumnRenamed("p_brand", "_b")
+    spot = p.groupBy("p_brand").agg(half_even(F.avg("p_retailprice"), 4).alias("underlying_price")).withColumnRenamed("p_brand", "_b")
     rows = j.select(
         F.col("p_brand").alias("ticker"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("expiration"), F.when(F.col("l_linestatus") == "F", "put").otherwise(F.when(F.col("l_linenumber") % 2 == 0, "put").otherwise("call")).alias("option_type"),
-        F.bround(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("strike"), F.col("l_quantity").cast("long").alias("volume"), (F.col("l_linenumber") * 10).cast("long").alias("open_interest"),
+        half_even(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("strike"), F.col("l_quantity").cast("long").alias("volume"), (F.col("l_linenumber") * 10).cast("long").alias("open_interest"),
         F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("implied_volatility"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(20,2)")).alias("contract_symbol"),
     )
     return rows.join(F.broadcast(spot), F.col("ticker") == F.col("_b")).drop("_b")
