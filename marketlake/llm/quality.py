@@ -69,7 +69,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs (doc_id, text) with the long columns of STATS in place of the text."""
 
     def scan(batches):
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 2 << 20):
             rows = [statistics(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", *STATS])
@@ -98,13 +98,13 @@ RULES = (
     Rule("variety", "n_words >= 50 and 100 * n_distinct >= 35 * n_words", "n_words >= 50 and 100 * n_distinct < 15 * n_words"),
 )
 
-#: Bounds of accuracies. Rules are written to fire on next to no good document; without that bound EM would take a kind
-#: of junk that only one rule sees for good text on which the rule errs.
-ON_GOOD = (0.99, 0.999)
-ON_BAD = (0.01, 0.99)
-SHARE = (0.05, 0.95)
+#: Bounds of accuracies. Rules are written to fire on next to no good document, and each kind of junk trips only some of
+#: them. Without these bounds EM takes the few documents that trip all rules for the bad ones, and the rest for good.
+ON_GOOD = (0.997, 0.9995)
+ON_BAD = (0.02, 0.8)
+SHARE = (0.3, 0.97)
 #: Where EM starts: accuracy on good and on bad documents, and the share of good ones. Rules are meant to spare the good.
-START = (0.99, 0.5, 0.8)
+START = (0.998, 0.3, 0.8)
 ROUNDS = 200
 
 
@@ -145,7 +145,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         w_good, w_bad = (good * counts)[:, None], ((1 - good) * counts)[:, None]
         # one vote of the starting kind for each class, so that a rule without votes keeps its start
         new_good = np.clip(((plus * w_good).sum(0) + START[0]) / (((plus | minus) * w_good).sum(0) + 1), *ON_GOOD)
-        new_bad = np.clip(((minus * w_bad).sum(0) + START[1]) / (((plus | minus) * w_bad).sum(0) + 1), *ON_GOOD)
+        new_bad = np.clip(((minus * w_bad).sum(0) + START[1]) / (((plus | minus) * w_bad).sum(0) + 1), *ON_BAD)
         new_bad = np.maximum(new_bad, 1 - new_good)
         new_share = float(np.clip((good * counts).sum() / total, *SHARE))
         moved = max(np.abs(new_good - on_good).max(initial=0), np.abs(new_bad - on_bad).max(initial=0), abs(new_share - share))
