@@ -231,7 +231,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 
 def classify(docs: DataFrame, net: Network | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the columns `pred` and `score`; looks at nothing but the text."""
+    """docs with the columns `pred` and `score` (others of these names go); looks at nothing but the text."""
+    docs = docs.drop(pred, score)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     made = docs.withColumn(pred, F.lit(None).cast("string")).withColumn(score, F.lit(0.0))
     if net is None:

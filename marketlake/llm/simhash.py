@@ -58,14 +58,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str, out: str, shingle: int = SHINGLE) -> DataFrame:
-    """docs with a long column `out` that holds the 64 bits."""
+    """docs with a long column `out` (another of that name goes) that holds the 64 bits."""
 
     def scan(batches):
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 2 << 20):
             prints = np.array([fingerprint(t, shingle) for t in utf8(batch, text)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints)], schema=batch.schema)
 
-    docs = docs.withColumn(out, F.lit(None).cast("long"))
+    docs = docs.drop(out).withColumn(out, F.lit(None).cast("long"))
     return docs.mapInArrow(scan, docs.schema)
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import table
+from marketlake.llm.common import table, write_shared
 
 #: (rule, verdict): host and path together, the path from the first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -96,6 +96,8 @@ def judge_pages(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str
     bare = F.regexp_replace(F.substring_index("host", "@", -1), r":\d*$", "")
     hosts = parsed.select("host").distinct().join(counts, "host", "left").select(
         "host", domain_of(bare).alias("domain"), suffix_of(bare).alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
+    # few rows beside the pages, and read once for each level above them
+    hosts = pages.sparkSession.read.parquet(write_shared(hosts, "hosts"))
     a, b = F.col("a"), F.col("b")
     known = reputations(hosts).select("host", (a / (a + b) + z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("upper"))
     rule, says = rule_of(F.col("host"), F.col("path"), rules)
