@@ -93,15 +93,17 @@ def classify(aligned: DataFrame, start: str | None = None, end: str | None = Non
     )
 
 
-def as_of(dates: DataFrame, regimes: DataFrame) -> DataFrame:
-    """dates (date) with the regime of that day or the last before it; neutral before the first.
+def as_of(asked: DataFrame, regimes: DataFrame) -> DataFrame:
+    """asked (date and more) with the regime of that day or the last before it; neutral before the first.
 
-    A union in date order filled forward: no join of every date with every regime.
+    Distinct dates, few however many rows ask, are put in line with the regimes and filled forward; no row is compared
+    with every regime.
     """
+    dates = asked.select("date").where("date is not null").distinct()
     both = regimes.select("date", "regime", F.lit(0).alias("asked")).unionByName(dates.select("date", F.lit(None).cast("string").alias("regime"), F.lit(1).alias("asked")))
     w = W.partitionBy("_all").orderBy("date", "asked").rowsBetween(W.unboundedPreceding, 0)
-    filled = both.withColumn("_all", F.lit(0)).withColumn("regime", F.last("regime", ignorenulls=True).over(w))
-    return filled.where("asked = 1").select("date", F.coalesce("regime", F.lit("neutral")).alias("regime"))
+    filled = both.withColumn("_all", F.lit(0)).withColumn("regime", F.last("regime", ignorenulls=True).over(w)).where("asked = 1").select("date", "regime")
+    return asked.drop("regime").join(filled, "date", "left").withColumn("regime", F.coalesce("regime", F.lit("neutral")))
 
 
 def with_config(dated: DataFrame) -> DataFrame:
