@@ -255,30 +255,39 @@ def _item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, out: str = "contamination", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES,
+    window: int = WINDOW, out: str = "contamination", block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, clean: bool = False,
 ) -> DataFrame:
-    """docs with a struct column `out`: n_words, spans (merged [first, end) word numbers) and item_ids (sorted strings).
+    """docs with a struct column `out` (another of that name goes): n_words, spans (merged [first, end) word numbers) and item_ids (sorted strings).
 
     A map over the documents without a shuffle. The benchmark goes to the executors in blocks of bounded bytes, one
-    pass over the documents for each; a pass adds to the spans and items of those before it.
+    pass over the documents for each; a pass adds to the spans and items of those before it. With `clean` the last pass
+    cuts the spans out of the texts too.
     """
     kind = "struct<n_words: bigint, spans: array<struct<first: int, end: int>>, item_ids: array<string>>"
-    cols = docs.columns
+    docs = docs.drop(out)
+    at = docs.columns.index(text)
     docs = docs.withColumn(out, F.expr(f"cast(null as {kind})"))
-    for items in _item_blocks(benchmark, item_id, item_text, block_bytes):
+    blocks = _item_blocks(benchmark, item_id, item_text, block_bytes)
+    items = next(blocks)
+    while items is not None:
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
+        items = next(blocks, None)
 
-        def scan(batches, phrases=phrases):
+        def scan(batches, phrases=phrases, cutting=clean and items is None):
             for batch in pieces(batches, text, shard_bytes):
-                old = batch.column(batch.num_columns - 1)
-                found = search(utf8(batch, text), phrases.value)
-                rows = [
-                    {"n_words": n, "spans": [{"first": b, "end": e} for b, e in s], "item_ids": names} if prior is None else
-                    {"n_words": n, "spans": [{"first": b, "end": e} for b, e in merge(s + [(x["first"], x["end"]) for x in prior["spans"]])], "item_ids": sorted({*names, *prior["item_ids"]})}
-                    for (n, s, names), prior in zip(found, old.to_pylist(), strict=True)
-                ]
-                new = pa.array(rows, old.type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], new], schema=batch.schema)
+                bodies, cols = utf8(batch, text), batch.columns
+                rows = []
+                for (n, spans, names), prior in zip(search(bodies, phrases.value), cols[-1].to_pylist(), strict=True):
+                    if prior is not None:
+                        spans = merge(spans + [(x["first"], x["end"]) for x in prior["spans"]])
+                        names = sorted({*names, *prior["item_ids"]})
+                    rows.append({"n_words": n, "spans": [{"first": b, "end": e} for b, e in spans], "item_ids": names})
+                cols[-1] = pa.array(rows, cols[-1].type)
+                if cutting:
+                    hit = [[(x["first"], x["end"]) for x in r["spans"]] for r in rows]
+                    texts = [cut(t, h) if h else old.as_py() for t, h, old in zip(bodies, hit, cols[at], strict=True)]
+                    cols[at] = pa.array(texts, cols[at].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
         docs = docs.mapInArrow(scan, docs.schema)
     return docs
@@ -287,17 +296,9 @@ def find_contamination(
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
     """docs with the same columns and rows, every benchmark window cut out of the text; a column n_chars follows it."""
     out = fresh("contamination", docs.columns)
-    found = find_contamination(docs, benchmark, text, window=window, out=out)
-
-    @F.pandas_udf("string")
-    def cleaned(body, spans):
-        import pandas as pd
-
-        return pd.Series([t if t is None or not len(s) else cut(t.encode(), [(x["first"], x["end"]) for x in s]) for t, s in zip(body, spans, strict=True)])
-
-    hit = F.size(F.col(out)["spans"]) > 0
-    clean = found.withColumn(text, F.when(hit, cleaned(F.col(text), F.col(out)["spans"])).otherwise(F.col(text)))
+    clean = find_contamination(docs, benchmark, text, window=window, out=out, clean=True)
     if n_chars in docs.columns:
+        hit = F.size(F.col(out)["spans"]) > 0
         clean = clean.withColumn(n_chars, F.when(hit, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
     return clean.drop(out)
 
