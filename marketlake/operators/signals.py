@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.functions import windows as wf
-from marketlake.functions.numeric import clamp, half_even, ratio
+from marketlake.functions.numeric import clamp, half_even
 from marketlake.operators import indicators as ind
 
 
