@@ -93,6 +93,18 @@ def classify(aligned: DataFrame, start: str | None = None, end: str | None = Non
     )
 
 
+def detect(bars: DataFrame, start: str, end: str, universe: DataFrame | None = None, vix: str = "^VIX", index: str = "SPY") -> DataFrame:
+    """classify() from bars alone: the volatility and index tickers, and breadth over a universe of bars if given.
+
+    Bars are read from MARGIN_DAYS before the window, for the long mean, to a few days after it.
+    """
+    inside = F.col("date").between(F.date_sub(F.lit(start).cast("date"), MARGIN_DAYS), F.date_add(F.lit(end).cast("date"), 5))
+    near = bars.where(inside)
+    level = near.where((F.col("ticker") == vix) & F.col("close").isNotNull()).select("date", F.col("close").alias("vix"))
+    trend = slope(near.where(F.col("ticker") == index).select("date", "close"))
+    return classify(align(level, trend, None if universe is None else breadth(universe.where(inside))), start, end)
+
+
 def as_of(asked: DataFrame, regimes: DataFrame) -> DataFrame:
     """asked (date and more) with the regime of that day or the last before it; neutral before the first.
 

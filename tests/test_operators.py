@@ -117,6 +117,14 @@ def test_regime_rules(spark):
         regime.align()
 
 
+def test_detect_from_bars(spark):
+    b = panel(spark, [15.0, 40.0, 25.0], "^VIX").unionByName(panel(spark, [100.0] * 3, "SPY"))
+    got = {r["date"]: r for r in regime.detect(b, str(day(1)), str(day(2)), universe=b).collect()}
+    assert sorted(got) == [day(1), day(2)]
+    assert (got[day(1)]["vix_signal"], got[day(1)]["slope_signal"], got[day(1)]["breadth_signal"]) == ("bear", "unknown", "bear")
+    assert got[day(1)]["regime"] == "bear" and got[day(2)]["vix_signal"] == "neutral"
+
+
 def test_breadth_counts_warm_up_as_below(spark):
     b = panel(spark, [1.0, 2.0, 3.0]).unionByName(panel(spark, [1.0], "B")).unionByName(panel(spark, [9.0, 1.0], "C"))
     got = {r["date"]: r["breadth"] for r in regime.breadth(b, days=2).collect()}
