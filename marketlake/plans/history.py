@@ -91,7 +91,7 @@ def bars_in_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scraped_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "part").select(F.concat(F.substring("p_name", 1, 9), F.lit(".AS ")).alias("cell"))
+    names = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(".AS ")).alias("cell"))
     junk = spark.createDataFrame([("[1]",), ("123",), ("  ",), ("BRK.B",), ("ABCDEFGHIJKLMNOP",)], "cell string")
     return mem.scraped_tickers(names.unionByName(junk), "dax40")
 
@@ -129,7 +129,7 @@ def fundamentals_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fundamentals_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents built from rows, then parsed: every observation of known tags comes back."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    o = read(spark, sf_dir, "orders")
     day = F.to_date("o_orderdate")
     obs = F.struct(F.col("o_totalprice").alias("val"), F.year(day).alias("fy"), F.lit("FY").alias("fp"), F.date_format(F.date_sub(day, 365), "yyyy-MM-dd").alias("start"), F.date_format(day, "yyyy-MM-dd").alias("end"), F.date_format(F.date_add(day, 30), "yyyy-MM-dd").alias("filed"), F.lit("10-K").alias("form"))
     tag = F.when(F.col("o_orderstatus") == "F", "SalesRevenueNet").when(F.col("o_orderstatus") == "O", "Assets").otherwise("SomethingElse")
@@ -181,7 +181,7 @@ def companies_with_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insider_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ownership documents built from order lines, parsed back: two owners on every third, none on every fifth."""
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 < 4")
+    li = read(spark, sf_dir, "lineitem")
     line = F.format_string(
         "<nonDerivativeTransaction><transactionDate><value> %s </value></transactionDate><transactionCoding><transactionCode>%s</transactionCode></transactionCoding><transactionAmounts><transactionShares><value>%s</value></transactionShares>"
         "<transactionPricePerShare>%s</transactionPricePerShare></transactionAmounts><postTransactionAmounts><sharesOwnedFollowingTransaction><value>%s</value></sharesOwnedFollowingTransaction></postTransactionAmounts>"
@@ -278,7 +278,7 @@ def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "nation").where("n_nationkey % 3 != 0").select(F.col("n_nationkey").cast("string").alias("ticker"), F.col("n_name").alias("sector"), (F.col("n_regionkey") * 1.5).alias("market_cap"))
+    c = read(spark, sf_dir, "nation").where("n_regionkey != 2").select(F.col("n_nationkey").cast("string").alias("ticker"), F.col("n_name").alias("sector"), (F.col("n_regionkey") * 1.5).alias("market_cap"))
     return lookup.sectors_and_caps(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("ticker")), c).groupBy("sector", "market_cap").agg(F.count("*").alias("n"))
 
 
@@ -350,18 +350,18 @@ SELECT ticker, coalesce(a, r) AS date_added, r AS date_removed FROM iv""",
     "coverage_gap": f"{_COVER} SELECT CAST(sum(days) AS BIGINT) AS total_days, CAST(coalesce(sum(days) FILTER (WHERE ticker IN (SELECT ticker FROM gone)), 0) AS BIGINT) AS missing_days, round_even(100.0::DOUBLE * coalesce(sum(days) FILTER (WHERE ticker IN (SELECT ticker FROM gone)), 0) / sum(days), 6) AS missing_pct FROM cd",
     "coverage_top": f"{_COVER} SELECT ticker, CAST(days AS BIGINT) AS days FROM cd WHERE ticker IN (SELECT ticker FROM gone) ORDER BY days DESC, ticker LIMIT 15",
     "bars_in_universe": f"WITH {_MEMBERS}, dy AS (SELECT ticker, a + 100 AS d FROM mb) SELECT ticker, count(*) AS n FROM dy WHERE EXISTS (SELECT 1 FROM mb WHERE mb.ticker = dy.ticker AND d >= a AND (r IS NULL OR d < r)) GROUP BY ticker",
-    "scraped_tickers": "WITH cl AS (SELECT trim(substr(p_name, 1, 9) || '.AS ') AS t FROM part UNION ALL SELECT 'BRK.B'), v AS (SELECT trim(split_part(t, '.', 1)) AS b FROM cl WHERE t <> '' AND NOT regexp_full_match(t, '\\[?[0-9]+\\]?') AND length(t) <= 15) SELECT DISTINCT b || '.DE' AS ticker FROM v WHERE b <> ''",
+    "scraped_tickers": "WITH cl AS (SELECT trim(p_name || '.AS ') AS t FROM part UNION ALL SELECT 'BRK.B'), v AS (SELECT trim(split_part(t, '.', 1)) AS b FROM cl WHERE t <> '' AND NOT regexp_full_match(t, '\\[?[0-9]+\\]?') AND length(t) <= 15) SELECT DISTINCT b || '.DE' AS ticker FROM v WHERE b <> ''",
     "fundamentals_dedup": f"{_DEDUP} SELECT * FROM fd",
     "fundamentals_pit": f"{_DEDUP} SELECT ticker, metric, count(*) AS n, max(filed_date) AS last_filed, round_even(sum(value), 2) AS value FROM fd WHERE metric IN ('A', 'R') AND filed_date <= DATE '1995-12-31' GROUP BY ticker, metric",
     "fundamentals_upsert": f"{_DEDUP} SELECT metric, fiscal_year, count(*) AS n FROM fd WHERE filed_date >= DATE '1996-01-01' GROUP BY metric, fiscal_year",
-    "fundamentals_json": "WITH x AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Revenues' WHEN 'O' THEN 'Assets' END AS metric, CASE o_orderstatus WHEN 'F' THEN 'SalesRevenueNet' WHEN 'O' THEN 'Assets' END AS source_tag, o_orderpriority AS unit, CAST(year(o_orderdate) AS INT) AS fiscal_year, CAST(o_orderdate AS DATE) + 30 AS f, o_totalprice AS v FROM orders WHERE o_orderkey % 2 = 0) SELECT metric, source_tag, unit, fiscal_year, count(*) AS n, max(f) AS last_filed, round_even(sum(v), 2) AS value FROM x WHERE metric IS NOT NULL GROUP BY ALL",
+    "fundamentals_json": "WITH x AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'Revenues' WHEN 'O' THEN 'Assets' END AS metric, CASE o_orderstatus WHEN 'F' THEN 'SalesRevenueNet' WHEN 'O' THEN 'Assets' END AS source_tag, o_orderpriority AS unit, CAST(year(o_orderdate) AS INT) AS fiscal_year, CAST(o_orderdate AS DATE) + 30 AS f, o_totalprice AS v FROM orders) SELECT metric, source_tag, unit, fiscal_year, count(*) AS n, max(f) AS last_filed, round_even(sum(v), 2) AS value FROM x WHERE metric IS NOT NULL GROUP BY ALL",
     "dup_audit": f"WITH {_FACTS} SELECT ticker, metric, fiscal_year, fiscal_period, form_type, count(*) AS n FROM fr GROUP BY ALL HAVING count(*) > 1",
     "latest_filed": f"WITH {_FACTS} SELECT ticker, max(filed_date) AS latest_filed FROM fr GROUP BY ticker",
     "reconcile": f"{_DEDUP} SELECT ticker, metric, count(*) AS n FROM fd WHERE month(filed_date) = 3 OR day(filed_date) = 9 GROUP BY ticker, metric",
     "ingest_status": f"WITH {_FACTS}, o AS (SELECT ticker, max(filed_date) AS d FROM fr GROUP BY ticker), k AS (SELECT ticker, max(filed_date) AS d FROM fr WHERE metric = 'N' GROUP BY ticker) SELECT CASE WHEN s_nationkey = 7 THEN 'no_cik' WHEN o.d <= k.d THEN 'up_to_date' ELSE 'ingest' END AS status, count(*) AS n FROM supplier LEFT JOIN o ON o.ticker = 'S' || s_suppkey LEFT JOIN k ON k.ticker = 'S' || s_suppkey GROUP BY 1",
     "star_join": "SELECT n_name AS metric, u.r_name AS unit, f.r_name AS form, t.r_name AS source_tag, count(*) AS n, round_even(sum(s_acctbal), 2) AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region u ON u.r_regionkey = CASE WHEN s_acctbal > 0 THEN s_suppkey % 7 END LEFT JOIN region f ON f.r_regionkey = s_suppkey % 5 JOIN region t ON t.r_regionkey = s_suppkey % 6 GROUP BY ALL",
     "companies_with_facts": "SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS ticker, c_nationkey AS cik FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "insider_xml": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem WHERE l_orderkey % 10 < 4),
+    "insider_xml": """WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem),
 o AS (SELECT *, CASE WHEN l_orderkey % 5 = 0 THEN 0 WHEN l_orderkey % 3 = 0 THEN 2 ELSE 1 END AS k FROM t), r AS (SELECT *, unnest(range(0, greatest(k, 1))) AS w FROM o)
 SELECT l_returnflag AS transaction_code, CASE WHEN k > 0 THEN 'CFO' END AS insider_title, k = 2 AND w = 0 AS is_director, count(*) AS n, count(*) FILTER (WHERE k > 0) AS n_named, CAST(sum(CAST(l_quantity AS INT)) AS DOUBLE) AS shares,
   CAST(sum(CASE WHEN l_linenumber <> 2 THEN l_linenumber END) AS DOUBLE) AS price, count(*) FILTER (WHERE l_linenumber <> 3) AS n_after, CAST(max(i) AS INT) AS last_index, strftime(max(l_shipdate), '%Y-%m-%d') AS last_date FROM r GROUP BY 1, 2, 3""",
@@ -374,5 +374,5 @@ SELECT l_returnflag AS transaction_code, CASE WHEN k > 0 THEN 'CFO' END AS insid
     "archive_range": f"WITH {_NEWS} SELECT snapshot_date, count(*) AS n, count(DISTINCT ticker) AS tickers FROM nw WHERE snapshot_date BETWEEN (SELECT min(snapshot_date) FROM nw) + 5 AND (SELECT min(snapshot_date) FROM nw) + 12 GROUP BY snapshot_date",
     "news_json": "SELECT event_type AS headline, count(*) AS n, count(*) FILTER (WHERE event_id % 3 <> 0) AS n_dated, max(CASE WHEN event_id % 3 <> 0 THEN CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) END) AS last_seen FROM events WHERE user_id % 50 <> 0 GROUP BY event_type",
     "props_json": "SELECT TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round_even(sum(value), 3) + 0.0 AS value FROM events GROUP BY 1",
-    "sector_lookup": "SELECT coalesce(n_name, 'Unknown') AS sector, n_regionkey * 1.5::DOUBLE AS market_cap, count(*) AS n FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 3 <> 0 GROUP BY 1, 2",
+    "sector_lookup": "SELECT coalesce(n_name, 'Unknown') AS sector, n_regionkey * 1.5::DOUBLE AS market_cap, count(*) AS n FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2 GROUP BY 1, 2",
 }
