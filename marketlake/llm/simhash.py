@@ -3,9 +3,9 @@
 Fingerprints are computed in a map over the documents. From there on only distinct fingerprints are joined, so copies
 of a text cost one row. A fingerprint is split into blocks; two that differ in at most `most` bits agree on at least
 blocks - most of them, so each choice of that many blocks is a key, and every close pair meets under some key. Inside a
-key the task verifies Hamming distances tile by tile and passes on a spanning forest of the links, not the pairs. Keys
-with many fingerprints are split further by pigeonhole on the bits that are still free, and only what is left dense
-is compared tile by tile, each pair of tiles in a group of its own.
+key the task verifies Hamming distances tile by tile and passes on a spanning forest of the links, not the pairs. A key
+with more fingerprints than a tile is dealt over tiles, and each pair of tiles is a group of its own, so that no task
+holds more than two tiles.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle of them all; repeated rows keep their own rows and share a component; a null doc_id stays and its
@@ -220,7 +220,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     docs = docs.withColumn(uid, F.monotonically_increasing_id())
     _, classes = _grouped(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, most, blocks)
     kept = classes.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid)
-    return docs.join(kept, uid, "left_semi").drop(uid)
+    # the kept rows grow with the documents, so they are never broadcast, at any size
+    return docs.join(kept.hint("merge"), uid, "left_semi").drop(uid)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

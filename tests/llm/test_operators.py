@@ -2,7 +2,6 @@
 empty tables and columns whose names clash with an operator's own."""
 
 import collections
-import hashlib
 import random
 import re
 import zlib
