@@ -12,7 +12,6 @@ item ids count once; repeated documents each get their own row; empty tables giv
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

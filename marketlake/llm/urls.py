@@ -73,18 +73,19 @@ def concentration(groups: DataFrame, n: str, good: str, mean: str) -> Column:
 def reputations(hosts: DataFrame) -> DataFrame:
     """hosts (host, domain, suffix, n, good) with the posterior `a`, `b` of each host's share of good pages."""
 
-    def level(groups: DataFrame, parent: str) -> DataFrame:
-        """groups with n, good and the prior mean `parent`; adds the posterior mean and the concentration."""
-        k = groups.where("n > 0").agg(concentration(groups, "n", "good", parent).alias("k"))
-        return groups.crossJoin(F.broadcast(k)).withColumn("post", (F.col(parent) * F.col("k") + F.col("good")) / (F.col("k") + F.col("n")))
+    def level(groups: DataFrame, parent: Column) -> DataFrame:
+        """groups with n, good and the prior mean `parent`; adds `post`, the posterior mean, and `k`, the concentration."""
+        groups = groups.withColumn("parent", parent)
+        k = groups.where("n > 0").agg(concentration(groups, "n", "good", "parent")).first()[0]
+        return groups.withColumn("k", F.lit(float(k))).withColumn("post", (F.col("parent") * F.col("k") + F.col("good")) / (F.col("k") + F.col("n")))
 
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("whole"))
-    suffixes = level(suffixes.crossJoin(F.broadcast(whole)), "whole").select("suffix", F.col("post").alias("of_suffix"))
-    domains = level(domains.join(suffixes, "suffix"), "of_suffix").select("domain", F.col("post").alias("of_domain"))
-    found = level(hosts.join(domains, "domain"), "of_domain")
-    return found.select("host", "n", "good", (F.col("of_domain") * F.col("k") + F.col("good")).alias("a"), ((1 - F.col("of_domain")) * F.col("k") + F.col("n") - F.col("good")).alias("b"))
+    n, good = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    suffixes = level(suffixes, F.lit((good + 1) / (n + 2))).select("suffix", F.col("post").alias("of_suffix"))
+    domains = level(domains.join(suffixes, "suffix"), F.col("of_suffix")).select("domain", F.col("post").alias("of_domain"))
+    found = level(hosts.join(domains, "domain"), F.col("of_domain"))
+    return found.select("host", "n", "good", (F.col("parent") * F.col("k") + F.col("good")).alias("a"), ((1 - F.col("parent")) * F.col("k") + F.col("n") - F.col("good")).alias("b"))
 
 
 def judge_pages(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, floor: float = FLOOR) -> DataFrame:
