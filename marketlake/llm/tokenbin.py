@@ -289,7 +289,7 @@ def decode_block(data: bytes, model: Model, slots: np.ndarray, part: int | None
 
 # --- Spark jobs -----------------------------------------------------------------------------------------------------
 
-_STAGED = "part int, seq int, doc_ids array<bigint>, lengths array<int>, width int, ids binary, n bigint"
+_STAGED = "part int, seq int, before bigint, doc_ids array<bigint>, lengths array<int>, width int, ids binary, n bigint"
 _FILE = "part int, seq int, start bigint, doc_ids array<bigint>, lengths array<int>, block binary"
 
 
@@ -303,15 +303,15 @@ def _stage(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> Data
         encode, part, seq = encoder(), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         made: list[np.ndarray] = []
-        held = 0
+        held = before = 0  # tokens in the chunk, and in this partition before it
 
         def chunk():
             ids = np.concatenate(made)
             narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4")
-            row = {"part": part, "seq": seq, "doc_ids": doc_ids, "lengths": lengths, "width": narrow.itemsize, "ids": narrow.tobytes(), "n": len(ids)}
+            row = {"part": part, "seq": seq, "before": before, "doc_ids": doc_ids, "lengths": lengths, "width": narrow.itemsize, "ids": narrow.tobytes(), "n": len(ids)}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary()), ("n", pa.int64())])
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("width", pa.int32()), ("ids", pa.binary()), ("n", pa.int64())])
         lengths: list[int] = []
         for batch in pieces(batches, "text", 6 << 20):
             ids, n = encode(batch.column(1), end_id)
@@ -327,6 +327,7 @@ def _stage(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> Data
                 at, done = int(ends[to - 1]), to
                 if held >= BLOCK_TOKENS:
                     yield chunk()
+                    before += held
                     doc_ids, lengths, made, held, seq = [], [], [], 0, seq + 1
         if made:
             yield chunk()
@@ -334,6 +335,12 @@ def _stage(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> Data
     return docs.mapInArrow(chunks, _STAGED)
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows as dicts, one in Python at a time: each holds megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _ids(raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}")
 
@@ -363,24 +370,21 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
     model = Model.of_counts([(r["id"], r["n"]) for r in counts.collect()])
     rows = pa.table({"id": pa.array(model.symbols, pa.int64()), "freq": pa.array(model.freq.astype(np.int64))})
     model_at = write_shared(spark.createDataFrame(rows.to_pandas(), "id bigint, freq bigint").coalesce(1), "model")
-    before, starts = 0, {}
+    total, starts = 0, {}
     for r in sorted(staged.groupBy("part").agg(F.sum("n").alias("n")).collect()):
-        starts[r["part"]] = before
-        before += r["n"]
+        starts[r["part"]] = total
+        total += r["n"]
     shared = spark.sparkContext.broadcast((model, starts))
-    order = staged.select("part", "seq", "n")
-    at = order.alias("a").join(order.alias("b"), F.expr("a.part = b.part and b.seq < a.seq"), "left")
-    at = at.groupBy("a.part", "a.seq").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
 
     def encode(batches):
         model, starts = shared.value
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _one_by_one(batch):
                 row = {"part": r["part"], "seq": r["seq"], "start": starts[r["part"]] + r["before"], "doc_ids": r["doc_ids"], "lengths": r["lengths"], "block": encode_block(_ids(r["ids"], r["width"]), model)}
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("block", pa.binary())])
-    blocks = staged.join(F.broadcast(at) if before < BLOCK_TOKENS << 16 else at, ["part", "seq"]).mapInArrow(encode, _FILE)
+    blocks = staged.mapInArrow(encode, _FILE)
     blocks_at = write_shared(blocks, "tokens", "none")
     drop_shared(spark, staged_at)
     return blocks_at, model_at
@@ -397,7 +401,7 @@ def read_tokens(spark: SparkSession, paths: tuple[str, str], with_ids: bool = Fa
     def decode(batches):
         slots = None
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in _one_by_one(batch):
                 slots = model.value.slots() if slots is None else slots
                 ids = decode_block(r["block"], model.value, slots).astype("<u4")
                 at, raw = 0, memoryview(ids.tobytes())
