@@ -159,12 +159,13 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
     of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("_parts"))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
-    def drawn(p: Column) -> Column:
-        piece = F.array_join(F.slice("_words", (p["first"] + 1).cast("int"), p["words"].cast("int")), "")
+    def drawn(p: Column, w: Column) -> Column:
+        piece = F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")
         return F.array_repeat(F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", ""), p["uses"].cast("int"))
 
-    joined = F.flatten(F.transform("_parts", drawn))
-    out = numbered.join(of_row, name).withColumn("_words", words).withColumn(text, F.array_join(joined, " "))
+    # the words are bound to a lambda variable, else each part would split the text anew
+    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: drawn(p, w))), " "))[0]
+    out = numbered.join(of_row, name).withColumn(text, joined)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)
