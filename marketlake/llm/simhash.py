@@ -10,6 +10,11 @@ holds more than two tiles.
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle make
 one shingle of them all; repeated rows keep their own rows and share a component; a null doc_id stays and its
 component is the smallest other doc_id of the group (null if there is none).
+
+keep_distinct() is the rule of the pipeline's stage: documents whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more are near copies. At 0.8 two 64-bit prints differ in 10 bits and more, which pigeonhole blocks
+of a useful length cannot promise; so candidates meet under bands of MinHash values, and the similarity of each
+candidate pair is counted on the whole sets. A pair at 0.8 meets with probability 0.9995, one at 0.9 with 1 - 1e-9.
 """
 
 from __future__ import annotations
@@ -31,25 +36,37 @@ BLOCKS = 6
 #: Fingerprints of one key that a task compares at once.
 TILE = 4096
 SEED = 42
+#: The pipeline's rule: shingles of so many words, and a Jaccard similarity of LIKE[0] / LIKE[1] or more.
+LIKE_SHINGLE = 5
+LIKE = (4, 5)
+#: Bands of MinHash values, and values in a band.
+BANDS = 32
+BAND_VALUES = 7
 
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority over the bits of XXH64 of all word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of all words where they are fewer; empty without a word."""
     import xxhash
 
     words = text.translate(_FOLD).split(b" ")
     words = [w for w in words if w]
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(line, SEED)
+        return np.array([xxhash.xxh64_intdigest(line, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.r_[0, ends[:-1] + 1]
     n, digest = len(words) - shingle + 1, xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[b:e], SEED) for b, e in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(line[b:e], SEED) for b, e in zip(begins[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority over the bits of the hashes of all word shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         part = hashes[at : at + 65536]
@@ -224,6 +241,97 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     return docs.join(kept.hint("merge"), uid, "left_semi").drop(uid)
 
 
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND_VALUES, np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed key for each band of least values; none for an empty set."""
+    import xxhash
+
+    least = np.full(len(_ODD), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        part = hashes[at : at + 1024, None] ^ _MIX
+        part *= _ODD
+        np.minimum(least, part.min(0), out=least)
+    rows = least.reshape(BANDS, BAND_VALUES)
+    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), b)) for b, r in enumerate(rows)] if len(hashes) else []
+
+
+def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (uid, doc_id, text) as classes (rep, first) of equal shingle sets, and links (u, v) between their rep.
+
+    rep is the uid of a class's first document. First every class meets the first one under each of its keys; then, of
+    classes that share a key, only pairs that no link holds together yet. So a dense group costs about a link a member.
+    """
+    spark = docs.sparkSession
+
+    def scan(batches):
+        for batch in pieces(batches, "text", 2 << 20):
+            sets = [np.unique(shingle_hashes(t, LIKE_SHINGLE)) for t in utf8(batch, "text")]
+            import xxhash
+
+            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digest, keys], names=["uid", "doc_id", "digest", "keys"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = docs.select("uid", "doc_id", "text").mapInArrow(scan, f"uid bigint, doc_id {kind}, digest binary, keys array<bigint>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
+    classes = signed.groupBy("digest").agg(first.alias("first"), F.any_value("keys").alias("keys")).select(F.col("first.uid").alias("rep"), "first", "keys")
+    classes = spark.read.parquet(write_shared(classes, "classes"))
+    keyed = classes.select("rep", F.explode("keys").alias("key"))
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("u"), F.count("*").alias("n")).where("n > 1").select("key", "u")
+    met = spark.read.parquet(write_shared(keyed.join(leaders.hint("merge"), "key"), "met"))
+    linked = spark.read.parquet(write_shared(similar(docs, met.where("rep != u").select("u", F.col("rep").alias("v")).distinct()), "alike"))
+    roots = components(linked).withColumnRenamed("node", "rep")
+    rooted = met.select("key", "rep").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = spark.read.parquet(write_shared(rooted, "rooted"))
+    # keys whose members are one group already are done; so are the pairs with the first of a key
+    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("rep").alias("u"))
+    split = split.where("a != b and n > 2").select("key", F.col("u").alias("leader"))
+    left = rooted.join(split.hint("merge"), "key").where("rep != leader").select("key", "rep", "root")
+    right = left.select("key", F.col("rep").alias("v"), F.col("root").alias("other"))
+    apart = left.join(right.hint("merge"), "key").where("rep < v and root != other").select(F.col("rep").alias("u"), "v").distinct()
+    return classes.select("rep", "first"), linked.unionByName(similar(docs, apart))
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of uid, those whose whole shingle sets reach the similarity."""
+    spark = docs.sparkSession
+    pairs = spark.read.parquet(write_shared(pairs, "pairs"))
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+
+    def scan(batches):
+        for batch in pieces(batches, "text", 2 << 20):
+            sets = [np.unique(shingle_hashes(t, LIKE_SHINGLE)).view(np.int64) for t in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "s"])
+
+    texts = docs.select("uid", "text").join(wanted.hint("merge"), "uid", "left_semi")
+    sets = spark.read.parquet(write_shared(texts.mapInArrow(scan, "uid bigint, s array<bigint>"), "sets"))
+    both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
+    both = both.join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
+    # sizes that differ too much cannot reach it; else shared / (all) >= part / whole, in whole numbers
+    part, whole = LIKE
+    near = F.expr(f"{whole} * least(size(a), size(b)) >= {part} * greatest(size(a), size(b))")
+    shared = F.size(F.array_intersect("a", "b"))
+    enough = shared * (part + whole) >= part * (F.size("a") + F.size("b"))
+    return both.where(F.when(near, enough).otherwise(False)).select("u", "v")
+
+
+def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group that links of five-word similarity hold together, chosen as by keep_one()."""
+    spark = docs.sparkSession
+    uid = fresh("uid", docs.columns)
+    docs = docs.withColumn(uid, F.monotonically_increasing_id())
+    classes, edges = alike(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    roots = components(edges).withColumnRenamed("node", "rep")
+    grouped = classes.join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    kept = grouped.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid)
+    kept = spark.read.parquet(write_shared(kept, "kept"))
+    return docs.join(kept.hint("merge"), uid, "left_semi").drop(uid)
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

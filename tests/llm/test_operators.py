@@ -418,6 +418,39 @@ def test_near_copies(spark, docs):
     assert simhash.near_copies(docs.limit(0)).count() == 0
 
 
+def test_pipeline_rule_finds_every_similar_pair(spark):
+    rng = random.Random(21)
+    rows = [(None, None), (1, ""), (2, "one two"), (3, "One  TWO")]
+    for g in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([40, 120, 400]))]
+        for k in range(rng.choice([2, 3, 12])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 5000)}"
+            rows.append((100 * (g + 1) + k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).cache()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    groups = collections.defaultdict(list)
+    for i in sets:
+        groups[find(i)].append(i)
+    want = sorted(min(i for i in g if i is not None) for g in groups.values())
+    kept = simhash.keep_distinct(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == want
+    assert len(want) < simhash.keep_one(d).count()
+    assert simhash.keep_distinct(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("tile", [4096, 8])
 def test_links_hold_dense_groups_together(spark, tile):
     rng = random.Random(12)
