@@ -1,7 +1,7 @@
 """Language ID: a bidirectional gated recurrent network over bytes labels every position; documents pool the labels.
 
 The network is trained here, in numpy, by backpropagation through time over stretches of labelled documents: a bounded
-sample, at most TRAIN_DOCS documents with the languages in even shares where they have that many. Prediction covers the
+sample, at most TRAIN_DOCS documents, of each language an even share of them or all that it has. Prediction covers the
 whole of every text: it is cut into stretches of STRETCH bytes, each read forwards and backwards from a zero state, all
 stretches of a batch side by side; the logarithms of the position probabilities are averaged over the text's letters
 (bytes outside of ASCII, and ASCII letters), and their softmax, sharpened by evidence of up to SHARPEN positions, gives
@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from marketlake.llm.common import fresh, pieces, table, utf8
 
 HIDDEN = 12
 #: Bytes that the network reads in one go.
 STRETCH = 128
-#: Documents in the training sample at most, and the first bytes of each from which stretches are drawn.
+#: Documents in the training sample at most, and the characters of each, from any place, from which stretches are drawn.
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 4096
 TRAIN_STEPS = 400
@@ -211,16 +212,23 @@ def predict(net: Network, texts: list[bytes], stretch: int = STRETCH, lanes: int
 
 
 def training_sample(docs: DataFrame, lang: str, key: Column, most: int = TRAIN_DOCS) -> list[tuple[bytes, str]]:
-    """At most `most` labelled (text prefix, language) rows: per language the share that fills an even part of them, by hash."""
+    """At most `most` labelled (stretch of text, language) rows: of each language an even part of them, or all it has, by hash.
+
+    A stretch of TRAIN_BYTES begins anywhere in its text. What a language gets depends on no other language's size.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).orderBy(lang).limit(most).collect()}
     if not counts:
         return []
     each = max(1, most // len(counts))
-    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * each / n)))]), F.col(lang))
-    hashed = F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.withColumn("_h", hashed).where(F.col("_h") < share).orderBy("_h", "text").limit(most)
-    return [(r[0].encode(), r[1]) for r in drawn.select(F.substring("text", 1, TRAIN_BYTES), lang).collect()]
+    # more rows than needed, by ten standard deviations: the window then ranks a few rows of each language, not all
+    enough = each + 10 * each**0.5 + 50
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, enough / n)))]), F.col(lang))
+    drawn = known.withColumn("_h", F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1 << 30))).where(F.col("_h") / float(1 << 30) < share)
+    start = F.pmod(F.xxhash64(F.lit(SEED + 1), key), F.greatest(F.length("text") - TRAIN_BYTES + 1, F.lit(1))) + 1
+    drawn = drawn.select(lang, "_h", F.col("text").substr(start.cast("int"), F.lit(TRAIN_BYTES)).alias("text"))
+    drawn = drawn.withColumn("_n", F.row_number().over(W.partitionBy(lang).orderBy("_h", "text"))).where(F.col("_n") <= each)
+    return [(r[0].encode(), r[1]) for r in drawn.orderBy("_h", "text", lang).select("text", lang).collect()]
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> Network | None:

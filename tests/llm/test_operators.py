@@ -225,6 +225,16 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) for i in got["doc_id"])
 
 
+def test_rare_languages_are_learnt_from(spark):
+    sizes = {"en": 30_000, "de": 30_000, "fr": 30_000, "es": 30_000, "it": 30_000, "nl": 30_000, "pt": 20_000, "eo": 60}
+    d = spark.createDataFrame(list(sizes.items()), "lang string, n int").select("lang", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
+    d = d.select(F.concat("lang", F.col("i").cast("string")).alias("doc_id"), F.concat(F.lit("start"), F.repeat(F.lit(" word"), 1000), F.lit(" end")).alias("text"), "lang")
+    rows = language.training_sample(d, "lang", F.col("doc_id"))
+    assert collections.Counter(r[1] for r in rows) == {k: min(n, 250) for k, n in sizes.items()}
+    openings = sum(r[0].startswith(b"start") for r in rows)
+    assert openings < len(rows) / 10 and all(len(r[0]) <= language.TRAIN_BYTES for r in rows)
+
+
 def test_language_edges(spark, docs):
     net = language.train([b"the cat sat on the mat", b"der hund und die katze"], ["en", "de"], steps=60, lanes=32)
     got = language.classify(docs, net)
