@@ -91,6 +91,7 @@ RULES = (
     Rule("length", "n_words >= 80", "n_words < 50"),
     Rule("word_length", "word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
     Rule("symbols", "100 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("symbol_flood", "2 * n_symbols <= n_words", "n_symbols > n_words"),
     Rule("dup_lines", "n_lines >= 2 and n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repeats", "100 * n_repeat_words <= 10 * n_words and n_words >= 20", "100 * n_repeat_words > 30 * n_words"),
     Rule("endings", "10 * n_end_lines >= 7 * n_lines and n_lines > 0", "10 * n_end_lines < 3 * n_lines"),
@@ -98,11 +99,13 @@ RULES = (
     Rule("variety", "n_words >= 50 and 100 * n_distinct >= 35 * n_words", "n_words >= 50 and 100 * n_distinct < 15 * n_words"),
 )
 
-#: Bounds of accuracies. Rules are written to fire on next to no good document, and each kind of junk trips only some of
-#: them. Without these bounds EM takes the few documents that trip all rules for the bad ones, and the rest for good.
-ON_GOOD = (0.997, 0.9995)
-ON_BAD = (0.02, 0.8)
-SHARE = (0.3, 0.97)
+#: Bounds of accuracies and of the share of good documents. They are wide: what a rule is worth is for the data to say.
+ON_GOOD = (0.5, 0.9995)
+ON_BAD = (0.02, 0.98)
+SHARE = (0.05, 0.97)
+#: Rules are written to fire on next to no good document. That belief counts as votes of the starting kind, so many for
+#: each document; a rule that fires on many documents alone outweighs it. As a share, it holds the same at any size.
+BELIEF = 0.25
 #: Where EM starts: accuracy on good and on bad documents, and the share of good ones. Rules are meant to spare the good.
 START = (0.998, 0.3, 0.8)
 ROUNDS = 200
@@ -135,16 +138,18 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     """Accuracies and share of good documents from vote patterns (rows of -1, 0, 1) and how often each occurs.
 
     A rule is never taken for its opposite: a good vote is held at least as likely on good documents as on bad ones.
+    BELIEF keeps EM from taking the few documents that trip all rules for the bad ones, and the rest for good.
     """
     n = patterns.shape[1]
     on_good, on_bad, share = np.full(n, START[0]), np.full(n, START[1]), START[2]
     plus, minus, total = patterns == 1, patterns == -1, counts.sum()
+    belief = 1 + BELIEF * total
     for _ in range(rounds if total else 0):
         odds = math.log(share / (1 - share)) + plus @ np.log(on_good / (1 - on_bad)) + minus @ np.log((1 - on_good) / on_bad)
         good = 1 / (1 + np.exp(-odds))
         w_good, w_bad = (good * counts)[:, None], ((1 - good) * counts)[:, None]
-        # one vote of the starting kind for each class, so that a rule without votes keeps its start
-        new_good = np.clip(((plus * w_good).sum(0) + START[0]) / (((plus | minus) * w_good).sum(0) + 1), *ON_GOOD)
+        # one vote of the starting kind at least for each class, so that a rule without votes keeps its start
+        new_good = np.clip(((plus * w_good).sum(0) + START[0] * belief) / (((plus | minus) * w_good).sum(0) + belief), *ON_GOOD)
         new_bad = np.clip(((minus * w_bad).sum(0) + START[1]) / (((plus | minus) * w_bad).sum(0) + 1), *ON_BAD)
         new_bad = np.maximum(new_bad, 1 - new_good)
         new_share = float(np.clip((good * counts).sum() / total, *SHARE))

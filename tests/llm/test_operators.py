@@ -514,3 +514,18 @@ def test_votes_find_the_truth():
     model = quality.expectation_maximisation(patterns, counts.astype(float))
     assert abs(model.share - truth.mean()) < 0.05
     assert np.abs(np.array(model.on_bad) - right_bad).max() < 0.12
+
+
+@pytest.mark.parametrize("share", [0.1, 0.33])
+def test_a_rule_that_good_documents_trip_loses_its_weight(share):
+    rng = np.random.default_rng(3)
+    junk = rng.random(20_000) < 0.08
+    votes = np.where(rng.random((20_000, 8)) < 0.003, -1, 1)
+    votes[junk] = np.where(rng.random((junk.sum(), 8)) < 0.4, -1, 1)
+    verse = ~junk & (rng.random(20_000) < share)
+    votes[verse, 5] = -1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    model = quality.expectation_maximisation(patterns, counts.astype(float))
+    weights = np.array(model.weights())
+    kept = np.log(model.share / (1 - model.share)) + (votes == -1) @ weights[:, 0] + (votes == 1) @ weights[:, 1] >= 0
+    assert kept[verse].mean() > 0.95 and kept[~junk].mean() > 0.95 and 1 - kept[junk].mean() > 0.85
