@@ -2,7 +2,8 @@
 
 A sentence is a stretch without line breaks up to and with its closing marks; one of more than MOST_WORDS words is cut
 every MOST_WORDS words, so that a passage of over fifty words that starts a sentence always holds a run of RUN
-sentences. A run counts if it has at least LEAST_WORDS words. Of all places in the corpus with the same run, in the
+sentences. A run counts if it has at least LEAST_WORDS words, or LEAST_BYTES bytes; a shorter one takes in the sentences
+that follow it until it does. Of all places in the corpus with the same run, in the
 order of doc_id and place, every one but the first has its sentences removed. Sentences compare with A-Z lower-cased
 and white space as single spaces.
 
@@ -26,6 +27,8 @@ from marketlake.llm.common import pieces, table, utf8
 RUN = 2
 MOST_WORDS = 25
 LEAST_WORDS = 10
+#: A run of so many bytes counts with fewer words too: scripts without spaces have a line for a word.
+LEAST_BYTES = 150
 
 _SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -44,50 +47,53 @@ def sentences(text: bytes, most_words: int = MOST_WORDS) -> list[tuple[int, int,
     return out
 
 
-def runs(text: bytes, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS) -> list[tuple[int, bytes]]:
-    """(first sentence, digest) of every run that counts."""
+def runs(text: bytes, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, digest) of every run: `run` sentences, and, to extend, those that follow until it counts."""
     import xxhash
 
     found = sentences(text, most_words)
     out = []
     for i in range(len(found) - run + 1):
-        part = found[i : i + run]
-        if sum(s[2] for s in part) >= least_words:
-            out.append((i, xxhash.xxh3_128_digest(b"\n".join([s[3] for s in part]))))
+        end, words, size = i, 0, 0
+        while end < len(found) and (end < i + run or (extend and words < least_words and size < LEAST_BYTES)):
+            words, size, end = words + found[end][2], size + len(found[end][3]), end + 1
+        if words >= least_words or (extend and size >= LEAST_BYTES):
+            out.append((i, end - i, xxhash.xxh3_128_digest(b"\n".join([s[3] for s in found[i:end]]))))
     return out
 
 
-def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS) -> DataFrame:
-    """(uid, later): for documents (uid, doc_id, text), the first sentences of runs that occur earlier too."""
+def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> DataFrame:
+    """(uid, later): for documents (uid, doc_id, text), place and length of the runs that occur earlier too."""
 
     def hashed(batches):
         for batch in pieces(batches, "text", 1 << 20):
-            uid, doc_id, at, digest = [], [], [], []
+            uid, doc_id, at, n, digest = [], [], [], [], []
             for u, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text"), strict=True):
-                for i, h in runs(t, run, least_words, most_words):
+                for i, k, h in runs(t, run, least_words, most_words, extend):
                     uid.append(u)
                     doc_id.append(d)
                     at.append(i)
+                    n.append(k)
                     digest.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(uid, pa.int64()), pa.array(at, pa.int32())], names=["digest", "doc_id", "uid", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(uid, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["digest", "doc_id", "uid", "at", "length"])
 
-    places = docs.mapInArrow(hashed, "digest binary, doc_id bigint, uid bigint, at int")
+    places = docs.mapInArrow(hashed, "digest binary, doc_id bigint, uid bigint, at int, length int")
     earliest = places.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = places.join(earliest, "digest").where("uid != first.uid or at != first.at")
-    return later.groupBy("uid").agg(F.collect_list("at").alias("later"))
+    return later.groupBy("uid").agg(F.collect_list(F.struct("at", "length")).alias("later"))
 
 
-def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS) -> DataFrame:
+def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> DataFrame:
     """doc_id, n_sentences, removed (numbers of removed sentences), kept_text and folded (the kept sentences, one a line)."""
     docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = repeated_sentences(docs, run, least_words, most_words)
+    marks = repeated_sentences(docs, run, least_words, most_words, extend)
 
     def cut(batches):
         for batch in pieces(batches, "text", 1 << 20):
             n, removed, kept, folded = [], [], [], []
             for t, later in zip(utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
                 found = sentences(t, most_words)
-                gone = sorted({i + k for i in later or () for k in range(run)})
+                gone = sorted({r["at"] + k for r in later or () for k in range(r["length"])})
                 n.append(len(found))
                 removed.append(gone)
                 at, parts = 0, []
@@ -107,7 +113,8 @@ def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cut_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # the SQL twin drops runs of fewer words than LEAST_WORDS, so the query does not extend them
+    found = cut_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
     return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2("folded", 256).alias("kept_sha256"))
 
 

@@ -278,6 +278,17 @@ def test_repeated_passages_lose_their_later_copies(spark, docs, texts):
     assert sentences.cut_sentences(docs.limit(0)).count() == 0
 
 
+def test_runs_of_short_sentences_count(spark):
+    rng = random.Random(22)
+    verse = " ".join(" ".join(rng.sample(WORDS, 4)) + "." for _ in range(13))
+    unspaced = "\n".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(20)) for _ in range(4))
+    rows = [(i, f"{prose(rng, 30)}.\n{part}\n{prose(rng, 30)}") for i, part in enumerate([verse, verse, unspaced, unspaced])]
+    got = {r["doc_id"]: r for r in sentences.cut_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[0]["removed"] and not got[2]["removed"]
+    assert len(got[1]["removed"]) == 13 and len(got[3]["removed"]) == 4
+    assert verse[:20] not in got[1]["kept_text"] and unspaced[:20] not in got[3]["kept_text"]
+
+
 def brute_suffixes(rows, length):
     seen, out = set(), []
     for doc_id, text in rows:
