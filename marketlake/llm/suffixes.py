@@ -10,32 +10,36 @@ string that starts d bytes before its anchor is refined by sorting on two pointe
 the bucket, at depth length - d, of the later offset where its anchor lies. Equal pointers mean equal bytes; hashes only
 choose anchors and deal them out.
 
-Buckets with more records than `hot` are not brought together: each of their strings becomes a row under a 128-bit
-digest of its bytes, of which the earliest is found by an aggregate that combines before the shuffle.
-
-Defined results: a null or empty text has no bytes and nothing removed; a text shorter than `length` keeps all; order is
-by doc_id (null first), then, for rows that repeat one, the order in which Spark reads them; an empty table gives no rows.
+Buckets with more records than `hot` are not brought together. Their records first lose copies: of equal ones all but the
+earliest repeat every string they hold. Then each bucket is refined as a table: the offsets d are halved, and a record
+goes to the bucket of the bytes that all its strings of one half share, `length` less the width of the half. A new bucket
+is refined in its turn, inside a task where it is small enough, else by halving again, down to single offsets, where
+equal bytes are equal strings and only the earliest stays.
+
+Defined results: a null or empty text has no bytes and nothing removed; a text shorter than `length` keeps all; a long
+text is hashed in stretches that overlap, whole; order is by doc_id (null first), then, for rows that repeat one, by a
+hash of the text; of rows equal in both one counts as the first; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import pieces, release, table, utf8, write_shared
+from marketlake.llm.common import KEY, drop_shared, keyed, nth, pieces, release, table, trim, utf8, write_shared
 
 LENGTH = 100
 GRAM = 32
-HOT = 20_000
+HOT = 10_000
 #: Bytes of text that are hashed at once, so that the arrays stay in a core's cache.
 STRETCH = 1 << 18
 #: Records that a task refines at once.
-GROUP_ROWS = 30_000
+GROUP_ROWS = 10_000
 
 _P = 0x9E3779B97F4A7C15
 _PLACE_BITS = np.uint64(20)
@@ -187,26 +191,97 @@ def later_strings(flat: np.ndarray, start: np.ndarray, bucket: np.ndarray, left:
 _RECORD = "h bigint, doc_id bigint, uid bigint, first int, lead int, tail int, body binary"
 
 
+def refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Records sorted by bucket and order in the corpus to (doc_id, uid, begin, end) of their strings that occur earlier too."""
+    held: list[pa.Table] = []
+    rows = 0
+
+    def settle(part: pa.Table) -> pa.RecordBatch:
+        h, uid, first = (part[c].to_numpy() for c in ("h", "uid", "first"))
+        again = np.r_[False, (h[1:] == h[:-1]) & (uid[1:] == uid[:-1]) & (first[1:] == first[:-1])]
+        if again.any():  # of rows equal in id and text one speaks for all
+            part = part.filter(pa.array(~again))
+            h, uid, first = h[~again], uid[~again], first[~again]
+        part = part.combine_chunks()
+        order = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        bucket = np.repeat(np.arange(len(order)), np.diff(np.r_[order, len(h)]))
+        bodies = part["body"].combine_chunks()
+        bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
+        offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
+        flat = np.frombuffer(bodies.buffers()[2] or b"\0", np.uint8)
+        lead, tail = part["lead"].to_numpy().astype(np.int64), part["tail"].to_numpy().astype(np.int64)
+        later = later_strings(flat, offsets[:-1], bucket, lead, tail, length)
+        # runs of starts, from the largest d (the earliest start) down
+        edge = np.diff(np.pad(later, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)
+        anchor = first.astype(np.int64)[row] + lead[row]
+        return pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().take(pa.array(row)), pa.array(uid[row], pa.int64()), pa.array(anchor - (high - 1)), pa.array(anchor - low + length)], names=["doc_id", "uid", "begin", "end"])
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows >= GROUP_ROWS:
+            now = pa.concat_tables(held)
+            h = now["h"].to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+            if cut:
+                yield settle(now.slice(0, cut))
+            held, rows = [now.slice(cut)], now.num_rows - cut
+    if rows:
+        yield settle(pa.concat_tables(held))
+    trim()
+
+
+def halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Records over the offsets low .. high as records over each half, in the bucket of the bytes that a half's strings share."""
+    import xxhash
+
+    for batch in pieces(batches, "body", 1 << 20):
+        out = []
+        for r in batch.to_pylist():
+            lead, tail, body, middle = r["lead"], r["tail"], r["body"], (r["low"] + r["high"]) // 2
+            for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                far, near = min(lead, high), max(tail, low)
+                if low <= high and near <= far:
+                    shared = body[lead - low : lead - high + length]
+                    h = xxhash.xxh64_intdigest(shared, low * length + high)
+                    out.append((h - (1 << 63), r["doc_id"], r["uid"], r["first"] + lead - far, far, near, body[lead - far : lead - near + length], low, high))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc_id", "uid", "first", "lead", "tail", "body", "low", "high"])
+
+
+def _later(rows: DataFrame, same: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+    """(the earliest of each group of records equal in `same`; spans of all strings of the other ones)."""
+    place = F.struct("doc_id", "uid", "first")
+    earliest = rows.groupBy(*same).agg(F.min(place).alias("place"))
+    others = rows.join(earliest, same).where("uid != place.uid or first != place.first")
+    spans = others.select("doc_id", "uid", F.col("first").cast("long").alias("begin"), (F.col("first") + F.col("lead") - F.col("tail") + length).cast("long").alias("end"))
+    return earliest.select(*same, "place.*"), spans
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(uid, begin, end): bytes of documents (uid, doc_id, text) covered by strings that start earlier too; unmerged."""
+    """(doc_id, uid, begin, end): bytes of documents of keyed() covered by strings that start earlier too; unmerged."""
     spark = docs.sparkSession
     powers = spark.sparkContext.broadcast(Powers(STRETCH + 2 * length))
 
     def find(batches):
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             text, at, _, _, h = all_anchors(utf8(batch, "text"), powers.value, length, gram)
             uid = batch.column(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(uid[text], pa.int64()), pa.array(at.astype(np.int32))], names=["h", "uid", "at"])
 
     found = docs.select("uid", "text").mapInArrow(find, "h bigint, uid bigint, at int")
     buckets = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    open_ = found.join(buckets, "h").withColumn("hot", F.col("n") > hot).groupBy("uid", "hot").agg(F.collect_list("at").alias("open"))
+    open_ = found.join(buckets, "h").withColumn("hot", F.col("n") > hot).groupBy("uid", "hot").agg(F.collect_set("at").alias("open"))
     # written, so that the shuffles of all anchors are done with before texts move
-    open_ = spark.read.parquet(write_shared(open_, "open-anchors"))
+    open_at = write_shared(open_, "open-anchors")
+    open_ = spark.read.parquet(open_at)
     release(spark)
 
     def records(batches):
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             texts = utf8(batch, "text")
             text, at, first, last, h = all_anchors(texts, powers.value, length, gram)
             marks = batch.column(3)
@@ -224,60 +299,35 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     def made(marks: DataFrame) -> DataFrame:
         return docs.join(marks, "uid").select("uid", "doc_id", "text", "open").mapInArrow(records, _RECORD)
 
-    cold = made(open_.where("not hot")).repartition(F.col("h")).sortWithinPartitions("h", F.col("doc_id").asc_nulls_first(), "uid", "first")
-
-    def refine(batches):
-        held: list[pa.Table] = []
-        rows = 0
-
-        def settle(part: pa.Table):
-            part = part.combine_chunks()
-            h = part["h"].to_numpy()
-            order = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            bucket = np.repeat(np.arange(len(order)), np.diff(np.r_[order, len(h)]))
-            bodies = part["body"].combine_chunks()
-            bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-            offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
-            flat = np.frombuffer(bodies.buffers()[2] or b"\0", np.uint8)
-            lead, tail = part["lead"].to_numpy().astype(np.int64), part["tail"].to_numpy().astype(np.int64)
-            later = later_strings(flat, offsets[:-1], bucket, lead, tail, length)
-            # runs of starts, from the largest d (the earliest start) down
-            edge = np.diff(np.pad(later, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            row, low = np.nonzero(edge == 1)
-            _, high = np.nonzero(edge == -1)
-            anchor = part["first"].to_numpy().astype(np.int64)[row] + lead[row]
-            uid = part["uid"].to_numpy()[row]
-            return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(anchor - (high - 1)), pa.array(anchor - low + length)], names=["uid", "begin", "end"])
-
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows >= GROUP_ROWS:
-                now = pa.concat_tables(held)
-                h = now["h"].to_numpy()
-                cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
-                if cut:
-                    yield settle(now.slice(0, cut))
-                held, rows = [now.slice(cut)], now.num_rows - cut
-        if rows:
-            yield settle(pa.concat_tables(held))
-
-    spans = cold.mapInArrow(refine, "uid bigint, begin bigint, end bigint")
-
-    def strings(batches):
-        for batch in pieces(batches, "body", 1 << 16):
-            out = []
-            for r in batch.to_pylist():
-                for k in range(r["lead"] - r["tail"] + 1):
-                    out.append((hashlib.blake2b(r["body"][k : k + length], digest_size=16).digest(), r["doc_id"], r["uid"], r["first"] + k))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["digest", "doc_id", "uid", "at"])
-
-    if open_.where("hot").isEmpty():
-        return spans
-    each = made(open_.where("hot")).mapInArrow(strings, "digest binary, doc_id bigint, uid bigint, at bigint")
-    earliest = each.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"))
-    again = each.join(earliest, "digest").where("uid != first.uid or at != first.at")
-    return spans.unionByName(again.select("uid", F.col("at").alias("begin"), (F.col("at") + length).alias("end")))
+    def inside(rows: DataFrame) -> DataFrame:
+        """Buckets that a task refines."""
+        rows = rows.select("h", "doc_id", "uid", "first", "lead", "tail", "body").repartition(F.col("h"))
+        rows = rows.sortWithinPartitions("h", F.col("doc_id").asc_nulls_first(), "uid", "first")
+        return rows.mapInArrow(lambda b: refine(b, length), "doc_id bigint, uid bigint, begin bigint, end bigint")
+
+    spans, tables = [inside(made(open_.where("not hot")))], [open_at]
+    if not open_.where("hot").isEmpty():
+        tables.append(write_shared(made(open_.where("hot")), "hot-records"))
+        rows, again = _later(spark.read.parquet(tables[-1]), ["h", "lead", "tail", "body"], length)
+        spans.append(again)
+        rows = rows.withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
+        kind = f"{_RECORD}, low int, high int"
+        while True:
+            tables.append(write_shared(rows.mapInArrow(lambda b: halved(b, length), kind), "halved"))
+            rows = spark.read.parquet(tables[-1])
+            sizes = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+            rows = rows.join(sizes, "h")
+            spans.append(inside(rows.where(F.col("n") <= hot)))
+            rows = rows.where(F.col("n") > hot).drop("n")
+            spans.append(_later(rows.where("low = high"), ["body", "low"], length)[1])
+            rows = rows.where("low < high")
+            if rows.isEmpty():
+                break
+    out = spark.read.parquet(write_shared(reduce(DataFrame.unionByName, spans).groupBy("doc_id", "uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans"))
+    for path in tables:
+        drop_shared(spark, path)
+    release(spark)
+    return out
 
 
 def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,17 +341,20 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (array<struct<begin, end>> of removed bytes) and kept (the bytes left) of every document."""
-    docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spans = repeated_spans(docs, length, gram, hot).groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    spans = docs.sparkSession.read.parquet(write_shared(spans, "spans"))
-    release(docs.sparkSession)
+    docs = keyed(docs, doc_id, text)
+    spans = repeated_spans(docs, length, gram, hot)
+    spans = spans.select("uid", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id"), "spans")
     span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
 
     def cut(batches):
         for batch in pieces(batches, "text", 2 << 20):
-            texts, marks = utf8(batch, "text"), batch.column(2)
+            texts, marks, times = utf8(batch, "text"), batch.column(2), batch.column(3).to_pylist()
             rows, kept = [], []
-            for body, found in zip(texts, marks, strict=True):
+            for body, found, time in zip(texts, marks, times, strict=True):
+                if time > 1 and len(body) >= length:  # the same row again: each of its strings has been there
+                    rows.append([{"begin": 0, "end": len(body)}])
+                    kept.append(b"")
+                    continue
                 if not found.is_valid or not len(found):
                     rows.append([])
                     kept.append(body)
@@ -313,7 +366,7 @@ def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
                 kept.append(b"".join(body[b:e] for b, e in zip(at, np.r_[begin, len(body)].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(rows, pa.list_(span)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    both = docs.join(spans, "uid", "left").select("doc_id", "text", "spans")
+    both = nth(docs.join(spans, KEY, "left")).select("doc_id", "text", "spans", "nth")
     return both.mapInArrow(cut, "doc_id bigint, n_bytes bigint, spans array<struct<begin: bigint, end: bigint>>, kept binary")
 
 
