@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from marketlake.llm.common import KEY, drop_shared, keyed, nth, pieces, release, table, trim, utf8, write_shared
 
@@ -38,8 +39,10 @@ GRAM = 32
 HOT = 10_000
 #: Bytes of text that are hashed at once, so that the arrays stay in a core's cache.
 STRETCH = 1 << 18
-#: Records that a task refines at once.
+#: Records that a task refines at once, but for the last bucket of them.
 GROUP_ROWS = 10_000
+#: Parts over which equal records of a hot bucket are dealt.
+SALTS = 64
 
 _P = 0x9E3779B97F4A7C15
 _PLACE_BITS = np.uint64(20)
@@ -253,10 +256,17 @@ def halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def _later(rows: DataFrame, same: list[str], length: int) -> tuple[DataFrame, DataFrame]:
-    """(the earliest of each group of records equal in `same`; spans of all strings of the other ones)."""
+    """(the earliest of each group of records equal in `same`; spans of all strings of the other ones).
+
+    A group is dealt over SALTS parts. What is not the first of its part is a later one; only the first ones are joined.
+    """
     place = F.struct("doc_id", "uid", "first")
-    earliest = rows.groupBy(*same).agg(F.min(place).alias("place"))
-    others = rows.join(earliest, same).where("uid != place.uid or first != place.first")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "first"), F.lit(SALTS)))
+    salted = salted.withColumn("turn", F.row_number().over(W.partitionBy(*same, "salt").orderBy(F.col("doc_id").asc_nulls_first(), "uid", "first")))
+    firsts = salted.where("turn = 1")
+    earliest = firsts.groupBy(*same).agg(F.min(place).alias("place"))
+    others = salted.where("turn > 1").select("doc_id", "uid", "first", "lead", "tail")
+    others = others.unionByName(firsts.join(earliest, same).where("uid != place.uid or first != place.first").select("doc_id", "uid", "first", "lead", "tail"))
     spans = others.select("doc_id", "uid", F.col("first").cast("long").alias("begin"), (F.col("first") + F.col("lead") - F.col("tail") + length).cast("long").alias("end"))
     return earliest.select(*same, "place.*"), spans
 
@@ -308,7 +318,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spans, tables = [inside(made(open_.where("not hot")))], [open_at]
     if not open_.where("hot").isEmpty():
         tables.append(write_shared(made(open_.where("hot")), "hot-records"))
-        rows, again = _later(spark.read.parquet(tables[-1]), ["h", "lead", "tail", "body"], length)
+        # of rows equal in id and text one speaks for all
+        hot_records = spark.read.parquet(tables[-1]).dropDuplicates(["h", "doc_id", "uid", "first"])
+        rows, again = _later(hot_records, ["h", "lead", "tail", "body"], length)
         spans.append(again)
         rows = rows.withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
         kind = f"{_RECORD}, low int, high int"
