@@ -8,19 +8,22 @@ rule whose regex has no mandatory trigram scans every document. Everything is SQ
 Base kinds: assign, access and hex. The method adds rules for further key formats; their spans join the base ones.
 
 Defined results: a null or empty text has no spans; documents that repeat an id are told apart by their text, and equal
-rows get equal results, each its own; an empty table gives no rows. Offsets are code points, end exclusive.
+rows get equal results, each its own; an empty table gives no rows; a text of any length is scanned whole, and the work
+grows little faster than its matches; other columns are not read. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from re import _constants as c
 from re import _parser
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import table
+from marketlake.llm.common import table, write_shared
 
 
 @dataclass(frozen=True)
@@ -190,26 +193,58 @@ def candidates(index: DataFrame, queries: dict[str, object], key: list[str]) ->
     return have.select(*key, kinds.alias("_kinds")).where(F.size("_kinds") > 0)
 
 
+def cover(query: object, sizes: dict[str, int]) -> frozenset[str]:
+    """Trigrams of which every document that meets the query holds one: those with the shortest posting lists."""
+    if isinstance(query, str):
+        return frozenset([query])
+    parts = [cover(q, sizes) for q in query[1]]
+    if query[0] == "or":
+        return frozenset().union(*parts)
+    return min(parts, key=lambda c: (sum(sizes.get(t, 0) for t in c), sorted(c)))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start, end, kind>> of a rule's leftmost non-overlapping matches that count.
 
-    The pieces between matches and the matches alternate, so a match starts after the lengths of all before it.
+    The pieces between matches and the matches alternate, so a match starts after the lengths of all before it. Lengths
+    are summed in chunks of about the root of their number: an array that grows match by match would be copied each time.
     """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.of)) if rule.of else found
-    between = F.split(text, rule.pattern, -1)
-    both = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(checked, F.length).alias("g"), F.transform(between, F.length).alias("b"))
-    both = F.slice(both, F.lit(1), F.size(found))
+    counted = (lambda m: F.length(F.regexp_extract(m, rule.pattern, rule.of))) if rule.of else F.length
+    both = F.arrays_zip(F.transform(found, F.length).alias("n"), F.transform(found, counted).alias("g"), F.transform(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), F.length).alias("b"))
+
+    def chunked(rows: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(rows))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.size(rows) - 1, width), lambda i: F.slice(rows, i + 1, width))
+        start = F.expr("cast(array() as array<int>)")
+
+        def place(acc: Column, x: Column) -> Column:
+            return F.struct((acc["at"] + x["b"] + x["n"]).alias("at"), F.array_append(acc["out"], acc["at"] + x["b"]).alias("out"))
+
+        # starts inside each chunk, and its length; then where each chunk begins
+        inner = F.transform(chunks, lambda c: F.struct(c.alias("rows"), F.aggregate(c, F.struct(F.lit(0).alias("at"), start.alias("out")), place).alias("sums")))
+
+        def begin(acc: Column, c: Column) -> Column:
+            return F.struct((acc["at"] + c["sums"]["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["b"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["g"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        def spans(chunks: Column) -> Column:
+            begins = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), start.alias("out")), begin, lambda acc: acc["out"])
+
+            def of_chunk(c: Column, at: Column) -> Column:
+                return F.zip_with(c["rows"], c["sums"]["out"], lambda x, b: F.struct((at + b).alias("start"), (at + b + x["n"]).alias("end"), (x["g"] >= rule.least).alias("ok")))
+
+            flat = F.flatten(F.zip_with(chunks, begins, of_chunk))
+            return F.transform(F.filter(flat, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
+
+        return _bound(inner, spans)
 
     none = F.expr("cast(array() as array<struct<start: int, end: int, kind: string>>)")
-    made = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, made).otherwise(none)
+    return F.when(F.size(found) > 0, _bound(both, chunked)).otherwise(none)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -217,20 +252,32 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
 
     The index is keyed by id and a hash of the text; candidates come back to the texts by a join on that key.
     """
+    spark = docs.sparkSession
     key = ["doc_id", "_hash"]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_hash", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q is not True}
-    wanted = set().union(*map(trigrams, indexed.values())) if indexed else set()
-    found = candidates(postings(docs, wanted, key, "text"), indexed, key) if indexed else None
-    if found is not None:
-        found = found.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_kinds")
-        docs = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_hash"] == found["_h"]), "left")
     rank = F.create_map(*[x for n, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(n))])
     none = F.expr("cast(array() as array<struct<start: int, end: int, kind: string>>)")
-    each = [F.when(F.array_contains("_kinds", r.kind), spans_of(F.col("text"), r)).otherwise(none) if r.kind in indexed else spans_of(F.col("text"), r) for r in rules]
-    spans = F.transform(F.array_sort(F.transform(F.flatten(F.array(*each)), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("n"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return docs.select("doc_id", spans.alias("spans"))
+
+    def spans(each: list[Column]) -> Column:
+        ranked = F.transform(F.flatten(F.array(*each)), lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("n"), s["end"].alias("end"), s["kind"].alias("kind")))
+        return F.transform(F.array_sort(ranked), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+
+    everywhere = [spans_of(F.col("text"), r) for r in rules if r.kind not in indexed]
+    if not indexed:
+        return docs.select("doc_id", spans(everywhere).alias("spans"))
+    index = spark.read.parquet(write_shared(postings(docs, set().union(*map(trigrams, indexed.values())), key, "text"), "postings"))
+    sizes = {r["trigram"]: r["n"] for r in index.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # a row for each of the rules' trigrams at most
+    needed = sorted(frozenset().union(*(cover(q, sizes) for q in indexed.values())))
+    low = F.lower("text")
+    maybe = reduce(or_, [F.contains(low, F.lit(t)) for t in needed])
+    found = candidates(index, indexed, key).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_kinds")
+    near = docs.where(maybe).join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_hash"] == found["_h"]), "left")
+    each = [F.when(F.array_contains("_kinds", r.kind), spans_of(F.col("text"), r)).otherwise(none) for r in rules if r.kind in indexed]
+    near = near.select("doc_id", spans([*each, *everywhere]).alias("spans"))
+    around = docs.where(~maybe).select("doc_id", (spans(everywhere) if everywhere else none).alias("spans"))
+    return near.unionByName(around)
 
 
 def joined(spans: Column) -> Column:
