@@ -7,7 +7,9 @@ held in a wavelet tree; phrases are found by backward search over its ranks and
 suffix positions. Overlapping occurrences merge into removal spans.
 
 Defined results: a null or wordless text has no hits and empty spans; a null or wordless item has no windows; repeated
-item ids count once; repeated documents each get their own row; empty tables give no rows or no hits.
+item ids count once; an item without an id goes by the name null; repeated documents each get their own row; a text
+longer than a shard makes one alone, whole; a column that has the name of the result goes; empty tables give no rows or
+no hits.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from marketlake.llm.common import fresh, pieces, table, utf8
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the corpus carries to the executors; more text means more passes.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of corpus text in one FM-index.
 SHARD_BYTES = 16 << 20
+#: Windows that are searched at once.
+PATTERNS = 1 << 16
 #: Every SAMPLE-th suffix position is kept for locating.
 SAMPLE = 4
 
@@ -166,23 +170,56 @@ class FMIndex:
         return out
 
 
+def _named(rows: np.ndarray) -> np.ndarray:
+    """Numbers for the windows of a sequence: equal pairs get equal numbers."""
+    return np.unique(rows, return_inverse=True)[1].astype(np.int64)
+
+
+def window_names(ids: np.ndarray, window: int) -> np.ndarray:
+    """A number for the `window` ids at each place, equal for equal windows: by pairs of names of half the length."""
+    name, length, power, size = None, 0, ids.astype(np.int64), 1
+    while size <= window:
+        if window & size:
+            if name is None:
+                name = power
+            else:
+                n = len(ids) - length - size + 1
+                name = _named(name[:n] * (len(ids) + 1) + power[length : length + n])
+            length += size
+        if 2 * size <= window:
+            power = _named(power[:-size] * (max(len(ids), int(power.max(initial=0))) + 1) + power[size:])
+        size *= 2
+    return name
+
+
 class Phrases:
-    """The windows of some benchmark items: vocabulary, windows by length, and the items of each window."""
+    """The windows of some benchmark items: vocabulary, windows by length, and the items of each window.
+
+    Windows are places in one array of word numbers, so they cost a few numbers each, not a tuple of words.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
-        for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[i : i + window]), set()).add(number[name])
-        self.by_length: list[tuple[np.ndarray, list[list[int]]]] = []
-        for n in sorted({len(w) for w in windows}):
-            same = [w for w in windows if len(w) == n]
-            self.by_length.append((np.array(same, np.int64), [sorted(windows[w]) for w in same]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
+        ids = [np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)), np.int32) for _, text in items]
+        sizes, owner = np.array([len(x) for x in ids], np.int64), np.array([number[name] for name, _ in items], np.int64)
+        self.flat = np.concatenate([*ids, np.empty(0, np.int32)])
+        begin = np.cumsum(sizes) - sizes
+        # (length, a place of each distinct window, where its items begin, items)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            of = np.flatnonzero(np.minimum(sizes, window) == n)
+            count = sizes[of] - n + 1
+            at = np.repeat(begin[of] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            name, item = window_names(self.flat, n)[at], np.repeat(owner[of], count)
+            by = np.lexsort((item, name))
+            name, item, at = name[by], item[by], at[by]
+            new = np.r_[True, (name[1:] != name[:-1]) | (item[1:] != item[:-1])]
+            name, item, at = name[new], item[new], at[new]
+            first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            self.by_length.append((n, at[first], np.r_[first, len(item)], item.astype(np.int32)))
+        self.shortest = min((n for n, *_ in self.by_length), default=0)
 
 
 def search(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
@@ -199,23 +236,28 @@ def search(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[i
                 runs += [ids[b:e], np.zeros(1, np.int64)]
                 where.append((d, b, e - b + 1))
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    found: list[set[int]] = [set() for _ in texts]
+    found: list[list[np.ndarray]] = [[] for _ in texts]
     if runs:
         doc, first, length = np.array(where, np.int64).T
         at = np.r_[0, np.cumsum(length)[:-1]]
         index = FMIndex(np.concatenate(runs), len(phrases.vocabulary) + 1)
-        for patterns, items in phrases.by_length:
-            lo, hi = index.find(patterns)
-            hit = np.flatnonzero(lo < hi)
-            n = hi[hit] - lo[hit]
-            rows = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos, which = index.locate(rows), np.repeat(hit, n)
-            run = np.searchsorted(at, pos, side="right") - 1
-            begin = first[run] + pos - at[run]
-            for d, b, w in zip(doc[run].tolist(), begin.tolist(), which.tolist(), strict=True):
-                spans[d].append((b, b + patterns.shape[1]))
-                found[d].update(items[w])
-    return [(n, merge(s), [phrases.names[i] for i in sorted(f)]) for n, s, f in zip(counts, spans, found, strict=True)]
+        for width, place, starts, items in phrases.by_length:
+            for part in range(0, len(place), PATTERNS):
+                lo, hi = index.find(phrases.flat[place[part : part + PATTERNS, None] + np.arange(width)].astype(np.int64))
+                hit = np.flatnonzero(lo < hi)
+                n = hi[hit] - lo[hit]
+                rows = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pos, which = index.locate(rows), np.repeat(hit + part, n)
+                run = np.searchsorted(at, pos, side="right") - 1
+                begin = first[run] + pos - at[run]
+                for d, b in zip(doc[run].tolist(), begin.tolist(), strict=True):
+                    spans[d].append((b, b + width))
+                # each window of a document counts once, however often it occurs there
+                seen = np.unique(np.stack([doc[run], which]), axis=1)
+                for d, w in seen.T.tolist():
+                    found[d].append(items[starts[w] : starts[w + 1]])
+    names = [np.unique(np.concatenate(f)).tolist() if f else [] for f in found]
+    return [(n, merge(s), [phrases.names[i] for i in f]) for n, s, f in zip(counts, spans, names, strict=True)]
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
