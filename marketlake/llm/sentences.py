@@ -1,17 +1,19 @@
 """Substring dedup by sliding sentence spans: hash runs of consecutive sentences, join globally, cut later copies.
 
-A sentence is a stretch without line breaks up to and with its closing marks; one of more than MOST_WORDS words is cut
-every MOST_WORDS words, so that a passage of over fifty words that starts a sentence always holds a run of RUN
-sentences. A run counts if it has at least LEAST_WORDS words, or LEAST_BYTES bytes; a shorter one takes in the sentences
-that follow it until it does. Of all places in the corpus with the same run, in the
-order of doc_id and place, every one but the first has its sentences removed. Sentences compare with A-Z lower-cased
-and white space as single spaces.
+A sentence is a stretch without line breaks up to and with its closing marks. One of more than WINDOW words is cut where
+its content says: of every WINDOW consecutive words the least one (in byte order, the first of equals) begins a piece,
+so that two texts that share a passage cut it alike, wherever it stands in their sentences. A run is RUN sentences or
+pieces and those that follow until it has LEAST_WORDS words or LEAST_BYTES bytes. Any passage of 51 words that two
+texts share holds pieces of 29 words at least that both cut alike, so it holds a run. Of all places in the corpus with
+the same run, in the order of doc_id and place, every one but the first has its sentences removed. Sentences compare
+with A-Z lower-cased and white space as single spaces.
 
 Runs are hashed to 128 bits. The earliest place of a run comes from an aggregate that combines before the shuffle; the
 join back to the places is a plain equi-join that Spark may split where one run is very common.
 
-Defined results: a null or wordless text has no sentences; a text of fewer than RUN sentences has no runs and keeps
-all; order is by doc_id (null first), then the order in which Spark reads rows; an empty table gives no rows.
+Defined results: a null or wordless text has no sentences; a text whose sentences do not make a run keeps all; a long
+text is cut and hashed whole; order is by doc_id (null first), then, for rows that repeat one, by a hash of the text;
+of rows equal in both one counts as the first; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,85 +24,119 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import pieces, table, utf8
+from marketlake.llm.common import KEY, drop_shared, keyed, nth, pieces, release, table, write_shared
 
 RUN = 2
-MOST_WORDS = 25
-LEAST_WORDS = 10
+WINDOW = 12
+LEAST_WORDS = 18
 #: A run of so many bytes counts with fewer words too: scripts without spaces have a line for a word.
 LEAST_BYTES = 150
 
-_SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*")
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ENDS = ".!?。！？؟।"
+_SENTENCE = re.compile(rf"[^{_ENDS}\n]+[{_ENDS}]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_FOLD = {c: c + 32 for c in range(65, 91)}
 
 
-def sentences(text: bytes, most_words: int = MOST_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """(begin, end, words, folded text) of each sentence, in bytes of the text."""
+def piece_starts(words: list[bytes], window: int = WINDOW) -> list[int]:
+    """Where the pieces of a sentence begin: at its first word and at the least word of each window."""
+    starts, least = [0], -1
+    for i in range(len(words) - window + 1):
+        if least < i:
+            least = min(range(i, i + window), key=words.__getitem__)
+        elif words[i + window - 1] < words[least]:
+            least = i + window - 1
+        if least > starts[-1]:
+            starts.append(least)
+    return starts
+
+
+def sentences(text: str, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
+    """(begin, end, words, folded text) of each sentence or piece, in characters of the text."""
     out = []
     for s in _SENTENCE.finditer(text):
-        words = list(_WORD.finditer(text, s.start(), s.end()))
-        for i in range(0, len(words), most_words):
-            part = words[i : i + most_words]
-            folded = b" ".join([w.group() for w in part]).translate(_FOLD)
-            out.append((part[0].start(), part[-1].end(), len(part), folded))
+        spans = [w.span() for w in _WORD.finditer(text, *s.span())]
+        if not spans:
+            continue
+        words = text[spans[0][0] : spans[-1][1]].translate(_FOLD).encode()
+        words = words.split() if len(spans) > 1 else [words]
+        if len(words) != len(spans):  # bytes.split() knows the same six spaces; a safeguard for lone surrogates
+            words = [text[b:e].translate(_FOLD).encode() for b, e in spans]
+        starts = piece_starts(words, window) if len(words) > window else [0]
+        for b, e in zip(starts, [*starts[1:], len(words)], strict=True):
+            out.append((spans[b][0], spans[e - 1][1], e - b, b" ".join(words[b:e])))
     return out
 
 
-def runs(text: bytes, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, digest) of every run: `run` sentences, and, to extend, those that follow until it counts."""
-    import xxhash
-
-    found = sentences(text, most_words)
+def runs(found: list[tuple[int, int, int, bytes]], run: int = RUN, least_words: int = LEAST_WORDS, least_bytes: int = LEAST_BYTES) -> list[tuple[int, int]]:
+    """(first sentence, number of sentences) of every run."""
     out = []
-    for i in range(len(found) - run + 1):
-        end, words, size = i, 0, 0
-        while end < len(found) and (end < i + run or (extend and words < least_words and size < LEAST_BYTES)):
+    end = words = size = 0
+    for i in range(len(found)):
+        while end < len(found) and (end < i + run or (words < least_words and size < least_bytes)):
             words, size, end = words + found[end][2], size + len(found[end][3]), end + 1
-        if words >= least_words or (extend and size >= LEAST_BYTES):
-            out.append((i, end - i, xxhash.xxh3_128_digest(b"\n".join([s[3] for s in found[i:end]]))))
+        if end < i + run or (words < least_words and size < least_bytes):
+            break  # what is left of the text makes no run
+        out.append((i, end - i))
+        words, size = words - found[i][2], size - len(found[i][3])
     return out
 
 
-def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> DataFrame:
-    """(uid, later): for documents (uid, doc_id, text), place and length of the runs that occur earlier too."""
+def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
+    """(uid, id0, no_id, later): for documents of keyed(), place and length of the runs that occur earlier too."""
+    spark = docs.sparkSession
 
     def hashed(batches):
+        import xxhash
+
         for batch in pieces(batches, "text", 1 << 20):
             uid, doc_id, at, n, digest = [], [], [], [], []
-            for u, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch, "text"), strict=True):
-                for i, k, h in runs(t, run, least_words, most_words, extend):
+            for u, d, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                found = sentences(t or "", window)
+                folded = [s[3] for s in found]
+                for i, k in runs(found, run, least_words):
                     uid.append(u)
                     doc_id.append(d)
                     at.append(i)
                     n.append(k)
-                    digest.append(h)
+                    digest.append(xxhash.xxh3_128_digest(b"\n".join(folded[i : i + k])))
             yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(uid, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["digest", "doc_id", "uid", "at", "length"])
 
-    places = docs.mapInArrow(hashed, "digest binary, doc_id bigint, uid bigint, at int, length int")
+    # written, so that texts are read and hashed once for the aggregate and the join
+    places_at = write_shared(docs.select("uid", "doc_id", "text").mapInArrow(hashed, "digest binary, doc_id bigint, uid bigint, at int, length int"), "places")
+    places = spark.read.parquet(places_at)
     earliest = places.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = places.join(earliest, "digest").where("uid != first.uid or at != first.at")
-    return later.groupBy("uid").agg(F.collect_list(F.struct("at", "length")).alias("later"))
+    later = later.groupBy("uid", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id")).agg(F.collect_list(F.struct("at", "length")).alias("later"))
+    marks = spark.read.parquet(write_shared(later, "later-runs"))
+    drop_shared(spark, places_at)
+    release(spark)
+    return marks
 
 
-def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, most_words: int = MOST_WORDS, extend: bool = True) -> DataFrame:
+def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, least_words: int = LEAST_WORDS, window: int = WINDOW) -> DataFrame:
     """doc_id, n_sentences, removed (numbers of removed sentences), kept_text and folded (the kept sentences, one a line)."""
-    docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = repeated_sentences(docs, run, least_words, most_words, extend)
+    docs = keyed(docs, doc_id, text)
+    marks = repeated_sentences(docs, run, least_words, window)
 
     def cut(batches):
         for batch in pieces(batches, "text", 1 << 20):
             n, removed, kept, folded = [], [], [], []
-            for t, later in zip(utf8(batch, "text"), batch.column(2).to_pylist(), strict=True):
-                found = sentences(t, most_words)
-                gone = sorted({r["at"] + k for r in later or () for k in range(r["length"])})
+            for t, later, time in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                t = t or ""
+                found = sentences(t, window)
+                if time > 1:  # the same row again: each of its runs has been there
+                    places = runs(found, run, least_words)
+                else:
+                    places = [(r["at"], r["length"]) for r in later or ()]
+                gone = sorted({i + k for i, length in places for k in range(length)})
                 n.append(len(found))
                 removed.append(gone)
                 at, parts = 0, []
                 for i in gone:
                     parts.append(t[at : found[i][0]])
                     at = found[i][1]
-                kept.append(b"".join([*parts, t[at:]]).decode())
+                kept.append("".join([*parts, t[at:]]))
                 drop = set(gone)
                 folded.append(b"\n".join([s[3] for i, s in enumerate(found) if i not in drop]).decode())
             yield pa.RecordBatch.from_arrays(
@@ -108,27 +144,34 @@ def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                 names=["doc_id", "n_sentences", "removed", "kept_text", "folded"],
             )
 
-    both = docs.join(marks, "uid", "left").select("doc_id", "text", "later")
+    both = nth(docs.join(marks, KEY, "left")).select("doc_id", "text", "later", "nth")
     return both.mapInArrow(cut, "doc_id bigint, n_sentences bigint, removed array<int>, kept_text string, folded string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL twin drops runs of fewer words than LEAST_WORDS, so the query does not extend them
-    found = cut_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), extend=False)
+    found = cut_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2("folded", 256).alias("kept_sha256"))
 
 
+#: The same rule in SQL: windows for the least words, cumulated words and bytes for the ends of runs.
 ORACLE = f"""
-WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\\n]+[.!?]*') AS ss FROM documents),
-u AS (SELECT doc_id, i, regexp_extract_all(ss[i], '[^\\x20\\x09-\\x0D]+') AS ws FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
-p AS (SELECT doc_id, i, c, ws[c + 1:c + {MOST_WORDS}] AS ws FROM (SELECT doc_id, i, ws, unnest(range(0, len(ws), {MOST_WORDS})) AS c FROM u)),
-n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, c) AS k, len(ws) AS w,
-  translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS f FROM p),
-r AS (SELECT doc_id, k, f || chr(10) || lead(f) OVER (PARTITION BY doc_id ORDER BY k) AS run, w + lead(w) OVER (PARTITION BY doc_id ORDER BY k) AS words FROM n),
-t AS (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM r WHERE words >= {LEAST_WORDS}),
-g AS (SELECT DISTINCT doc_id, unnest([k, k + 1]) AS k FROM t WHERE nth > 1),
-j AS (SELECT n.doc_id, count(*) AS n_sentences, count(g.k) AS n_removed, string_agg(f, chr(10) ORDER BY n.k) FILTER (WHERE g.k IS NULL) AS kept
-  FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.k = g.k GROUP BY n.doc_id)
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{_ENDS}\\n]+[{_ENDS}]*') AS ss FROM documents),
+u AS (SELECT doc_id, i, regexp_extract_all(translate(ss[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
+w AS (SELECT doc_id, i, len(ws) AS n, p, ws[p] AS w FROM (SELECT doc_id, i, ws, unnest(range(1, len(ws) + 1)) AS p FROM u)),
+m AS (SELECT doc_id, i, p, n, w, min(struct_pack(w := w, p := p)) OVER (PARTITION BY doc_id, i ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS least FROM w),
+c AS (SELECT DISTINCT doc_id, i, least.p AS p FROM m WHERE n > {WINDOW} AND p <= n - {WINDOW - 1}),
+b AS (SELECT w.doc_id, w.i, w.p, w.w, sum(CASE WHEN w.p = 1 OR c.p IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id, w.i ORDER BY w.p) AS piece
+  FROM w LEFT JOIN c ON w.doc_id = c.doc_id AND w.i = c.i AND w.p = c.p),
+f AS (SELECT doc_id, i, piece, count(*) AS words, string_agg(w, ' ' ORDER BY p) AS f FROM b GROUP BY doc_id, i, piece),
+k AS (SELECT doc_id, row_number() OVER o AS k, f, sum(words) OVER o AS cw, sum(strlen(f)) OVER o AS cb FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i, piece)),
+a AS (SELECT doc_id, count(*) AS n, list(f ORDER BY k) AS fs, list_prepend(0, list(cw ORDER BY k)) AS cw, list_prepend(0, list(cb ORDER BY k)) AS cb FROM k GROUP BY doc_id),
+e AS (SELECT doc_id, k, fs, list_filter(range(k + {RUN - 1}, least(k + {LEAST_WORDS + RUN}, n) + 1), lambda e: cw[e + 1] - cw[k] >= {LEAST_WORDS} OR cb[e + 1] - cb[k] >= {LEAST_BYTES})[1] AS e
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM a)),
+t AS (SELECT doc_id, k, e, row_number() OVER (PARTITION BY array_to_string(fs[k:e], chr(10)) ORDER BY doc_id, k) AS nth FROM e WHERE e IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, e + 1)) AS k FROM t WHERE nth > 1),
+j AS (SELECT k.doc_id, count(*) AS n_sentences, count(g.k) AS n_removed, string_agg(f, chr(10) ORDER BY k.k) FILTER (WHERE g.k IS NULL) AS kept
+  FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.k = g.k GROUP BY k.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN j ON d.doc_id = j.doc_id
 """
