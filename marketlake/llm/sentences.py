@@ -8,7 +8,8 @@ texts share holds pieces of 29 words at least that both cut alike, so it holds a
 the same run, in the order of doc_id and place, every one but the first has its sentences removed. Sentences compare
 with A-Z lower-cased and white space as single spaces.
 
-Runs are hashed to 128 bits. The earliest place of a run comes from an aggregate that combines before the shuffle; the
+Runs are hashed to 128 bits. Places whose first 64 bits occur once are settled by a count; of the others the earliest place
+of a run comes from an aggregate that combines before the shuffle; the
 join back to the places is a plain equi-join that Spark may split where one run is very common.
 
 Defined results: a null or wordless text has no sentences; a text whose sentences do not make a run keeps all; a long
@@ -19,12 +20,14 @@ of rows equal in both one counts as the first; an empty table gives no rows; oth
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import KEY, drop_shared, keyed, nth, pieces, release, table, write_shared
+from marketlake.llm.common import KEY, drop_shared, keyed, nth, pieces, release, table, utf8, write_shared
 
 RUN = 2
 WINDOW = 12
@@ -32,10 +35,12 @@ LEAST_WORDS = 18
 #: A run of so many bytes counts with fewer words too: scripts without spaces have a line for a word.
 LEAST_BYTES = 150
 
+#: Marks that close a sentence. In bytes the longer ones are first overwritten with a byte that no text holds.
 _ENDS = ".!?。！？؟।"
-_SENTENCE = re.compile(rf"[^{_ENDS}\n]+[{_ENDS}]*")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_FOLD = {c: c + 32 for c in range(65, 91)}
+_LONG_ENDS = [(m.encode(), b"\xff" * len(m.encode())) for m in _ENDS if not m.isascii()]
+_SENTENCE = re.compile(rb"[^.!?\xff\n]+[.!?\xff]*")
+_SPACE = b" \t\n\x0b\x0c\r"
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def piece_starts(words: list[bytes], window: int = WINDOW) -> list[int]:
@@ -43,28 +48,51 @@ def piece_starts(words: list[bytes], window: int = WINDOW) -> list[int]:
     starts, least = [0], -1
     for i in range(len(words) - window + 1):
         if least < i:
-            least = min(range(i, i + window), key=words.__getitem__)
+            least = words.index(min(words[i : i + window]), i)
         elif words[i + window - 1] < words[least]:
             least = i + window - 1
-        if least > starts[-1]:
+        else:
+            continue
+        if least:
             starts.append(least)
     return starts
 
 
-def sentences(text: str, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
-    """(begin, end, words, folded text) of each sentence or piece, in characters of the text."""
+def sentences(text: bytes, window: int = WINDOW) -> list[tuple[int, int, int, bytes]]:
+    """(begin, end, words, folded text) of each sentence or piece, in bytes of the text."""
     out = []
-    for s in _SENTENCE.finditer(text):
-        spans = [w.span() for w in _WORD.finditer(text, *s.span())]
-        if not spans:
+    low = marked = text.translate(_FOLD)
+    if not text.isascii():
+        for mark, instead in _LONG_ENDS:
+            marked = marked.replace(mark, instead)
+    for s in _SENTENCE.finditer(marked):
+        at, end = s.span()
+        part = low[at:end]
+        words = part.split()  # at the six spaces
+        if not words:
+            continue
+        at, part = at + len(part) - len(part.lstrip(_SPACE)), part.strip(_SPACE)
+        folded = b" ".join(words)
+        if len(words) <= window:
+            out.append((at, at + len(part), len(words), folded))
             continue
-        words = text[spans[0][0] : spans[-1][1]].translate(_FOLD).encode()
-        words = words.split() if len(spans) > 1 else [words]
-        if len(words) != len(spans):  # bytes.split() knows the same six spaces; a safeguard for lone surrogates
-            words = [text[b:e].translate(_FOLD).encode() for b, e in spans]
-        starts = piece_starts(words, window) if len(words) > window else [0]
+        starts = piece_starts(words, window)
+        ends = list(accumulate(map(len, words)))  # of words without spaces
+        plain = len(folded) == len(part)
         for b, e in zip(starts, [*starts[1:], len(words)], strict=True):
-            out.append((spans[b][0], spans[e - 1][1], e - b, b" ".join(words[b:e])))
+            begin, stop = (ends[b - 1] + b if b else 0), ends[e - 1] + e - 1
+            if plain:
+                out.append((at + begin, at + stop, e - b, folded[begin:stop]))
+            else:
+                out.append((0, 0, e - b, folded[begin:stop]))
+        if not plain:  # wide spaces: look the words up in the text
+            place, spots = 0, []
+            for w in words:
+                place = part.index(w, place)
+                spots.append((at + place, at + place + len(w)))
+                place += len(w)
+            for k, (b, e) in enumerate(zip(starts, [*starts[1:], len(words)], strict=True), len(out) - len(starts)):
+                out[k] = (spots[b][0], spots[e - 1][1], *out[k][2:])
     return out
 
 
@@ -89,27 +117,34 @@ def repeated_sentences(docs: DataFrame, run: int = RUN, least_words: int = LEAST
     def hashed(batches):
         import xxhash
 
+        digest_of = xxhash.xxh3_128_digest
         for batch in pieces(batches, "text", 1 << 20):
-            uid, doc_id, at, n, digest = [], [], [], [], []
-            for u, d, t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                found = sentences(t or "", window)
-                folded = [s[3] for s in found]
-                for i, k in runs(found, run, least_words):
-                    uid.append(u)
-                    doc_id.append(d)
+            at, n, digest, each = [], [], [], []
+            for t in utf8(batch, "text"):
+                found = sentences(t, window)
+                folded, places = [s[3] for s in found], runs(found, run, least_words)
+                each.append(len(places))
+                for i, k in places:
                     at.append(i)
                     n.append(k)
-                    digest.append(xxhash.xxh3_128_digest(b"\n".join(folded[i : i + k])))
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(doc_id, pa.int64()), pa.array(uid, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["digest", "doc_id", "uid", "at", "length"])
-
-    # written, so that texts are read and hashed once for the aggregate and the join
-    places_at = write_shared(docs.select("uid", "doc_id", "text").mapInArrow(hashed, "digest binary, doc_id bigint, uid bigint, at int, length int"), "places")
-    places = spark.read.parquet(places_at)
-    earliest = places.groupBy("digest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = places.join(earliest, "digest").where("uid != first.uid or at != first.at")
+                    digest.append(digest_of(b"\n".join(folded[i : i + k])))
+            halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            owner = pa.array(np.repeat(np.arange(len(each)), each))
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column(1).take(owner), batch.column(0).take(owner), pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["h", "rest", "doc_id", "uid", "at", "length"])
+
+    # Written, so that texts are read and hashed once. Half a digest tells first which runs may repeat; few places stay.
+    tables = [write_shared(docs.select("uid", "doc_id", "text").mapInArrow(hashed, "h bigint, rest bigint, doc_id bigint, uid bigint, at int, length int"), "places")]
+    places = spark.read.parquet(tables[0])
+    repeated = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    tables.append(write_shared(places.join(repeated.hint("merge"), "h", "left_semi"), "repeated-places"))
+    release(spark)
+    places = spark.read.parquet(tables[1])
+    earliest = places.groupBy("h", "rest").agg(F.min(F.struct("doc_id", "uid", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = places.join(earliest, ["h", "rest"]).where("uid != first.uid or at != first.at")
     later = later.groupBy("uid", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.col("doc_id").isNull().alias("no_id")).agg(F.collect_list(F.struct("at", "length")).alias("later"))
     marks = spark.read.parquet(write_shared(later, "later-runs"))
-    drop_shared(spark, places_at)
+    for path in tables:
+        drop_shared(spark, path)
     release(spark)
     return marks
 
@@ -122,8 +157,7 @@ def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     def cut(batches):
         for batch in pieces(batches, "text", 1 << 20):
             n, removed, kept, folded = [], [], [], []
-            for t, later, time in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
-                t = t or ""
+            for t, later, time in zip(utf8(batch, "text"), *(batch.column(c).to_pylist() for c in (2, 3)), strict=True):
                 found = sentences(t, window)
                 if time > 1:  # the same row again: each of its runs has been there
                     places = runs(found, run, least_words)
@@ -136,11 +170,12 @@ def cut_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                 for i in gone:
                     parts.append(t[at : found[i][0]])
                     at = found[i][1]
-                kept.append("".join([*parts, t[at:]]))
+                kept.append(b"".join([*parts, t[at:]]))
                 drop = set(gone)
-                folded.append(b"\n".join([s[3] for i, s in enumerate(found) if i not in drop]).decode())
+                folded.append(b"\n".join([s[3] for i, s in enumerate(found) if i not in drop]))
+            # cuts lie between characters, so the bytes are text
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string()), pa.array(folded, pa.string())],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(folded, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_sentences", "removed", "kept_text", "folded"],
             )
 
