@@ -8,8 +8,9 @@ with more fingerprints than a tile is dealt over tiles, and each pair of tiles i
 holds more than two tiles.
 
 Defined results: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle make
-one shingle of them all; repeated rows keep their own rows and share a component; a null doc_id stays and its
-component is the smallest other doc_id of the group (null if there is none).
+one shingle of them all; texts of any length are read whole; repeated rows keep their own rows and share a component; a
+null doc_id stays and its component is the smallest other doc_id of the group (null if there is none); columns of any
+name stay in keep_one() and keep_distinct(), and near_copies() reads the two it is told; empty tables give no rows.
 
 keep_distinct() is the rule of the pipeline's stage: documents whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more are near copies. At 0.8 two 64-bit prints differ in 10 bits and more, which pigeonhole blocks
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlake.llm.common import drop_shared, fresh, pieces, table, utf8, write_shared
+from marketlake.llm.common import drop_shared, fresh, numbered, pieces, scratch, table, utf8, write_shared
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -147,7 +148,8 @@ def links(prints: DataFrame, most: int = MOST_BITS, blocks: int = BLOCKS, tile:
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
     keyed = prints.select("f", F.explode(keys).alias("b")).select("f", "b.k", "b.key")
     sizes = keyed.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    many = keyed.join(sizes, ["k", "key"]).select("k", "key", "f", F.expr(f"cast(ceil(n / {tile}D) as int)").alias("tiles"))
+    # keys grow with the documents, so neither side is broadcast, at any size
+    many = keyed.join(sizes.hint("merge"), ["k", "key"]).select("k", "key", "f", F.expr(f"cast(ceil(n / {tile}D) as int)").alias("tiles"))
     small = many.where("tiles = 1").select("k", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "f", F.lit(0).alias("t"))
     hot = many.where("tiles > 1").withColumn("t", F.expr(f"cast(pmod(xxhash64(f, {SEED}), tiles) as int)"))
     pair = F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, t) as i, greatest(x, t) as j))")
@@ -210,35 +212,39 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _grouped(docs: DataFrame, shingle: int, most: int, blocks: int) -> tuple[DataFrame, DataFrame]:
-    """docs (uid, doc_id, text) as prints (uid, doc_id, f), and classes (f, root, first): first is the struct
-    (no_id, doc_id, uid) of the class's first document. Both are small beside the texts."""
-    spark = docs.sparkSession
-    prints = spark.read.parquet(write_shared(fingerprints(docs, "text", "f", shingle).drop("text"), "fingerprints"))
+def _classes(prints: DataFrame, most: int, blocks: int) -> DataFrame:
+    """prints (uid, doc_id, f) as classes (f, root, first): first is the struct (no_id, doc_id, uid) of the class's first document."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
     classes = prints.groupBy("f").agg(first.alias("first"))
     roots = components(links(classes.select("f"), most, blocks))
-    classes = classes.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    return prints, classes
+    return classes.join(roots.withColumnRenamed("node", "f").hint("merge"), "f", "left").withColumn("root", F.coalesce("root", "f"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
     """One row per document: doc_id, fingerprint (long) and component_id, the smallest doc_id reachable over links."""
     docs = docs.select(F.lit(0).cast("long").alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints, classes = _grouped(docs, shingle, most, blocks)
-    groups = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
-    of_class = classes.select("f", "root").join(groups, "root").select("f", "component_id")
-    return prints.join(of_class, "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
+    spark = docs.sparkSession
+    prints = spark.read.parquet(write_shared(fingerprints(docs, "text", "f", shingle).drop("text"), "fingerprints"))
+    with scratch(spark) as stay:
+        classes = _classes(prints, most, blocks)
+        groups = classes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
+        of_class = classes.select("f", "root").join(groups.hint("merge"), "root").select("f", "component_id")
+        stay.append(write_shared(of_class, "components"))
+    of_class = spark.read.parquet(stay[0])
+    return prints.join(of_class.hint("merge"), "f").select("doc_id", F.col("f").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, most: int = MOST_BITS, blocks: int = BLOCKS) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id; of rows that share it, the first read."""
+    spark = docs.sparkSession
     uid = fresh("uid", docs.columns)
-    docs = docs.withColumn(uid, F.monotonically_increasing_id())
-    _, classes = _grouped(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), shingle, most, blocks)
-    kept = classes.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid)
+    docs = numbered(docs, uid)
+    with scratch(spark) as stay:
+        prints = fingerprints(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "f", shingle).drop("text")
+        classes = _classes(spark.read.parquet(write_shared(prints, "fingerprints")), most, blocks)
+        stay.append(write_shared(classes.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid), "kept"))
     # the kept rows grow with the documents, so they are never broadcast, at any size
-    return docs.join(kept.hint("merge"), uid, "left_semi").drop(uid)
+    return docs.join(spark.read.parquet(stay[0]).hint("merge"), uid, "left_semi").drop(uid)
 
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -323,13 +329,13 @@ def keep_distinct(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """docs with one document of each group that links of five-word similarity hold together, chosen as by keep_one()."""
     spark = docs.sparkSession
     uid = fresh("uid", docs.columns)
-    docs = docs.withColumn(uid, F.monotonically_increasing_id())
-    classes, edges = alike(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
-    roots = components(edges).withColumnRenamed("node", "rep")
-    grouped = classes.join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    kept = grouped.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid)
-    kept = spark.read.parquet(write_shared(kept, "kept"))
-    return docs.join(kept.hint("merge"), uid, "left_semi").drop(uid)
+    docs = numbered(docs, uid)
+    with scratch(spark) as stay:
+        classes, edges = alike(docs.select(F.col(uid).alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+        roots = components(edges).withColumnRenamed("node", "rep")
+        grouped = classes.join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        stay.append(write_shared(grouped.groupBy("root").agg(F.min("first")["uid"].alias(uid)).select(uid), "kept"))
+    return docs.join(spark.read.parquet(stay[0]).hint("merge"), uid, "left_semi").drop(uid)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
