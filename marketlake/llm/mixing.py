@@ -2,8 +2,15 @@
 
 The words of a source, its documents in a fixed order, form one stream cut into blocks of a fixed length. The mix has
 slots of one block each, dealt over output shards. A pseudorandom permutation of all slots against the cumulated slot
-counts of the sources says which source a slot takes, so that the counts of a shard are a multinomial draw conditioned
-on the totals of the sources: drawn freely, the totals of small sources would miss their targets by their square root.
+counts of the sources says which source a slot takes; shard_counts() gives the counts of each shard.
+
+These counts are the multinomial draw of the method, conditioned on the totals. Let each of N slots draw a source k with
+probability p_k = s_k / N on its own: a shard of n slots then has the counts c with probability n! prod p_k^c_k / c_k!,
+a multinomial law, and the shards are independent. Given that the totals come out as s_k, every order of the N draws is
+equally likely, since each has the probability prod p_k^s_k. A permutation drawn evenly gives just that, so a shard has
+the counts c with probability prod C(s_k, c_k) / C(N, n), whose mean is n p_k, as before, and whose variance is that of
+the multinomial times (N - n) / (N - 1). Without the condition a source of s blocks would miss its target by the root of s.
+
 A slot's number inside its source, permuted anew for each pass over the source, is the block it takes. Permutations
 are swap-or-not networks over any domain, computed inside expressions.
 
@@ -11,7 +18,8 @@ Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and s
 `most_repeats` times its source's size and the excess is reshared by weight until none is above.
 
 Defined results: null or wordless texts have size 0 and nothing taken; a null source is a source; rows that repeat a
-doc_id each have their own row and their own words; an empty table gives no rows. Nothing depends on partitions: reruns
+doc_id each have their own row and their own words; a text of any length counts whole, over as many blocks as it fills;
+mixed_documents() keeps columns of any name, mix() reads the three it is told; an empty table gives no rows. Nothing depends on partitions: reruns
 agree up to an exchange between rows that are equal in id and text.
 """
 
@@ -21,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marketlake.llm.common import fresh, table, write_shared
+from marketlake.llm.common import fresh, numbered, table, write_shared
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 64
@@ -31,6 +39,8 @@ WEIGHTS = (1, 2, 3)
 SEED = 20240229
 #: Rounds of the swap-or-not network.
 ROUNDS = 32
+#: Slots that one task draws.
+TASK_SLOTS = 200_000
 #: Documents of a source that share one running sum.
 CHUNK_DOCS = 10_000
 
@@ -89,7 +99,7 @@ def draw(spark: SparkSession, planned: DataFrame, shard_slots: int = SHARD_SLOTS
     if not total:
         return planned.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block")).limit(0)
     width = -(-total // bins)
-    slots = spark.range(total).select(
+    slots = spark.range(0, total, 1, -(-total // TASK_SLOTS)).select(
         F.floor(F.col("id") / shard_slots).alias("shard"), F.col("id").alias("slot"), permuted(F.col("id"), F.lit(total), seed).alias("at")
     )
     slots = slots.withColumn("bin", F.floor(F.col("at") / width))
@@ -102,6 +112,11 @@ def draw(spark: SparkSession, planned: DataFrame, shard_slots: int = SHARD_SLOTS
     return mixed.select("shard", "slot", "source", taken.alias("block"))
 
 
+def shard_counts(slots: DataFrame) -> DataFrame:
+    """(shard, source, n): how many blocks of each source a shard holds."""
+    return slots.groupBy("shard", "source").agg(F.count("*").alias("n"))
+
+
 def streams(sizes: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """sizes (key, source, size) with `offset`, the words of the same source before the row.
 
@@ -121,15 +136,15 @@ def streams(sizes: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, seed: int = SEED,
-        weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+        weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, shard_slots: int = SHARD_SLOTS, row: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, parts, slots) of a mix.
 
-    documents: row (a number for the row), doc_id, source, size, source_size, target, taken. parts: the pieces of
+    documents: row (a number for the row, or the column that `row` names), doc_id, source, size, source_size, target, taken. parts: the pieces of
     documents in the mix, with row, block, first (the piece's first word in the document), words, uses. slots: draw().
     """
     spark = docs.sparkSession
     sizes = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id, text).alias("key"),
     )
     sizes = spark.read.parquet(write_shared(sizes, "sizes"))
@@ -153,8 +168,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
     as its block is drawn, with the white space between them; documents of which nothing is taken go."""
     spark = docs.sparkSession
     name = fresh("row", docs.columns)
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
-    _, parts, _ = mix(docs, text=text, **how)
+    rows = numbered(docs, name)
+    _, parts, _ = mix(rows, text=text, row=name, **how)
     parts = spark.read.parquet(write_shared(parts, "parts"))
     of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("_parts"))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
@@ -165,7 +180,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
 
     # the words are bound to a lambda variable, else each part would split the text anew
     joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: drawn(p, w))), " "))[0]
-    out = numbered.join(of_row, name).withColumn(text, joined)
+    out = rows.join(of_row, name).withColumn(text, joined)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)
