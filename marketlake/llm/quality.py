@@ -5,8 +5,11 @@ unknown share; a rule that votes is right on good documents with one accuracy an
 abstaining says nothing. EM runs over the counts of vote patterns, at most 3**rules rows, which cover every document;
 the posterior of a document is a sum of rule weights.
 
-Defined results: a null or wordless text has zero counts, fails the base rule and is not kept; repeated rows keep their
-own rows; an empty table gives no rows.
+Each estimate has a beta prior, stated below, whose weight is a share of the documents, so it means the same at any size
+and no estimate reaches 0 or 1.
+
+Defined results: a null or wordless text has zero counts, fails the base rule and is not kept; a text of any length is
+read whole; repeated rows keep their own rows; only the two columns named are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,15 +102,20 @@ RULES = (
     Rule("variety", "n_words >= 50 and 100 * n_distinct >= 35 * n_words", "n_words >= 50 and 100 * n_distinct < 15 * n_words"),
 )
 
-#: Bounds of accuracies and of the share of good documents. They are wide: what a rule is worth is for the data to say.
-ON_GOOD = (0.5, 0.9995)
-ON_BAD = (0.02, 0.98)
-SHARE = (0.05, 0.97)
-#: Rules are written to fire on next to no good document. That belief counts as votes of the starting kind, so many for
-#: each document; a rule that fires on many documents alone outweighs it. As a share, it holds the same at any size.
-BELIEF = 0.25
-#: Where EM starts: accuracy on good and on bad documents, and the share of good ones. Rules are meant to spare the good.
-START = (0.998, 0.3, 0.8)
+@dataclass(frozen=True)
+class Prior:
+    """A beta prior: its mean, and its weight in votes (or documents) for each document of the corpus, besides one."""
+
+    mean: float
+    weight: float
+
+
+#: Rules are written to fire on next to no good document; one that fires on many documents alone outweighs this belief.
+ON_GOOD = Prior(0.998, 0.25)
+#: Of bad documents a rule finds some; the data say how many.
+ON_BAD = Prior(0.3, 0.005)
+#: Most documents are good. EM starts at the means.
+SHARE = Prior(0.8, 0.05)
 ROUNDS = 200
 
 
@@ -137,22 +145,25 @@ class VoteModel:
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> VoteModel:
     """Accuracies and share of good documents from vote patterns (rows of -1, 0, 1) and how often each occurs.
 
-    A rule is never taken for its opposite: a good vote is held at least as likely on good documents as on bad ones.
-    BELIEF keeps EM from taking the few documents that trip all rules for the bad ones, and the rest for good.
+    A rule is never taken for its opposite: a good vote is held at least as likely on good documents as on bad ones. The
+    prior of accuracies on good documents keeps EM from taking the few documents that trip all rules for the bad ones, and
+    the rest for good.
     """
     n = patterns.shape[1]
-    on_good, on_bad, share = np.full(n, START[0]), np.full(n, START[1]), START[2]
+    on_good, on_bad, share = np.full(n, ON_GOOD.mean), np.full(n, ON_BAD.mean), SHARE.mean
     plus, minus, total = patterns == 1, patterns == -1, counts.sum()
-    belief = 1 + BELIEF * total
+
+    def posterior(prior: Prior, hits, tries):
+        weight = 1 + prior.weight * total
+        return (hits + prior.mean * weight) / (tries + weight)
+
     for _ in range(rounds if total else 0):
         odds = math.log(share / (1 - share)) + plus @ np.log(on_good / (1 - on_bad)) + minus @ np.log((1 - on_good) / on_bad)
         good = 1 / (1 + np.exp(-odds))
         w_good, w_bad = (good * counts)[:, None], ((1 - good) * counts)[:, None]
-        # one vote of the starting kind at least for each class, so that a rule without votes keeps its start
-        new_good = np.clip(((plus * w_good).sum(0) + START[0] * belief) / (((plus | minus) * w_good).sum(0) + belief), *ON_GOOD)
-        new_bad = np.clip(((minus * w_bad).sum(0) + START[1]) / (((plus | minus) * w_bad).sum(0) + 1), *ON_BAD)
-        new_bad = np.maximum(new_bad, 1 - new_good)
-        new_share = float(np.clip((good * counts).sum() / total, *SHARE))
+        new_good = posterior(ON_GOOD, (plus * w_good).sum(0), ((plus | minus) * w_good).sum(0))
+        new_bad = np.maximum(posterior(ON_BAD, (minus * w_bad).sum(0), ((plus | minus) * w_bad).sum(0)), 1 - new_good)
+        new_share = float(posterior(SHARE, (good * counts).sum(), total))
         moved = max(np.abs(new_good - on_good).max(initial=0), np.abs(new_bad - on_bad).max(initial=0), abs(new_share - share))
         on_good, on_bad, share = new_good, new_bad, new_share
         if moved < 1e-9:
