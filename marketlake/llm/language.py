@@ -8,7 +8,9 @@ stretches of a batch side by side; the logarithms of the position probabilities
 the document's probabilities.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; documents with a null language are not
-learnt from but predicted; with no labelled document at all everything is `und`; repeated rows keep their own rows.
+learnt from but predicted; with no labelled document at all everything is `und`; a text of any length is labelled
+whole; repeated rows keep their own rows; columns that have the names of the results go, others stay. More languages
+than TRAIN_DOCS are an error, since none may be left out.
 """
 
 from __future__ import annotations
@@ -217,9 +219,11 @@ def training_sample(docs: DataFrame, lang: str, key: Column, most: int = TRAIN_D
     A stretch of TRAIN_BYTES begins anywhere in its text. What a language gets depends on no other language's size.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).orderBy(lang).limit(most).collect()}
+    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).limit(most + 1).collect()}
     if not counts:
         return []
+    if len(counts) > most:
+        raise ValueError(f"more than {most} languages: no sample of {most} documents shows all")
     each = max(1, most // len(counts))
     # more rows than needed, by ten standard deviations: the window then ranks a few rows of each language, not all
     enough = each + 10 * each**0.5 + 50
@@ -266,9 +270,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, text: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without the rows whose language is unknown or whose score is under `least`; the columns stay as they are."""
-    net = fit(docs.where(~held_out(F.col("doc_id"))))
+    net = fit(docs.where(~held_out(F.col(doc_id))), doc_id, text, lang)
     pred, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
     return classify(docs, net, text, pred, score).where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).drop(pred, score)
 
