@@ -8,7 +8,8 @@ labels stand at their domain's prior. Fixed rules on host and path come first; t
 
 Defined results: a null url, or one without ://, has empty host and path, no rule, and the reputation of that empty
 host; labels with a null quality do not count; repeated pages keep their own rows and each label counts once for each
-host of its page; without any label every host stands at an even prior and passes.
+host of its page; without any label every host stands at an even prior and passes; an address in numbers is a domain of
+its own, under the empty suffix; urls of any length are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from marketlake.llm.common import table, write_shared
 
 #: (rule, verdict): host and path together, the path from the first slash.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Suffixes of two labels under which names are registered; others are the last label.
+#: Suffixes of two labels under which names are registered, where no table of suffixes is given; others are the last label.
 SUFFIXES = ("co.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz")
 Z = 1.64
 FLOOR = 0.5
@@ -47,14 +48,35 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
     return rule, verdict
 
 
+def by_numbers(host: Column) -> Column:
+    return host.rlike(r"^\d+\.\d+\.\d+\.\d+$") | F.startswith(host, F.lit("["))
+
+
 def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1)) if suffixes else F.substring_index(host, ".", -1)
+    return F.when(by_numbers(host), "").when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(two.isin(*suffixes), three).otherwise(two) if suffixes else two
+    return F.when(by_numbers(host), host).when(two.isin(*suffixes), three).otherwise(two)
+
+
+def with_domains(hosts: DataFrame, bare: Column, suffixes: DataFrame | None = None) -> DataFrame:
+    """hosts (host and more) with domain and suffix: of a table (suffix) the longest that ends the host, else by SUFFIXES.
+
+    A host asks for each of its own endings, a row each, so the table may be of any length.
+    """
+    if suffixes is None:
+        return hosts.withColumns({"domain": domain_of(bare), "suffix": suffix_of(bare)})
+    split = hosts.withColumn("_bare", bare).withColumn("_parts", F.split("_bare", r"\."))
+    ends = split.select("host", "_bare", F.explode(F.sequence(F.lit(1), F.size("_parts"))).alias("_n")).withColumn("suffix", F.expr("substring_index(_bare, '.', -_n)"))
+    longest = ends.join(suffixes.select("suffix").distinct(), "suffix").groupBy("host").agg(F.max("_n").alias("_n"))
+    out = split.join(longest, "host", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return out.withColumns({
+        "domain": F.when(by_numbers(F.col("_bare")), F.col("_bare")).otherwise(F.expr("substring_index(_bare, '.', -_n - 1)")),
+        "suffix": F.when(by_numbers(F.col("_bare")), "").otherwise(F.expr("substring_index(_bare, '.', -_n)")),
+    }).drop("_bare", "_parts", "_n")
 
 
 def concentration(groups: DataFrame, n: str, good: str, mean: str) -> Column:
@@ -88,15 +110,16 @@ def reputations(hosts: DataFrame) -> DataFrame:
     return found.select("host", "n", "good", (F.col("parent") * F.col("k") + F.col("good")).alias("a"), ((1 - F.col("parent")) * F.col("k") + F.col("n") - F.col("good")).alias("b"))
 
 
-def judge_pages(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, floor: float = FLOOR) -> DataFrame:
-    """page_id, host, path, rule, verdict and upper (the bound) of pages (page_id, url); labels: doc_id, quality, toxic."""
+def judge_pages(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, z: float = Z, floor: float = FLOOR, suffixes: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict and upper (the bound) of pages (page_id, url); labels: doc_id, quality, toxic;
+    suffixes: the endings under which names are registered (suffix), as published lists have them."""
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcome = labels.where("quality is not null").select(F.col("doc_id").alias("_id"), F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as long)").alias("_good"))
     labelled = parsed.select("page_id", "host").distinct().join(outcome, F.col("page_id") == F.col("_id"))
     counts = labelled.groupBy("host").agg(F.count("*").alias("n"), F.sum("_good").alias("good"))
     bare = F.regexp_replace(F.substring_index("host", "@", -1), r":\d*$", "")
-    hosts = parsed.select("host").distinct().join(counts, "host", "left").select(
-        "host", domain_of(bare).alias("domain"), suffix_of(bare).alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
+    hosts = parsed.select("host").distinct().join(counts, "host", "left").select("host", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
+    hosts = with_domains(hosts, bare, suffixes)
     # few rows beside the pages, and read once for each level above them
     hosts = pages.sparkSession.read.parquet(write_shared(hosts, "hosts"))
     a, b = F.col("a"), F.col("b")
@@ -118,8 +141,8 @@ q AS (SELECT page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'A
 l AS (SELECT doc_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS g FROM labels WHERE quality IS NOT NULL),
 c AS (SELECT host, count(*)::DOUBLE AS n, sum(g) AS good FROM (SELECT DISTINCT page_id, host FROM q) JOIN l ON page_id = doc_id GROUP BY host),
 h0 AS (SELECT DISTINCT host, regexp_replace(CASE WHEN host LIKE '%@%' THEN regexp_extract(host, '([^@]*)$', 1) ELSE host END, ':[0-9]*$', '') AS bare FROM q),
-h AS (SELECT h0.host, CASE WHEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) IN {SUFFIXES} THEN regexp_extract(bare, '([^.]*\\.)?([^.]*\\.)?[^.]*$', 0) ELSE regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) END AS domain,
-  CASE WHEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) IN {SUFFIXES} THEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix,
+h AS (SELECT h0.host, CASE WHEN bare SIMILAR TO '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+' OR bare LIKE '[%' THEN bare WHEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) IN {SUFFIXES} THEN regexp_extract(bare, '([^.]*\\.)?([^.]*\\.)?[^.]*$', 0) ELSE regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) END AS domain,
+  CASE WHEN bare SIMILAR TO '[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+' OR bare LIKE '[%' THEN '' WHEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) IN {SUFFIXES} THEN regexp_extract(bare, '([^.]*\\.)?[^.]*$', 0) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix,
   coalesce(n, 0) AS n, coalesce(good, 0) AS good FROM h0 LEFT JOIN c USING (host)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY suffix),
