@@ -7,11 +7,13 @@ Every CHECKPOINT steps the lane states and the place in the stream are stored, s
 The frequency table is counted over every token of the corpus and quantised to 2**SCALE_BITS.
 
 Defined results: a null or empty text has only the end id; repeated rows and repeated doc_ids are kept, ordered by
-doc_id (null first), then text; an empty table gives no rows.
+doc_id (null first), then a hash of the text; a text of any length is encoded whole and lies in one block; only doc_id
+and text are read, so other columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -58,7 +60,8 @@ class Encoder:
     The byte-level tokenizer cuts a text into pieces by its published pattern and merges inside a piece only, so the
     ids of a text are those of its pieces in turn. A space between two characters that are not white space always
     starts a piece; texts are first split there, and only words not seen before are cut and merged. Texts in which a
-    space touches other white space are cut whole; texts that hold an added token's string go to the library whole.
+    space touches other white space are cut whole; texts that hold an added token's string go to the library whole. So
+    do all texts of a tokenizer that is not of this kind.
     """
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -68,9 +71,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.known_kind = self.is_byte_level(json.loads(self.library.to_str()))
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.merge = self.library.model  # pieces are cut already, and each seen once: no cache of the library's own
-        self.merge._resize_cache(0)
+        if self.known_kind:
+            self.merge._resize_cache(0)
         self.letters = byte_letters()
         self.id_bytes = [n.to_bytes(4, "little") for n in range(self.library.get_vocab_size())]
         self.cut = regex.compile(self.PIECES).findall
@@ -81,6 +86,14 @@ class Encoder:
         self.short: dict[str, bytes] = {}  # pieces of one or two characters
         self.remember = remember
 
+    @staticmethod
+    def is_byte_level(said: dict) -> bool:
+        """Whether a tokenizer's definition is byte-level BPE that cuts by PIECES and changes no text before or after."""
+        cut, model = said.get("pre_tokenizer") or {}, said.get("model") or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        marks = ("continuing_subword_prefix", "end_of_word_suffix", "dropout")
+        return plain and said.get("normalizer") is None and model.get("type") == "BPE" and not any(model.get(m) for m in marks) and not model.get("ignore_merges", False)
+
     def piece(self, piece: str) -> bytes:
         found = self.short.get(piece)
         if found is None:
@@ -154,6 +167,9 @@ class Encoder:
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         texts = pc.fill_null(texts, "")
+        if not self.known_kind:
+            found = [[*x.ids, end_id] for x in self.library.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.array(x, np.uint32) for x in found]), np.array([len(x) for x in found], np.int64)
         split = pc.split_pattern(texts, " ")
         begin = split.offsets.to_numpy().astype(np.int64)
         begin, count = begin[:-1] - begin[0], np.diff(begin)
@@ -295,7 +311,8 @@ _FILE = "part int, seq int, start bigint, doc_ids array<bigint>, lengths array<i
 
 def _stage(docs: DataFrame, encoder: Callable[[], Encoder], end_id: int) -> DataFrame:
     """Documents in ascending order, tokenized, in chunks that later become blocks."""
-    docs = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    docs = docs.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
 
     def chunks(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
