@@ -96,6 +96,28 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("ticker", "date"), ["ticker", "date"], "left_anti").unionByName(new)
 
 
+def one_per_day(bars: DataFrame, newest: str | None = None) -> DataFrame:
+    """One bar for each ticker and date: that with the greatest `newest`, else with the greatest fields."""
+    rest = [c for c in bars.columns if c not in ("ticker", "date")]
+    if not rest:
+        return bars.distinct()
+    row = F.struct(*rest)
+    best = F.max_by(row, F.struct(newest, row)) if newest else F.max(row)
+    return bars.groupBy("ticker", "date").agg(best.alias("_row")).select("ticker", "date", *[F.col("_row")[c].alias(c) for c in rest]).select(*bars.columns)
+
+
+def in_utc(bars: DataFrame, zone: str | None = None, date: str = "date") -> DataFrame:
+    """bars with timestamps of a time zone turned to UTC, without a zone; of no zone they stay. Ordered by nothing."""
+    at = F.col(date).cast("timestamp_ntz")
+    return bars.withColumn(date, F.convert_timezone(F.lit(zone), F.lit("UTC"), at) if zone else at)
+
+
+def of_ticker(bars: DataFrame, ticker: str) -> DataFrame:
+    """One ticker's bars by date, without those of which every field is null; the filter reaches the scan."""
+    fields = [f for f in FIELDS if f in bars.columns]
+    return known_fields(bars.where(F.col("ticker") == ticker)).dropna(how="all", subset=fields).orderBy("date")
+
+
 def newer(bars: DataFrame, known: DataFrame) -> DataFrame:
     """Bars after the last known date of their ticker; all of unknown tickers."""
     last = known.groupBy("ticker").agg(F.max("date").alias("_last"))

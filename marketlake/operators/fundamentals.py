@@ -181,10 +181,13 @@ def duplicate_keys(stored: DataFrame) -> DataFrame:
 
 
 def star(stored: DataFrame, metrics: DataFrame, units: DataFrame, forms: DataFrame, tags: DataFrame) -> DataFrame:
-    """Names for a fact table of ids: metric and tag are required, unit and form optional."""
-    return (
-        stored.join(F.broadcast(metrics), "metric_id").join(F.broadcast(units), "unit_id", "left").join(F.broadcast(forms), "form_type_id", "left").join(F.broadcast(tags), "source_tag_id")
-    )
+    """Names for a fact table of ids: metric and tag are required, unit and form optional. Spark broadcasts what is small."""
+    return stored.join(metrics, "metric_id").join(units, "unit_id", "left").join(forms, "form_type_id", "left").join(tags, "source_tag_id")
+
+
+def in_order(facts: DataFrame, metric: str = "metric_id") -> DataFrame:
+    """As readers get them: by the end of the period, then by metric."""
+    return facts.orderBy(F.col("period_end").asc_nulls_last(), metric)
 
 
 def with_ids(names: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -220,3 +223,23 @@ def cik_map(documents: DataFrame) -> DataFrame:
 def with_cik(tickers: DataFrame, ciks: DataFrame) -> DataFrame:
     known = ciks.select(F.upper("ticker").alias("_t"), "cik")
     return tickers.join(known, F.upper("ticker") == F.col("_t"), "left").drop("_t")
+
+
+def ingest(companies: DataFrame, stored: DataFrame, submissions: DataFrame, documents: DataFrame, only_new: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(facts to insert, one row for each company: ticker, status, attempted, inserted, error) of an ingest.
+
+    companies: ticker, cik. submissions: ticker, body. documents: ticker, body, error; a null body without an error
+    means that there are none. Statuses: no_cik, up_to_date (with only_new), no_facts, error, ok. A company whose offered
+    or known date is not known is never skipped.
+    """
+    plan = to_ingest(companies, latest_filed(stored), latest_offered(submissions))
+    plan = plan.withColumn("status", F.when((F.col("status") == "up_to_date") & ~F.lit(only_new), "ingest").otherwise(F.col("status")))
+    got = plan.join(documents.select("ticker", "body", "error"), "ticker", "left")
+    done = F.when(F.col("status") != "ingest", F.col("status")).when(F.col("error").isNotNull(), "error").when(F.col("body").isNull(), "no_facts").otherwise("ok")
+    got = got.withColumn("status", done)
+    rows = parse(got.where("status = 'ok'").select("ticker", "cik", "body"))
+    new = absent(rows, stored)
+    tried, kept = rows.groupBy("ticker").agg(F.count("*").alias("attempted")), new.groupBy("ticker").agg(F.count("*").alias("inserted"))
+    report = got.select("ticker", "status", "error").join(tried, "ticker", "left").join(kept, "ticker", "left")
+    counted = F.col("status").isin("ok", "up_to_date")
+    return new, report.withColumns({c: F.when(counted, F.coalesce(c, F.lit(0))) for c in ("attempted", "inserted")})

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlake.operators import bars as ops
+from marketlake.operators.membership import members_between
 
 
 @dataclass(frozen=True)
@@ -44,7 +45,7 @@ def refresh(requested: DataFrame, landed: DataFrame, renamed: DataFrame, retried
     )
     valid_new = of_ticker.where("_valid").select(F.col("ticker").alias("new_ticker"))
     blocked = active.join(valid_new, "new_ticker", "left_semi").select(F.col("old_ticker").alias("ticker"), F.lit(True).alias("_blocked"))
-    choice = of_ticker.where("_landed").join(F.broadcast(blocked), "ticker", "left")
+    choice = of_ticker.where("_landed").join(blocked, "ticker", "left")
     ranks = F.filter("_ranks", lambda r: ~(F.coalesce(F.col("_blocked"), F.lit(False)) & (r == 1)))
     choice = kept(choice.select("ticker", F.get(ranks, 0).alias("_rank")), "sources")
     panel = every.join(choice.where("_rank is not null"), ["ticker", "_rank"], "left_semi").drop("_rank")
@@ -57,6 +58,15 @@ def refresh(requested: DataFrame, landed: DataFrame, renamed: DataFrame, retried
     return Refresh(ops.clean(ops.dedupe_renamed(panel, renames), least=least), lost)
 
 
+def load_universe(members: DataFrame, start: str, end: str, landed: DataFrame, **sources) -> Refresh:
+    """refresh() of every ticker that was a member at any time of the window, gone ones too. No member is an error: an
+    empty request would be served from whatever is cached."""
+    asked = members_between(members, start, end)
+    if asked.isEmpty():
+        raise ValueError(f"no members between {start} and {end}")
+    return refresh(asked, landed, **sources)
+
+
 def landed_bars(spark, path: str, tickers: list[str] | None = None, after: str | None = None) -> DataFrame:
     """Bars from a landing zone; ticker and date reach the scan as pushed filters."""
     out = spark.read.parquet(path)

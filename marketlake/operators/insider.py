@@ -65,3 +65,10 @@ def transactions(documents: DataFrame) -> DataFrame:
         to_float(text(t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"])).alias("shares_owned_after"),
         text(t["ownershipNature"]["directOrIndirectOwnership"]).alias("ownership_type"), "transaction_index",
     )
+
+
+def run(submissions: DataFrame, documents: DataFrame, since: str | None = None) -> DataFrame:
+    """Index, documents, transactions: submissions (ticker, cik, body); documents (path, body), of which a missing or
+    malformed one costs its own filing and no other."""
+    filings = form_path(filing_index(submissions, since))
+    return transactions(filings.join(documents.where("body is not null"), "path").select("ticker", "cik", "accession_number", "filing_date", "body"))

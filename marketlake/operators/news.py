@@ -26,3 +26,11 @@ def dedup(rows: DataFrame, order: str = "published_at") -> DataFrame:
     w = W.partitionBy("ticker", "article_id").orderBy("snapshot_date", F.col(order).asc_nulls_last())
     known = rows.where("article_id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return known.unionByName(rows.where("article_id is null"))
+
+
+def scan(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(articles, one row: tickers asked, articles found, errors) of fetched documents (key, body, error)."""
+    failed = F.col("error").isNotNull() | F.col("body").isNull()
+    found = articles(documents.where(~failed).select(F.col("key").alias("ticker"), "body"))
+    asked = documents.agg(F.count("*").alias("tickers"), F.count_if(failed).alias("errors"))
+    return found, asked.crossJoin(found.agg(F.count("*").alias("articles"))).select("tickers", "articles", "errors")

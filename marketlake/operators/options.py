@@ -8,6 +8,14 @@ from pyspark.sql import Window as W
 
 
 
+#: A ticker's answer: its price, its expirations, and a chain or an error for each expiration that was asked for.
+_CONTRACT = (
+    "struct<strike: double, lastPrice: double, bid: double, ask: double, volume: double, openInterest: double, impliedVolatility: double,"
+    " inTheMoney: boolean, contractSymbol: string, lastTradeDate: string>"
+)
+CHAINS = f"struct<price: double, expirations: array<string>, chains: array<struct<expiration: string, calls: array<{_CONTRACT}>, puts: array<{_CONTRACT}>>>>"
+ERROR_CHARS = 50
+
 NEAREST = 3
 DAYS = (7, 60)
 UNUSUAL = 2.0
@@ -53,6 +61,46 @@ def snapshots(contracts: DataFrame, today: str, days: tuple[int, int] = DAYS) ->
     return out.withColumn("signal", signal(F.col("pcr_volume"), F.col("unusual_activity"))).fillna(0, ["put_volume", "call_volume", "put_oi", "call_oi", "expirations_used"])
 
 
+def answers(payloads: DataFrame) -> DataFrame:
+    """payloads (ticker, body: JSON, error) read once: ticker, price, expirations, chains, error.
+
+    error: no_price, no_options, the first characters of what the fetch said, or null. A chain that could not be fetched
+    is null or not there and is passed over; the rest of its ticker counts.
+    """
+    a = payloads.select("ticker", F.from_json("body", CHAINS).alias("a"), F.substring("error", 1, ERROR_CHARS).alias("_said"))
+    price = F.when(F.col("a.price") != 0, F.col("a.price"))
+    error = F.when(F.col("_said").isNotNull(), F.col("_said")).when(price.isNull(), "no_price").when(F.coalesce(F.size("a.expirations"), F.lit(0)) <= 0, "no_options")
+    return a.select("ticker", price.alias("price"), F.col("a.expirations").alias("expirations"), F.col("a.chains").alias("chains"), error.alias("error"))
+
+
+def contracts_of(read: DataFrame) -> DataFrame:
+    """answers() without error to one row per contract, as the archive holds them."""
+    chain = read.where("error is null").select("ticker", "price", F.explode("chains").alias("c")).where("c.expiration is not null")
+    each = [chain.select("ticker", "price", F.col("c.expiration").alias("expiration"), F.lit(side).alias("option_type"), F.explode(f"c.{side}s").alias("o")) for side in ("call", "put")]
+    return each[0].unionByName(each[1]).select(
+        "ticker", "expiration", "option_type", "o.strike", F.col("o.lastPrice").alias("last_price"), "o.bid", "o.ask", F.col("o.volume").cast("long").alias("volume"),
+        F.col("o.openInterest").cast("long").alias("open_interest"), F.col("o.impliedVolatility").alias("implied_volatility"), F.col("o.inTheMoney").alias("in_the_money"),
+        F.col("o.contractSymbol").alias("contract_symbol"), F.try_to_timestamp("o.lastTradeDate").alias("last_trade_date"), F.col("price").alias("underlying_price"),
+    )
+
+
+def scan(payloads: DataFrame, today: str, days: tuple[int, int] = DAYS) -> tuple[DataFrame, DataFrame]:
+    """(one row for each ticker as in snapshots(), with every kind of error; contracts inside the days) of raw payloads."""
+    read = answers(payloads)
+    inside = F.filter("expirations", lambda e: F.datediff(F.try_to_date(e), F.lit(today).cast("date")).between(*days))
+    read = read.withColumn("expirations_used", F.coalesce(F.size(inside), F.lit(0)))
+    live = in_window(contracts_of(read), today, days)
+    found = snapshots(live, today, days).drop("price", "error", "expirations_used")
+    out = read.select("ticker", "price", F.greatest("expirations_used", F.lit(0)).alias("expirations_used"), F.coalesce("error", F.when(F.col("expirations_used") <= 0, "no_valid_expirations")).alias("error"))
+    out = out.join(found, "ticker", "left").fillna(0, ["put_volume", "call_volume", "put_oi", "call_oi"]).fillna({"unusual_activity": False, "signal": "neutral"})
+    return out.withColumn("price", F.coalesce("price", F.lit(0.0))), live
+
+
+def scan_summary(snaps: DataFrame) -> DataFrame:
+    """One row: tickers with a result, without options, and with another error."""
+    return snaps.agg(F.count_if(F.col("error").isNull()).alias("valid"), F.count_if(F.col("error") == "no_options").alias("no_options"), F.count_if(F.col("error") != "no_options").alias("errors"))
+
+
 def report(snaps: DataFrame, by: str = "pcr_volume", n: int = 30, min_pcr: float = 0.0, only: str | None = None) -> DataFrame:
     """The top n by a measure; null counts as zero."""
     if by not in ("pcr_volume", "pcr_oi", "put_volume"):

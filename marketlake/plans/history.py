@@ -223,7 +223,7 @@ def _contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         half_even(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("strike"), F.col("l_quantity").cast("long").alias("volume"), (F.col("l_linenumber") * 10).cast("long").alias("open_interest"),
         F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("implied_volatility"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(20,2)")).alias("contract_symbol"),
     )
-    return rows.join(F.broadcast(spot), F.col("ticker") == F.col("_b")).drop("_b")
+    return rows.join(spot, F.col("ticker") == F.col("_b")).drop("_b")
 
 
 def options_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:

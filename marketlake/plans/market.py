@@ -81,9 +81,10 @@ def signal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long to wide and back, and the closes that came through."""
+    """Long to wide and back, for every ticker of the panel, and the closes that came through. The columns of a wide
+    panel are its tickers, so their list, as long as the panel is wide, is read first."""
     b = bars(spark, sf_dir)
-    back = ops.as_long(ops.as_wide(b, ["AF", "NO", "RF"]))
+    back = ops.as_long(ops.as_wide(b, [r[0] for r in b.select("ticker").distinct().orderBy("ticker").collect()]))
     return back.where("close is not null").groupBy("ticker").agg(F.count("*").alias("n"), half_even(F.sum("volume"), 3).alias("volume"), F.max("date").alias("last_date"))
 
 
@@ -206,7 +207,7 @@ SELECT ticker, CASE WHEN c < 20 THEN 50.0 ELSE round_even(pct, 1) END AS atr_per
   CASE warning_count WHEN 0 THEN '🟢 Hold' WHEN 1 THEN '🟡 Monitor' WHEN 2 THEN '🟠 Prepare exit' ELSE '🔴 Exit' END AS exit_status, CAST(NULL AS VARCHAR) AS error FROM s3""",
     "signal_records": f"""{_WITH_SCORE} SELECT ticker, round_even(close, 2) AS price, signal_score, CASE warning_count WHEN 0 THEN '🟢 Hold' WHEN 1 THEN '🟡 Monitor' WHEN 2 THEN '🟠 Prepare exit' ELSE '🔴 Exit' END AS status, entry_low,
   printf('%+.1f%%', p * 100) AS price_label, printf('%.2f', pct_b) AS pct_b_label, printf('%.1fx avg', vr) AS volume_label, CAST(NULL AS VARCHAR) AS error FROM s3""",
-    "panel_wide": f"WITH {sql.BARS} SELECT ticker, count(*) AS n, round_even(sum(volume), 3) AS volume, max(date) AS last_date FROM bars WHERE ticker IN ('AF', 'NO', 'RF') GROUP BY ticker",
+    "panel_wide": f"WITH {sql.BARS} SELECT ticker, count(*) AS n, round_even(sum(volume), 3) AS volume, max(date) AS last_date FROM bars GROUP BY ticker",
     "rename_dedupe": f"WITH {sql.BARS} SELECT ticker, count(*) AS n FROM bars WHERE NOT (ticker = 'AF' AND EXISTS (SELECT 1 FROM bars WHERE ticker = 'RF')) GROUP BY ticker",
     "source_cascade": f"""WITH {sql.BARS}, a AS (SELECT ticker, date, CASE WHEN NOT (ticker = 'AF' AND day(date) > 10) THEN close END AS close, 0 AS rank FROM bars WHERE ticker <> 'NO'),
 u AS (SELECT * FROM a UNION ALL SELECT ticker, date, close, 1 FROM bars), ok AS (SELECT ticker, min(rank) AS rank FROM (SELECT ticker, rank FROM u GROUP BY ticker, rank HAVING avg(CASE WHEN close IS NULL THEN 0 ELSE 1 END) > 0.5) GROUP BY ticker)

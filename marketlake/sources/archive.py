@@ -15,6 +15,11 @@ def save_snapshot(rows: DataFrame, path: str, day: str) -> bool:
     return True
 
 
+def save_scan(scanned: DataFrame, path: str, day: str | None = None) -> bool:
+    """A scan's rows (contracts or articles) as the snapshot of a day, today by the session's clock if none is named."""
+    return save_snapshot(scanned, path, day or scanned.sparkSession.sql("select cast(current_date() as string)").first()[0])
+
+
 def load_archive(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows of the days in [start, end]; columns that some days lack are null there."""
     rows = spark.read.option("mergeSchema", "true").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +17,32 @@ SNAPSHOTS = "date date, tickers string"
 CHANGES = "date date, add string, remove string"
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _at(spark, path)
+    return files.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, where = _at(spark, path)
+    files.delete(where, True)
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares: spark.checkpoint.dir; only a local master may do without it."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="marketlake-")
+    return f"{where}/{name}-{uuid.uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 

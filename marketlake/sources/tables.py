@@ -18,7 +18,7 @@ def daily_bars(rows: DataFrame) -> DataFrame:
     )
 
 
-def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     nth = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return read(spark, sf_dir, "lineitem").select(
         F.concat("l_returnflag", "l_linestatus").alias("ticker"), F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -27,16 +27,16 @@ def _trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily_bars(_trades(spark, sf_dir))
+    return daily_bars(trades(spark, sf_dir))
 
 
 def nation_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticker for each supplier nation: a wider panel, for breadth."""
     of = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("string").alias("nation"))
-    return daily_bars(_trades(spark, sf_dir).join(of, "l_suppkey").withColumn("ticker", F.col("nation")))
+    return daily_bars(trades(spark, sf_dir).join(of, "l_suppkey").withColumn("ticker", F.col("nation")))
 
 
 def market_series(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(date, vix) and (date, close): a volatility and an index series."""
-    t = _trades(spark, sf_dir).groupBy("date").agg((F.avg("l_discount") * 500 + 0.0).alias("vix"), F.avg("price").alias("close"))
+    t = trades(spark, sf_dir).groupBy("date").agg((F.avg("l_discount") * 500 + 0.0).alias("vix"), F.avg("price").alias("close"))
     return t.select("date", "vix"), t.select("date", "close")

@@ -294,3 +294,44 @@ def test_csv_files(spark, tmp_path):
     assert [r["ticker"] for r in files.read_csv(spark, str(tmp_path / "m"), files.MEMBERS).orderBy("ticker").collect()] == ["A", "B"]
     with pytest.raises(RuntimeError):
         files.write_csv(m.where("false"), str(tmp_path / "n"))
+
+
+def test_time_zones_and_point_lookup(spark):
+    at = spark.createDataFrame([("A", "2020-01-02 01:30:00")], "ticker string, d string").select("ticker", F.col("d").cast("timestamp_ntz").alias("date"))
+    assert ops.in_utc(at, "Europe/Athens").first()["date"] == dt.datetime(2020, 1, 1, 23, 30)
+    assert ops.in_utc(at).first()["date"] == dt.datetime(2020, 1, 2, 1, 30)
+    b = panel(spark, [2.0, 1.0]).unionByName(panel(spark, [5.0], "B")).unionByName(spark.createDataFrame([("A", day(9), None, math.nan, None, None, None)], BARS))
+    assert [r["close"] for r in ops.of_ticker(b, "A").collect()] == [2.0, 1.0]
+
+
+def test_lists_and_sectors_with_an_age(spark):
+    t = lambda *x: spark.createDataFrame([(v,) for v in x], "ticker string")
+    old, new = t("A"), t("B")
+    assert lookup.listed(old, 1.0, new) == (old, False) and lookup.listed(old, 200.0, new) == (new, True)
+    assert lookup.listed(old, 200.0, None) == (old, False) and lookup.listed(None, None, new) == (new, True)
+    with pytest.raises(RuntimeError):
+        lookup.listed(None, None, None)
+    cache = spark.createDataFrame([("A", "Tech", 1.0, dt.datetime(2020, 1, 1)), ("Z", "Old", 2.0, dt.datetime(2020, 1, 1))], "ticker string, sector string, market_cap double, fetched_at timestamp")
+    got = spark.createDataFrame([("A", None, None, False), ("B", "", 3.0, True), ("C", "Oil", None, True), ("Q", "x", 1.0, True)], "ticker string, sector string, market_cap double, ok boolean")
+    out = {r["ticker"]: (r["sector"], r["market_cap"]) for r in lookup.refresh_sectors(t("A", "B", "C"), cache, got, "2020-02-01").collect()}
+    assert out == {"A": ("Tech", 1.0), "B": ("Unknown", 3.0), "C": ("Oil", None), "Z": ("Old", 2.0)}
+
+
+def test_insider_run_passes_over_what_is_broken(spark):
+    index = '{"filings": {"recent": {"form": ["4", "4", "4", "8-K"], "accessionNumber": ["0-1", "0-2", "0-3", "0-4"], "filingDate": ["2020-01-02", "2020-01-03", "2019-01-01", "2020-01-04"], "primaryDocument": ["x/d.xml", "d.xml", "d.xml", "d.xml"]}}}'
+    subs = spark.createDataFrame([("A", 7, index)], "ticker string, cik int, body string")
+    xml = "<ownershipDocument><nonDerivativeTable><nonDerivativeTransaction><transactionDate><value>2020-01-01</value></transactionDate></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+    docs = spark.createDataFrame([("7/01/d.xml", xml), ("7/02/d.xml", "<broken"), ("7/03/d.xml", xml)], "path string, body string")
+    assert [r["accession_number"] for r in insider.run(subs, docs, since="2020-01-01").collect()] == ["0-1"]
+
+
+def test_readers_get_facts_in_order(spark):
+    f = spark.createDataFrame([(2, day(1)), (1, day(1)), (3, day(0))], "metric_id int, period_end date")
+    assert [r["metric_id"] for r in fu.in_order(f).collect()] == [3, 1, 2]
+
+
+def test_scans_are_archived_by_day(spark, tmp_path):
+    rows = spark.createDataFrame([("A", 1)], "ticker string, n int")
+    assert archive.save_scan(rows, str(tmp_path / "s"), "2020-01-01") and archive.save_scan(rows, str(tmp_path / "s"))
+    assert archive.load_archive(spark, str(tmp_path / "s")).select("snapshot_date").distinct().count() == 2
+    assert not archive.save_scan(rows.limit(0), str(tmp_path / "t"))

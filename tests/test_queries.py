@@ -1,9 +1,9 @@
 import pytest
 
-from marketlake.plans import history, market
+from marketlake.plans import history, landing, market
 from tests.oracle import SF, spark_rows, sql_rows
 
-QUERIES, ORACLES = {**market.QUERIES, **history.QUERIES}, {**market.ORACLES, **history.ORACLES}
+QUERIES, ORACLES = {**market.QUERIES, **history.QUERIES, **landing.QUERIES}, {**market.ORACLES, **history.ORACLES, **landing.ORACLES}
 
 
 def test_every_query_has_a_twin():
