@@ -269,9 +269,9 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
         return docs.select("doc_id", spans(everywhere).alias("spans"))
     index = spark.read.parquet(write_shared(postings(docs, set().union(*map(trigrams, indexed.values())), key, "text"), "postings"))
     sizes = {r["trigram"]: r["n"] for r in index.groupBy("trigram").agg(F.count("*").alias("n")).collect()}  # a row for each of the rules' trigrams at most
-    needed = sorted(frozenset().union(*(cover(q, sizes) for q in indexed.values())))
-    low = F.lower("text")
-    maybe = reduce(or_, [F.contains(low, F.lit(t)) for t in needed])
+    # a trigram without postings is in no document, so it needs no search
+    needed = sorted(t for t in frozenset().union(*(cover(q, sizes) for q in indexed.values())) if t in sizes)
+    maybe = _bound(F.lower("text"), lambda low: reduce(or_, [F.contains(low, F.lit(t)) for t in needed], F.lit(False)))
     found = candidates(index, indexed, key).select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "_kinds")
     near = docs.where(maybe).join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (docs["_hash"] == found["_h"]), "left")
     each = [F.when(F.array_contains("_kinds", r.kind), spans_of(F.col("text"), r)).otherwise(none) for r in rules if r.kind in indexed]
