@@ -43,6 +43,9 @@ LIKE = (4, 5)
 #: Bands of MinHash values, and values in a band.
 BANDS = 32
 BAND_VALUES = 7
+#: Members of one key, and shingles of these, that make a tile.
+LIKE_TILE = 512
+LIKE_VALUES = 1 << 21
 
 _FOLD = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -267,8 +270,9 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (uid, doc_id, text) as classes (rep, first) of equal shingle sets, and links (u, v) between their rep.
 
-    rep is the uid of a class's first document. First every class meets the first one under each of its keys; then, of
-    classes that share a key, only pairs that no link holds together yet. So a dense group costs about a link a member.
+    rep is the uid of a class's first document. First every class meets the first one under each of its keys; then the
+    classes of a key that no link holds together yet are compared in tasks, tile by tile, and no pairs are written. The
+    links hold every group together; they are not all of its pairs.
     """
     spark = docs.sparkSession
 
@@ -297,16 +301,11 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("rep").alias("u"))
     split = split.where("a != b and n > 2").select("key", F.col("u").alias("leader"))
     left = rooted.join(split.hint("merge"), "key").where("rep != leader").select("key", "rep", "root")
-    right = left.select("key", F.col("rep").alias("v"), F.col("root").alias("other"))
-    apart = left.join(right.hint("merge"), "key").where("rep < v and root != other").select(F.col("rep").alias("u"), "v").distinct()
-    return classes.select("rep", "first"), linked.unionByName(similar(docs, apart))
+    return classes.select("rep", "first"), linked.unionByName(apart(docs, spark.read.parquet(write_shared(left, "open"))))
 
 
-def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of uid, those whose whole shingle sets reach the similarity."""
-    spark = docs.sparkSession
-    pairs = spark.read.parquet(write_shared(pairs, "pairs"))
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, s): the whole shingle sets of the documents of `wanted` (uid), written once."""
 
     def scan(batches):
         for batch in pieces(batches, "text", 2 << 20):
@@ -314,7 +313,76 @@ def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "s"])
 
     texts = docs.select("uid", "text").join(wanted.hint("merge"), "uid", "left_semi")
-    sets = spark.read.parquet(write_shared(texts.mapInArrow(scan, "uid bigint, s array<bigint>"), "sets"))
+    return docs.sparkSession.read.parquet(write_shared(texts.mapInArrow(scan, "uid bigint, s array<bigint>"), "sets"))
+
+
+def root_links(reps: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], tiles: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the similarity between members of unlike root (and, of two tiles, between these), thinned to a forest."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(n), sizes)
+    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, of = owner[count[of] > 1], of[count[of] > 1]  # a shingle of one set is in no intersection
+    by = np.argsort(of, kind="stable")
+    owner, of = owner[by], of[by]
+    new = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
+    at = np.cumsum(new) - 1
+    shared = np.zeros((n, n), np.int32)
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+        lo, hi = np.searchsorted(at, [begin, begin + 2048])
+        has = np.zeros((n, 2048), np.float32)
+        has[owner[lo:hi], at[lo:hi] - begin] = 1
+        shared += (has @ has.T).astype(np.int32)  # at most 2048, so exact
+    part, whole = LIKE
+    near = shared.astype(np.int64) * (part + whole) >= part * (sizes[:, None] + sizes[None, :])
+    near &= roots[:, None] != roots[None, :]
+    if tiles.min() != tiles.max():
+        near &= tiles[:, None] != tiles[None, :]
+    i, j = np.nonzero(np.triu(near))
+    names, code = np.unique(roots, return_inverse=True)
+    _, first = np.unique(np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j]), return_index=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        a, b = top(int(code[x])), top(int(code[y]))
+        if a != b:
+            parent[a] = b
+            found.append((int(reps[x]), int(reps[y])))
+    return found
+
+
+def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: int = LIKE_VALUES) -> DataFrame:
+    """(u, v): links of the similarity between members (key, rep, root) of a key that are of unlike root, as a forest.
+
+    A key's members are dealt over tiles of about `most` members and `values` shingles, and each pair of tiles is a group,
+    so no task holds more than two tiles; pairs are compared inside the task and only links that join roots leave it.
+    """
+    sets = shingle_sets(docs, members.select(F.col("rep").alias("uid")).distinct()).withColumnRenamed("uid", "rep")
+    sizes = members.join(sets.select("rep", F.size("s").alias("n")).hint("merge"), "rep").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    tiles = sizes.select("key", F.expr(f"cast(ceil(greatest(m / {most}D, n / {values}D)) as int)").alias("tiles"))
+    dealt = members.join(tiles.hint("merge"), "key").withColumn("t", F.expr(f"cast(pmod(xxhash64(rep, {SEED}), tiles) as int)"))
+    pair = F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, t) as i, greatest(x, t) as j))")
+    dealt = dealt.withColumn("p", F.explode(pair)).select("key", "p.i", "p.j", "t", "rep", "root")
+
+    def compare(key, group):
+        column = lambda name: group[name].to_numpy()
+        held = [x.values.to_numpy() for x in group["s"]]
+        found = root_links(column("rep"), column("root"), held, column("t")) if len(held) > 1 else []
+        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+
+    return dealt.join(sets.hint("merge"), "rep").groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
+
+
+def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of uid, those whose whole shingle sets reach the similarity."""
+    spark = docs.sparkSession
+    pairs = spark.read.parquet(write_shared(pairs, "pairs"))
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct())
     both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
     both = both.join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
     # sizes that differ too much cannot reach it; else shared / (all) >= part / whole, in whole numbers

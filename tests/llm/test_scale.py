@@ -188,3 +188,34 @@ def test_suffix_tables_and_addresses(spark):
     assert got["x.y.co.uk"] == ("co.uk", "uk") and got["10.2.3.4"] == ("10.2.3.4", "") and got["[::1]"][0] == "[::1]" and got["com"] == ("com", "com")
     got = {r["host"]: (r["domain"], r["suffix"]) for r in urls.with_domains(hosts, F.col("host")).collect()}
     assert got["x.y.co.uk"] == ("y.co.uk", "co.uk") and got["10.2.3.4"] == ("10.2.3.4", "")
+
+
+def test_members_of_a_key_are_compared_whole(spark):
+    """Links between unlike roots against brute force, in one tile and in many: the same groups, and no link inside a root."""
+    rng = random.Random(11)
+    base = [rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    rows.append((60, "short"))
+    docs = spark.createDataFrame(rows, "uid long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in rows}
+    root = {i: i - i % 2 for i, _ in rows}
+    members = spark.createDataFrame([(k, i, root[i]) for k in (1, 2) for i, _ in rows if k == 1 or i % 3], "key long, rep long, root long")
+    near = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+    def groups(links):
+        label = dict(root)
+        for a, b in links:
+            old, to = label[a], label[b]
+            label = {n: to if x == old else x for n, x in label.items()}
+        return {frozenset(n for n in label if label[n] == x) for x in label.values()}
+
+    for most, values in ((512, 1 << 21), (7, 1 << 21), (512, 300)):
+        found = [tuple(r) for r in simhash.apart(docs, members, most, values).collect()]
+        assert found and {(min(p), max(p)) for p in found} <= near
+        assert groups(found) == groups(near)
+    assert simhash.apart(docs, members.limit(0)).count() == 0
