@@ -11,8 +11,9 @@ equally likely, since each has the probability prod p_k^s_k. A permutation drawn
 the counts c with probability prod C(s_k, c_k) / C(N, n), whose mean is n p_k, as before, and whose variance is that of
 the multinomial times (N - n) / (N - 1). Without the condition a source of s blocks would miss its target by the root of s.
 
-A slot's number inside its source, permuted anew for each pass over the source, is the block it takes. Permutations
-are swap-or-not networks over any domain, computed inside expressions.
+A slot's number inside its source, permuted anew for each pass over the source, is the block it takes. The last slot of
+a source takes the first words of its block only, as many as its target still lacks, so that a source of any size takes
+its target to the word. Permutations are swap-or-not networks over any domain, computed inside expressions.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; a target stops at
 `most_repeats` times its source's size and the excess is reshared by weight until none is above.
@@ -45,8 +46,8 @@ TASK_SLOTS = 200_000
 CHUNK_DOCS = 10_000
 
 
-def permuted(index: Column, size: Column, *key: Column | int) -> Column:
-    """A pseudorandom permutation of 0 .. size - 1 applied to index; key picks the permutation."""
+def permuted(index: Column, size: Column, *key: Column | int, inverse: bool = False) -> Column:
+    """A pseudorandom permutation of 0 .. size - 1, or its inverse, applied to index; key picks the permutation."""
     fixed = [F.lit(k) if isinstance(k, int) else k for k in key]
 
     def swap(x: Column, r: Column) -> Column:
@@ -54,7 +55,9 @@ def permuted(index: Column, size: Column, *key: Column | int) -> Column:
         coin = F.xxhash64(F.lit("b"), r, F.greatest(x, partner), *fixed).bitwiseAND(F.lit(1))
         return F.when(coin == 1, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), index.cast("long"), swap)
+    # each round swaps pairs and undoes itself, so the rounds in reverse are the inverse
+    rounds = (F.lit(ROUNDS - 1), F.lit(0)) if inverse else (F.lit(0), F.lit(ROUNDS - 1))
+    return F.aggregate(F.sequence(*rounds), index.cast("long"), swap)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -76,28 +79,38 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return out.withColumn("target", target).drop("_level", "_n", "_open")
 
 
-def plan(sizes: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+def plan(sizes: DataFrame, block: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """Sources with targets, blocks and slots: one row per source with the slots' place [first_slot, first_slot + slots).
 
-    sizes has source and size. A source takes as many slots as its blocks, of the length they have on average, need to
-    reach its target; never more than `most` passes.
+    sizes has source and size. A source takes whole passes over its blocks while its target holds them, then so many
+    blocks of one more pass as the rest needs; last_words is what its last slot takes of its block (null: all of it).
     """
     per = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * blocks / F.col("source_size")).cast("long"), most * blocks))
-    per = per.withColumn("blocks", blocks).withColumn("slots", F.coalesce(slots, F.lit(0).cast("long")))
+    size = F.greatest("source_size", F.lit(1))
+    per = per.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")).withColumn("_want", F.round("target").cast("long"))
+    per = per.withColumn("_full", F.least(F.floor(F.col("_want") / size).cast("long"), F.lit(most).cast("long")))
+    per = per.withColumn("_rest", F.greatest(F.col("_want") - F.col("_full") * F.col("source_size"), F.lit(0)))
+    # all blocks are of the fixed length but the last one, which `lacks` some words and is at place `_at` of the pass
+    lacks = F.col("blocks") * block - F.col("source_size")
+    per = per.withColumn("_at", permuted(F.col("blocks") - 1, F.greatest("blocks", F.lit(1)), F.xxhash64("source"), F.col("_full"), seed + 1, inverse=True))
+    even = F.ceil(F.col("_rest") / block).cast("long")
+    per = per.withColumn("_more", F.when(even <= F.col("_at"), even).when(F.col("_rest") > 0, F.ceil((F.col("_rest") + lacks) / block).cast("long")).otherwise(0))
+    before_last = (F.col("_more") - 1) * block - F.when(F.col("_more") - 1 > F.col("_at"), lacks).otherwise(0)
+    per = per.withColumn("slots", F.col("_full") * F.col("blocks") + F.col("_more")).withColumn("last_words", F.when(F.col("_more") > 0, F.col("_rest") - before_last))
     order = W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    return per.withColumn("first_slot", F.coalesce(F.sum("slots").over(order), F.lit(0).cast("long")))
+    return per.withColumn("first_slot", F.coalesce(F.sum("slots").over(order), F.lit(0).cast("long"))).drop("_want", "_full", "_rest", "_at", "_more")
 
 
 def draw(spark: SparkSession, planned: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED, bins: int = 1024) -> DataFrame:
-    """One row per slot of the mix: shard, slot, source and the block it takes.
+    """One row per slot of the mix: shard, slot, source, the block it takes and the words it takes of it (null: all).
 
-    Slots meet their source by a join on coarse bins of the permuted number, so no slot is compared with every source.
+    planned has source, blocks, slots and first_slot, and last_words where a last slot takes part of its block. Slots meet their source by a join on coarse bins of the permuted number, so no slot is compared with every source.
     """
+    if "last_words" not in planned.columns:
+        planned = planned.withColumn("last_words", F.lit(None).cast("long"))
     total = planned.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     if not total:
-        return planned.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block")).limit(0)
+        return planned.select(F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("slot"), "source", F.lit(0).cast("long").alias("block"), "last_words").limit(0)
     width = -(-total // bins)
     slots = spark.range(0, total, 1, -(-total // TASK_SLOTS)).select(
         F.floor(F.col("id") / shard_slots).alias("shard"), F.col("id").alias("slot"), permuted(F.col("id"), F.lit(total), seed).alias("at")
@@ -109,7 +122,7 @@ def draw(spark: SparkSession, planned: DataFrame, shard_slots: int = SHARD_SLOTS
     number = F.col("at") - F.col("first_slot")
     turn, within = F.floor(number / F.col("blocks")), F.pmod(number, F.col("blocks"))
     taken = permuted(within, F.col("blocks"), F.xxhash64("source"), turn, seed + 1)
-    return mixed.select("shard", "slot", "source", taken.alias("block"))
+    return mixed.select("shard", "slot", "source", taken.alias("block"), F.when(number == F.col("slots") - 1, F.col("last_words")).alias("last_words"))
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -121,18 +134,24 @@ def streams(sizes: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
     """sizes (key, source, size) with `offset`, the words of the same source before the row.
 
     The order inside a source is by a hash of the key, in chunks of about chunk_docs rows: chunk totals are summed over
-    few rows, rows are summed inside their chunk, and no source has to pass through one task.
+    few rows, rows are summed inside their chunk, and no source has to pass through one task. A key of more rows than
+    that (copies of one row) is salted by row into chunks of its own.
     """
     chunks = F.greatest(F.ceil(F.col("n") / chunk_docs), F.lit(1))
     counts = sizes.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_source")
     placed = sizes.join(counts, sizes["source"].eqNullSafe(counts["_source"])).withColumn("chunk", F.pmod(F.xxhash64(F.lit("c"), "key"), chunks)).drop("n", "_source")
-    totals = placed.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select(F.col("source").alias("_source"), F.col("chunk").alias("_chunk"), before.alias("_before"))
-    inner = W.partitionBy("source", "chunk").orderBy("key", "row").rowsBetween(W.unboundedPreceding, -1)
+    hot = sizes.groupBy("key").agg(F.count("*").alias("copies")).where(F.col("copies") > chunk_docs)
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.ceil(F.col("copies") / chunk_docs)), F.lit(0))
+    placed = placed.join(hot, "key", "left").withColumns({"hot": F.when(F.col("copies").isNull(), 0).otherwise(F.col("key")), "salt": salt}).drop("copies")
+    part = ["chunk", "hot", "salt"]
+    totals = placed.groupBy("source", *part).agg(F.sum("size").alias("words"))
+    before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy(*part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(F.col("source").alias("_source"), *[F.col(c).alias(f"_{c}") for c in part], before.alias("_before"))
+    inner = W.partitionBy("source", *part).orderBy("key", "row").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = placed.join(totals, placed["source"].eqNullSafe(totals["_source"]) & (placed["chunk"] == totals["_chunk"]))
-    return placed.withColumn("offset", F.col("_before") + F.col("_inner")).drop("_source", "_chunk", "_before", "_inner", "chunk")
+    same = [placed["source"].eqNullSafe(totals["_source"]), *[placed[c] == totals[f"_{c}"] for c in part]]
+    placed = placed.join(totals, same)
+    return placed.withColumn("offset", F.col("_before") + F.col("_inner")).drop("_source", "_before", "_inner", *part, *[f"_{c}" for c in part])
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, seed: int = SEED,
@@ -140,7 +159,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """(documents, parts, slots) of a mix.
 
     documents: row (a number for the row, or the column that `row` names), doc_id, source, size, source_size, target, taken. parts: the pieces of
-    documents in the mix, with row, block, first (the piece's first word in the document), words, uses. slots: draw().
+    documents in the mix, with row, block, first (the piece's first word in the document), words, uses, and extra, how many
+    of its first words are used once more. slots: draw().
     """
     spark = docs.sparkSession
     sizes = docs.select(
@@ -148,16 +168,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(doc_id, text).alias("key"),
     )
     sizes = spark.read.parquet(write_shared(sizes, "sizes"))
-    planned = spark.read.parquet(write_shared(plan(sizes, block, weights, most).coalesce(1), "plan"))
+    planned = spark.read.parquet(write_shared(plan(sizes, block, weights, most, seed).coalesce(1), "plan"))
     slots = draw(spark, planned, shard_slots, seed)
-    uses = slots.groupBy("source", "block").agg(F.count("*").alias("uses")).withColumnsRenamed({"source": "_source", "block": "_block"})
+    uses = slots.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block"))
+    uses = uses.agg(F.count_if(F.col("last_words").isNull()).alias("uses"), F.coalesce(F.max("last_words"), F.lit(0)).alias("_part"))
     placed = streams(sizes).where("size > 0")
     end = F.col("offset") + F.col("size")
     cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((end - 1) / block))))
     first = F.greatest(F.col("block") * block, F.col("offset"))
-    cut = cut.select("row", "source", "block", (first - F.col("offset")).alias("first"), (F.least((F.col("block") + 1) * block, end) - first).alias("words"))
-    parts = cut.join(uses, cut["source"].eqNullSafe(uses["_source"]) & (cut["block"] == uses["_block"])).select("row", "block", "first", "words", "uses")
-    taken = parts.groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    cut = cut.select(
+        "row", "source", "block", (first - F.col("offset")).alias("first"), (F.least((F.col("block") + 1) * block, end) - first).alias("words"),
+        (first - F.col("block") * block).alias("_place"),
+    )
+    extra = F.greatest(F.least(F.col("words"), F.col("_part") - F.col("_place")), F.lit(0))
+    parts = cut.join(uses, cut["source"].eqNullSafe(uses["_source"]) & (cut["block"] == uses["_block"]))
+    parts = parts.select("row", "block", "first", "words", "uses", extra.alias("extra")).where("uses > 0 or extra > 0")
+    taken = parts.groupBy("row").agg(F.sum(F.col("words") * F.col("uses") + F.col("extra")).alias("taken"))
     plans = planned.select(F.col("source").alias("_source"), "source_size", "target")
     out = sizes.join(plans, sizes["source"].eqNullSafe(plans["_source"])).join(taken, "row", "left")
     return out.select("row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")), parts, slots
@@ -171,12 +197,14 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
     rows = numbered(docs, name)
     _, parts, _ = mix(rows, text=text, row=name, **how)
     parts = spark.read.parquet(write_shared(parts, "parts"))
-    of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses"))).alias("_parts"))
+    of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses", "extra"))).alias("_parts"))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
+    def piece(p: Column, w: Column, n: str) -> Column:
+        return F.regexp_replace(F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p[n].cast("int")), ""), r"^[\x20\x09-\x0D]+", "")
+
     def drawn(p: Column, w: Column) -> Column:
-        piece = F.array_join(F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int")), "")
-        return F.array_repeat(F.regexp_replace(piece, r"^[\x20\x09-\x0D]+", ""), p["uses"].cast("int"))
+        return F.concat(F.array_repeat(piece(p, w, "words"), p["uses"].cast("int")), F.array_repeat(piece(p, w, "extra"), F.least(p["extra"], F.lit(1)).cast("int")))
 
     # the words are bound to a lambda variable, else each part would split the text anew
     joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: drawn(p, w))), " "))[0]

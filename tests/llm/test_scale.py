@@ -149,6 +149,39 @@ def test_shard_counts_follow_their_law(spark):
     assert len([1 for s, _ in blocks if s == "a"]) == 400 and set(uses) == {1, 2} and uses[2] == 200
 
 
+def test_small_sources_take_their_targets(spark):
+    """Sources of 1 to 70 words below their limits, one of blocks without a rest, and one of 200: each to the word."""
+    sizes = {f"s{n:03}": n for n in (*range(1, 71, 3), 128, 200)} | {None: 33}
+    rows = [(i, " ".join(["w"] * (n - n // 2 if part else n // 2)), s) for i, (s, n) in enumerate(sizes.items()) for part in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for block in (64, 7):
+        out, parts, slots = mixing.mix(d, block=block)
+        taken, target = collections.Counter(), {}
+        for r in out.collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert sum(t < 3 * sizes[s] for s, t in target.items()) > 10
+        assert all(abs(taken[s] - target[s]) <= 0.5 for s in sizes)
+        by_slot = slots.join(mixing.plan(d.select("source", F.regexp_count("text", F.lit(mixing.WORD)).cast("long").alias("size")), block).select("source", "blocks"), "source")
+        assert by_slot.where("block < 0 or block >= blocks").count() == 0
+
+
+def test_a_row_of_many_copies(spark):
+    """Copies of one row beyond a chunk are salted, and the stream has neither gaps nor overlaps."""
+    rows = [(i, 7 if i < 300 else i, "s" if i % 10 else None, i % 5 if i >= 300 else 4) for i in range(700)]
+    d = spark.createDataFrame(rows, "row long, key long, source string, size long")
+    got = mixing.streams(d, chunk_docs=20).collect()
+    assert len(got) == 700
+    for s in ("s", None):
+        at = 0
+        for r in sorted((r["offset"], r["size"]) for r in got if r["source"] == s):
+            assert r[0] == at
+            at += r[1]
+        copies = sorted(r["offset"] for r in got if r["source"] == s and r["key"] == 7)
+        assert copies == list(range(copies[0], copies[0] + 4 * len(copies), 4))
+
+
 def test_verdicts_follow_from_the_patterns(spark):
     rng = random.Random(36)
     some = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 200))) + rng.choice([".", "", " ###" * 40, "\nx" * 30]) for _ in range(300)] + ["word. " * 200_000]
