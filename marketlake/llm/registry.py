@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlake.llm import decontaminate, language, mixing, quality, secrets, sentences, simhash, suffixes, tokenbin, urls
+from marketlake.llm import bpe, decontaminate, language, lexical, mixing, quality, secrets, sentences, simhash, suffixes, tokenbin, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,9 @@ def queries() -> dict[str, Query]:
         "op8_mixing": mixing.op8,
         "op9_simhash": simhash.op9,
         "op10_weak_supervision": quality.op10,
+        "op11_lexical_search": lexical.op11,
+        "op12_tree_bpe": bpe.op12,
+        "op13_prefix_trie": trie.op13,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_secrets": secrets.ORACLE,
         "op5_host_reputation": urls.ORACLE,
         "op6_sentence_spans": sentences.ORACLE,
+        "op11_lexical_search": lexical.ORACLE,
+        "op13_prefix_trie": trie.ORACLE,
     }
