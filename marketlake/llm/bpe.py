@@ -39,7 +39,7 @@ LEAF = 16
 #: Bytes of an unsplit piece from which its leaves are spread over tasks, and symbols of such a leaf.
 SPREAD, SPREAD_LEAF = 1 << 16, 1 << 14
 #: Bytes of words and ids that a worker remembers.
-REMEMBER = 48 << 20
+REMEMBER = 96 << 20
 
 KINDS = "doc_id bigint, ids array<int>, decoded string"
 PLAIN, INNER, LAST = 0, 1, 2
@@ -81,6 +81,9 @@ class Encoder:
         self.added = added
         self.find_added = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")").split if added else (lambda s: [s])
         self.letters = byte_letters()
+        self.id_bytes = {n: n.to_bytes(4, "little") for n in self.tokens}
+        # letters that normalising only lower-cases and that make one piece
+        self.plain = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         # on lower-cased ASCII text without white space this is the tokenizer's own splitter
         self.cut = regex.compile(said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.words, self.pieces = _Memo(self.word), _Memo(self.piece)
@@ -159,12 +162,18 @@ class Encoder:
         return out
 
     def both(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return np.array(ids, "<i4").tobytes(), b" ".join([self.tokens[i] for i in ids])
+        return b"".join([self.id_bytes[i] for i in ids]), b" ".join([self.tokens[i] for i in ids])
 
     def piece(self, symbols: str) -> tuple[bytes, bytes]:
         return self.both(self.tree(symbols))
 
     def word(self, word: bytes) -> tuple[bytes, bytes]:
+        text = word.decode()
+        body, mark = (text[:-1], text[-1]) if text[-1] in ",.;:!?" else (text, "")
+        if self.plain(body):
+            low = body.lower()
+            found = self.pieces[low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)]
+            return (found[0] + self.pieces[mark][0], found[1] + b" " + self.pieces[mark][1]) if mark else found
         found = [self.both([p]) if isinstance(p, int) else self.pieces[p] for p in self.parts(word)]
         return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b" ".join([f[1] for f in found]))
 
@@ -208,7 +217,7 @@ def encode_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", to
                 for word in body.split():
                     for p in enc.parts(word):
                         if isinstance(p, int):
-                            held.append(np.array([p], "<i4").tobytes())
+                            held.append(enc.id_bytes[p])
                         elif len(p) <= spread:
                             held.append(enc.pieces[p][0])
                         else:
