@@ -215,9 +215,11 @@ def with_fundamentals(companies: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def cik_map(documents: DataFrame) -> DataFrame:
-    """(ticker, cik) from the published map (body: JSON of {n: {ticker, cik_str}}); tickers in upper case."""
-    rows = documents.select(F.explode(F.map_values(F.from_json("body", "map<string, struct<ticker: string, cik_str: bigint>>"))).alias("r"))
-    return rows.groupBy(F.upper("r.ticker").alias("ticker")).agg(F.max("r.cik_str").cast("int").alias("cik"))
+    """(ticker, cik) from the published map (body: JSON of {n: {ticker, cik_str}}); tickers in upper case. Of entries that
+    share a ticker the last in the document counts; of documents that do, the one with the greatest body."""
+    entries = F.map_values(F.from_json("body", "map<string, struct<ticker: string, cik_str: bigint>>"))
+    rows = documents.select("body", F.posexplode(entries).alias("nth", "r"))
+    return rows.groupBy(F.upper("r.ticker").alias("ticker")).agg(F.max_by("r.cik_str", F.struct("body", "nth")).cast("int").alias("cik"))
 
 
 def with_cik(tickers: DataFrame, ciks: DataFrame) -> DataFrame:

@@ -21,9 +21,11 @@ def articles(payloads: DataFrame) -> DataFrame:
 def dedup(rows: DataFrame, order: str = "published_at") -> DataFrame:
     """Of each (ticker, article_id) the copy fetched first; rows without an id all stay.
 
-    They are kept out of the window, so they do not gather in one task.
+    Copies of the same day and time are ordered by all their columns, so a rerun keeps the same one. Rows without an id are
+    kept out of the window, so they do not gather in one task.
     """
-    w = W.partitionBy("ticker", "article_id").orderBy("snapshot_date", F.col(order).asc_nulls_last())
+    rest = [F.col(c).asc_nulls_last() for c in sorted(rows.columns) if c not in ("ticker", "article_id", "snapshot_date", order)]
+    w = W.partitionBy("ticker", "article_id").orderBy("snapshot_date", F.col(order).asc_nulls_last(), *rest)
     known = rows.where("article_id is not null").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return known.unionByName(rows.where("article_id is null"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
+from marketlake.sources import files
 
 #: A ticker's answer: its price, its expirations, and a chain or an error for each expiration that was asked for.
 _CONTRACT = (
@@ -29,7 +29,8 @@ def sides(calls: DataFrame, puts: DataFrame) -> DataFrame:
 
 
 def in_window(contracts: DataFrame, today: str, days: tuple[int, int] = DAYS) -> DataFrame:
-    return contracts.where(F.datediff(F.to_date("expiration"), F.lit(today).cast("date")).between(*days))
+    """Contracts that expire inside the days; one whose expiration is no date goes."""
+    return contracts.where(F.datediff(F.try_to_date("expiration"), F.lit(today).cast("date")).between(*days))
 
 
 def atm_contracts(contracts: DataFrame, n: int = NEAREST) -> DataFrame:
@@ -76,8 +77,9 @@ def answers(payloads: DataFrame) -> DataFrame:
 def contracts_of(read: DataFrame) -> DataFrame:
     """answers() without error to one row per contract, as the archive holds them."""
     chain = read.where("error is null").select("ticker", "price", F.explode("chains").alias("c")).where("c.expiration is not null")
-    each = [chain.select("ticker", "price", F.col("c.expiration").alias("expiration"), F.lit(side).alias("option_type"), F.explode(f"c.{side}s").alias("o")) for side in ("call", "put")]
-    return each[0].unionByName(each[1]).select(
+    side = lambda s: F.transform(F.coalesce(f"c.{s}s", F.array()), lambda o: F.struct(F.lit(s).alias("option_type"), o.alias("o")))
+    both = chain.select("ticker", "price", F.col("c.expiration").alias("expiration"), F.explode(F.concat(side("call"), side("put"))).alias("x")).select("*", "x.*")
+    return both.select(
         "ticker", "expiration", "option_type", "o.strike", F.col("o.lastPrice").alias("last_price"), "o.bid", "o.ask", F.col("o.volume").cast("long").alias("volume"),
         F.col("o.openInterest").cast("long").alias("open_interest"), F.col("o.impliedVolatility").alias("implied_volatility"), F.col("o.inTheMoney").alias("in_the_money"),
         F.col("o.contractSymbol").alias("contract_symbol"), F.try_to_timestamp("o.lastTradeDate").alias("last_trade_date"), F.col("price").alias("underlying_price"),
@@ -85,8 +87,13 @@ def contracts_of(read: DataFrame) -> DataFrame:
 
 
 def scan(payloads: DataFrame, today: str, days: tuple[int, int] = DAYS) -> tuple[DataFrame, DataFrame]:
-    """(one row for each ticker as in snapshots(), with every kind of error; contracts inside the days) of raw payloads."""
-    read = answers(payloads)
+    """(one row for each ticker as in snapshots(), with every kind of error; contracts inside the days) of raw payloads.
+
+    The payloads are parsed once, into a table of the cluster's shared folder that the report and the contracts read.
+    """
+    path = files.work_path(payloads.sparkSession, "answers")
+    answers(payloads).write.parquet(path)
+    read = payloads.sparkSession.read.parquet(path)
     inside = F.filter("expirations", lambda e: F.datediff(F.try_to_date(e), F.lit(today).cast("date")).between(*days))
     read = read.withColumn("expirations_used", F.coalesce(F.size(inside), F.lit(0)))
     live = in_window(contracts_of(read), today, days)

@@ -256,7 +256,7 @@ def news_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.dedup(_news(spark, sf_dir)).withColumn("published_at", F.unix_micros(F.col("published_at").cast("timestamp")))
 
 
-def archive_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+def news_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News of a range of days by day, both ends included."""
     n = _news(spark, sf_dir)
     b = n.agg(F.date_add(F.min("snapshot_date"), 5).alias("_from"), F.date_add(F.min("snapshot_date"), 12).alias("_to"))
@@ -287,7 +287,7 @@ QUERIES = {
     for f in (
         breadth, regime_daily, regime_summary, regime_asof, regime_config, membership_intervals, members_as_of, members_between, coverage_gap, coverage_top, bars_in_universe, scraped_tickers,
         fundamentals_dedup, fundamentals_pit, fundamentals_upsert, fundamentals_json, dup_audit, latest_filed, reconcile, ingest_status, star_join, companies_with_facts,
-        insider_xml, filing_index, options_snapshot, options_report, options_bullish, options_sentiment, news_dedup, archive_range, news_json, props_json, sector_lookup,
+        insider_xml, filing_index, options_snapshot, options_report, options_bullish, options_sentiment, news_dedup, news_days, news_json, props_json, sector_lookup,
     )
 }
 
@@ -371,7 +371,7 @@ SELECT l_returnflag AS transaction_code, CASE WHEN k > 0 THEN 'CFO' END AS insid
     "options_bullish": f"{_OPTIONS} SELECT ticker, signal FROM og WHERE error IS NULL AND signal IN ('bullish', 'strong_bullish') AND coalesce(pcr_volume, 0) >= 1",
     "options_sentiment": f"{_OPTIONS} SELECT signal, count(*) AS n, count(*) FILTER (WHERE unusual_activity) AS n_unusual FROM og WHERE error IS NULL GROUP BY signal",
     "news_dedup": f"WITH {_NEWS}, n AS (SELECT *, row_number() OVER (PARTITION BY ticker, article_id ORDER BY snapshot_date, published_at) AS k FROM nw) SELECT ticker, article_id, headline, epoch_us(published_at) AS published_at, snapshot_date FROM n WHERE article_id IS NULL OR k = 1",
-    "archive_range": f"WITH {_NEWS} SELECT snapshot_date, count(*) AS n, count(DISTINCT ticker) AS tickers FROM nw WHERE snapshot_date BETWEEN (SELECT min(snapshot_date) FROM nw) + 5 AND (SELECT min(snapshot_date) FROM nw) + 12 GROUP BY snapshot_date",
+    "news_days": f"WITH {_NEWS} SELECT snapshot_date, count(*) AS n, count(DISTINCT ticker) AS tickers FROM nw WHERE snapshot_date BETWEEN (SELECT min(snapshot_date) FROM nw) + 5 AND (SELECT min(snapshot_date) FROM nw) + 12 GROUP BY snapshot_date",
     "news_json": "SELECT event_type AS headline, count(*) AS n, count(*) FILTER (WHERE event_id % 3 <> 0) AS n_dated, max(CASE WHEN event_id % 3 <> 0 THEN CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) END) AS last_seen FROM events WHERE user_id % 50 <> 0 GROUP BY event_type",
     "props_json": "SELECT TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS n, round_even(sum(value), 3) + 0.0 AS value FROM events GROUP BY 1",
     "sector_lookup": "SELECT coalesce(n_name, 'Unknown') AS sector, n_regionkey * 1.5::DOUBLE AS market_cap, count(*) AS n FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey <> 2 GROUP BY 1, 2",

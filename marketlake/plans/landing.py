@@ -97,7 +97,7 @@ def option_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     chains = c.groupBy("ticker", "underlying_price", "expiration").agg(side("call"), side("put"))
     body = F.to_json(F.struct(F.first("underlying_price").alias("price"), F.collect_list("expiration").alias("expirations"), F.collect_list(F.struct("expiration", "calls", "puts")).alias("chains")))
     good = chains.groupBy("ticker").agg(body.alias("body")).withColumn("error", F.lit(None).cast("string"))
-    bad = [("~a", '{"expirations": ["1996-06-20"]}', None), ("~b", '{"price": 2.0, "expirations": []}', None), ("~c", None, "x" * 60), ("~d", '{"price": 3.0, "expirations": ["2000-01-01"]}', None), ("~e", '{"price": 4.0, "expirations": ["1996-06-20"], "chains": [null]}', None)]
+    bad = [("~a", '{"expirations": ["1996-06-20"]}', None), ("~b", '{"price": 2.0, "expirations": []}', None), ("~c", None, "x" * 60), ("~d", '{"price": 3.0, "expirations": ["2000-01-01"]}', None), ("~f", '{"price": 5.0, "expirations": ["soon"], "chains": [{"expiration": "soon", "calls": [{"strike": 1.0, "volume": 5.0}], "puts": null}]}', None), ("~e", '{"price": 4.0, "expirations": ["1996-06-20"], "chains": [null]}', None)]
     snaps, _ = options.scan(good.unionByName(spark.createDataFrame(bad, good.schema)), history.TODAY)
     out = snaps.select("ticker", "price", "pcr_volume", "pcr_oi", "put_volume", "call_volume", "put_oi", "call_oi", "avg_put_iv", "avg_call_iv", "unusual_activity", "expirations_used", "signal", "error")
     return rounded(out, "price", "pcr_volume", "pcr_oi", "avg_put_iv", "avg_call_iv", digits=9)
@@ -140,6 +140,24 @@ def universe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.panel.groupBy("ticker").agg(F.count("*").alias("n"), half_even(F.sum("volume"), 3).alias("volume"))
 
 
+def panel_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cached panel and a batch of a few weeks, part of it sent again: new days are added, tickers that the batch alone
+    holds take a rename, a retry or the fallback, one rename is blocked by its own new symbol, two tickers stay lost."""
+    b = nation_bars(spark, sf_dir).select("ticker", "date", *ops.FIELDS)
+    n, recent = F.col("ticker").try_cast("int"), F.col("date") >= F.lit("2001-08-15").cast("date")
+    new_name = lambda t, name: b.where(n == t).withColumn("ticker", F.lit(name))
+    landed = b.where(recent | n.between(15, 17)).withColumn("volume", F.col("volume") * 2).unionByName(new_name(19, "R19"))
+    renames = spark.createDataFrame([("18", "R18", "active"), ("19", "R19", "active"), ("20", "R20", "gone")], files.RENAMES)
+    asked = b.select("ticker").distinct().unionByName(spark.createDataFrame([("R19",), ("NONE",)], "ticker string"))
+    r = ingest.refresh(
+        asked, landed, new_name(18, "R18").unionByName(new_name(19, "R19")), b.where("ticker in ('20', '21')"), renames, files.work_path(spark, "refresh"),
+        cached=b.where((n < 15) & (F.col("date") < "2001-08-25")), fallback=b.where("ticker = '22'"), known_unavailable=spark.createDataFrame([("X",)], "ticker string"),
+    )
+    lost = r.unavailable.select("ticker", F.lit(True).alias("unavailable"))
+    served = r.panel.groupBy("ticker").agg(F.count("*").alias("n"), half_even(F.sum("volume"), 3).alias("volume"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return served.join(lost, "ticker", "full_outer").withColumn("unavailable", F.coalesce("unavailable", F.lit(False)))
+
+
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticker's bars, which is what the operator is for."""
     return rounded(ops.of_ticker(bars(spark, sf_dir), "NO").select("date", "open", "high", "low", "close", "volume"), *ops.FIELDS)
@@ -149,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         late_days_upsert, archive_range, archive_days, members_csv, html_lists, cik_map, older_shards, regime_detect, option_scan, news_scan, fundamentals_ingest,
-        universe_load, point_lookup,
+        universe_load, panel_refresh, point_lookup,
     )
 }
 
@@ -179,6 +197,7 @@ UNION ALL SELECT '~a', 0.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 1, 'neutr
 UNION ALL SELECT '~b', 2.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 0, 'neutral', 'no_options'
 UNION ALL SELECT '~c', 0.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 0, 'neutral', repeat('x', 50)
 UNION ALL SELECT '~d', 3.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 0, 'neutral', 'no_valid_expirations'
+UNION ALL SELECT '~f', 5.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 0, 'neutral', 'no_valid_expirations'
 UNION ALL SELECT '~e', 4.0, NULL, NULL, 0, 0, 0, 0, NULL, NULL, false, 1, 'neutral', NULL""",
     "news_scan": """
 SELECT count(DISTINCT user_id) AS tickers, count(*) FILTER (WHERE user_id % 10 != 0) AS articles, count(DISTINCT CASE WHEN user_id % 10 = 0 THEN user_id END) AS errors FROM events""",
@@ -196,6 +215,18 @@ FROM s LEFT JOIN a ON c_custkey = o_custkey GROUP BY status""",
     "universe_load": f"""
 WITH {sql.BARS}, {_CLEAN}
 SELECT ticker, count(*) AS n, round_even(sum(volume), 3) AS volume FROM clean WHERE ticker IN ('AF', 'NO') GROUP BY ticker""",
+    "panel_refresh": f"""
+WITH {sql.TRADES},
+b AS (SELECT CAST(s_nationkey AS VARCHAR) AS ticker, s_nationkey AS k, date, first(price ORDER BY {sql.NTH}) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY {sql.NTH}) AS close,
+  sum(volume) AS volume FROM trades JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, date),
+p AS (
+  SELECT ticker, date, open, high, low, close, CASE WHEN date >= DATE '2001-08-15' THEN 2 * volume ELSE volume END AS volume FROM b WHERE k < 15
+  UNION ALL SELECT ticker, date, open, high, low, close, 2 * volume FROM b WHERE k BETWEEN 15 AND 17
+  UNION ALL SELECT ticker, date, open, high, low, close, volume FROM b WHERE k IN (18, 20, 21, 22)
+  UNION ALL SELECT 'R19', date, open, high, low, close, volume FROM b WHERE k = 19),
+bars AS (SELECT * FROM p), {_CLEAN.strip()}
+SELECT ticker, count(*) AS n, round_even(sum(volume), 3) AS volume, min(date) AS first_date, max(date) AS last_date, false AS unavailable FROM clean GROUP BY ticker
+UNION ALL SELECT ticker, NULL, NULL, NULL, NULL, true FROM (SELECT DISTINCT ticker FROM b WHERE k IN (19, 23, 24) UNION ALL SELECT 'X')""",
     "point_lookup": f"""
 WITH {sql.BARS}
 SELECT date, round_even(open, 6) AS open, round_even(high, 6) AS high, round_even(low, 6) AS low, round_even(close, 6) AS close, round_even(volume, 6) AS volume FROM bars WHERE ticker = 'NO'""",

@@ -256,6 +256,21 @@ def test_options_edges(spark):
     assert [x[0] for x in r] == ["strong_bullish", "bullish", "strong_bullish", "bearish", "neutral", "neutral"]
 
 
+def test_a_date_that_is_none_does_not_end_a_scan(spark):
+    body = '{"price": 1.0, "expirations": ["2020-02-01", "never"], "chains": [{"expiration": "never", "calls": [{"strike": 1.0, "volume": 9.0}]}, {"expiration": "2020-02-01", "calls": [{"strike": 1.0, "volume": 4.0}], "puts": [{"strike": 2.0, "volume": 8.0}]}]}'
+    p = spark.createDataFrame([("A", body, None), ("B", "no json", None)], "ticker string, body string, error string")
+    snaps, live = options.scan(p, "2020-01-01")
+    got = {r["ticker"]: r for r in snaps.collect()}
+    assert (got["A"]["expirations_used"], got["A"]["pcr_volume"], got["B"]["error"]) == (1, 2.0, "no_price")
+    assert sorted((r["option_type"], r["strike"]) for r in live.collect()) == [("call", 1.0), ("put", 2.0)]
+
+
+def test_last_entry_of_the_map_counts(spark):
+    body = '{"0": {"ticker": "a", "cik_str": 9}, "1": {"ticker": "B", "cik_str": 5}, "2": {"ticker": "A", "cik_str": 3}}'
+    got = fu.cik_map(spark.createDataFrame([(body,)], "body string"))
+    assert {r["ticker"]: r["cik"] for r in got.collect()} == {"A": 3, "B": 5}
+
+
 def test_news_dedup_keeps_nulls_and_tickers(spark):
     rows = [("A", 1, day(1)), ("A", 1, day(0)), ("B", 1, day(1)), ("A", None, day(0)), ("A", None, day(1))]
     df = spark.createDataFrame(rows, "ticker string, article_id long, snapshot_date date").withColumn("published_at", F.lit(None).cast("timestamp"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.operators import ingest
-from marketlake.sources import warehouse
+from marketlake.sources import versions, warehouse
 from marketlake.sources.http import HttpDocuments
 from tests.test_operators import BARS, day, panel
 
@@ -62,6 +62,39 @@ def test_refresh_takes_each_ticker_from_one_source(spark, tmp_path):
     assert {x["ticker"] for x in r.unavailable.collect()} == {"LOST", "LONG_GONE"}
 
 
+def test_short_batches_add_days(spark, tmp_path):
+    """Five new days of a ticker with a long cached history are added, however few they are, and it is not given up."""
+    long, path = [10.0 + i for i in range(300)], str(tmp_path)
+    asked = spark.createDataFrame([("A",), ("B",)], "ticker string")
+    renames, none = spark.createDataFrame([], "old_ticker string, new_ticker string, status string"), panel(spark, [1.0]).where("false")
+    batch = panel(spark, long + [1.0] * 5).where(F.col("date") >= F.lit(day(299))).unionByName(panel(spark, [2.0] * 5, "B"))
+    r = ingest.refresh(asked, batch, none, none, renames, path, cached=panel(spark, long))
+    assert {x["ticker"]: x["count"] for x in r.panel.groupBy("ticker").count().collect()} == {"A": 305}
+    assert [x["ticker"] for x in r.unavailable.collect()] == ["B"]
+    # a later run commits versions of its own; what the first one returned is read as it was
+    again = ingest.refresh(asked, none, none, none, renames, path, cached=panel(spark, long[:260]))
+    assert again.panel.count() == 260 and r.panel.count() == 305
+
+
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert versions.version(spark, path) is None
+    one = versions.commit(spark.range(3), path, period="5y")
+    reader = one.read(spark)
+    two = versions.commit(spark.range(10), path, after=one)
+    assert (two.number, reader.count(), versions.version(spark, path).read(spark).count()) == (2, 3, 10)
+    assert versions.version(spark, path, 1).facts == {"period": "5y"} and versions.version(spark, path, 9) is None
+    with pytest.raises(versions.Conflict):  # made from a version that is not the last any more
+        versions.commit(spark.range(1), path, after=one)
+    bad = spark.range(1).select(F.raise_error(F.lit("x")).cast("string").alias("id"))
+    with pytest.raises(Exception, match="x"):
+        versions.commit(bad, path)
+    assert versions.version(spark, path).number == 2
+    assert versions.clean_up(spark, path, keep=1) == 0  # too young
+    assert versions.clean_up(spark, path, keep=1, least_hours=0) >= 2  # the first version and what broke off
+    assert versions.version(spark, path, 1) is None and versions.version(spark, path).read(spark).count() == 10
+
+
 def test_landed_filters_are_pushed(spark, tmp_path):
     panel(spark, [1.0, 2.0]).write.parquet(str(tmp_path / "b"))
     df = ingest.landed_bars(spark, str(tmp_path / "b"), ["A"], after=str(day(0))).select("close")
