@@ -1,5 +1,5 @@
 """Technical indicators of bars, as columns by date. Rolling ones share the window (ticker, date); exponential ones
-run over each ticker's bars."""
+are scans."""
 
 from __future__ import annotations
 
@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marketlake.functions import ewm
+from marketlake.functions import scan
 from marketlake.functions import windows as wf
 from marketlake.functions.numeric import half_even, present, ratio
 
 
-
 def series() -> WindowSpec:
     return wf.series("ticker")
 
@@ -56,21 +55,27 @@ def add_volume_ratio(bars: DataFrame, n: int = 20) -> DataFrame:
     return out.withColumn("volume_ratio", F.when(F.col("_avg") > 0, F.col("volume") / F.col("_avg")).otherwise(1.0)).drop("_avg")
 
 
-def exponential(bars: DataFrame, rsi_n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, atr_n: int = 14) -> DataFrame:
-    """bars with rsi, macd, macd_signal, macd_hist and atr: one exchange by ticker, one Arrow batch for each."""
+#: Over a bar r and the one before it p; greatest() passes over what is missing.
+TRUE_RANGE = "greatest(r.high - r.low, abs(r.high - p.close), abs(r.low - p.close))"
+GAIN = "CASE WHEN r.close - p.close > 0 THEN r.close - p.close WHEN r.close - p.close <= 0 THEN 0D END"
+LOSS = "CASE WHEN p.close - r.close > 0 THEN p.close - r.close WHEN p.close - r.close <= 0 THEN 0D END"
+
 
-    def of_ticker(rows):
-        rows = rows.sort_values("date")
-        close = rows["close"]
-        macd = ewm.ema(close, fast) - ewm.ema(close, slow)
-        line = ewm.ema(macd, signal)
-        atr = ewm.ema(ewm.true_range(rows["high"], rows["low"], close), atr_n, atr_n)
-        return rows.assign(rsi=ewm.rsi(close, rsi_n), macd=macd, macd_signal=line, macd_hist=macd - line, atr=atr)
+def exponential(bars: DataFrame, rsi_n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9, atr_n: int = 14, days: int = scan.DAYS) -> DataFrame:
+    """bars with rsi, macd, macd_signal, macd_hist and atr, by scans over chunks of each ticker's days.
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema)
-    made = ["rsi", "macd", "macd_signal", "macd_hist", "atr"]
-    out = bars.groupBy("ticker").applyInPandas(of_ticker, kinds + "".join(f", {m} double" for m in made))
-    return out.withColumns({m: present(F.col(m)) for m in made})
+    rsi comes from smoothed gains and losses; it is 50 where there is no loss or too little history, so a pure rise has 50 too.
+    """
+    span = lambda n: 2.0 / (n + 1)
+    out = bars.withColumns({c: present(F.col(c)) for c in ("high", "low", "close")})
+    out = scan.weighted(out, "date", ("ticker",), {
+        "_gain": scan.Weighted(GAIN, 1 / rsi_n, True, rsi_n), "_loss": scan.Weighted(LOSS, 1 / rsi_n, True, rsi_n), "_fast": scan.Weighted("r.close", span(fast)),
+        "_slow": scan.Weighted("r.close", span(slow)), "atr": scan.Weighted(TRUE_RANGE, span(atr_n), least=atr_n),
+    }, days)
+    out = scan.weighted(out, "date", ("ticker",), {"macd_signal": scan.Weighted("r._fast - r._slow", span(signal))}, days)
+    out = out.withColumn("macd", F.col("_fast") - F.col("_slow"))
+    rsi = F.coalesce(100 - 100 / (1 + ratio(F.col("_gain"), F.col("_loss"))), F.lit(50.0))
+    return out.select(*bars.columns, rsi.alias("rsi"), "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"), "atr")
 
 
 def add_stoch_rsi(with_rsi: DataFrame, n: int = 14, smooth_k: int = 3, smooth_d: int = 3) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from marketlake.functions import scan
 from marketlake.functions import windows as wf
 from marketlake.functions.numeric import half_even
 
@@ -48,10 +48,13 @@ def breadth(bars: DataFrame, days: int = SMA_DAYS, strict_warmup: bool = False)
 
 
 def slope(index: DataFrame, sma_days: int = SMA_DAYS, days: int = SLOPE_DAYS) -> DataFrame:
-    """(date, slope) of the mean of an index series (date, close); one series, so one window over all of it."""
-    one = index.where("close is not null").withColumn("_all", F.lit(0))
-    w = wf.series("_all")
-    return one.withColumn("_mean", wf.sma(F.col("close"), sma_days, w)).withColumn("slope", wf.pct_change(F.col("_mean"), days, w)).where("slope is not null").select("date", "slope")
+    """(date, slope) of the mean of an index series (date, close): one series, in blocks that overlap by what a frame looks back."""
+
+    def rolled(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumn("_mean", wf.sma(F.col("close"), sma_days, w)).withColumn("slope", wf.pct_change(F.col("_mean"), days, w))
+
+    known = index.where("close is not null").select("date", "close")
+    return scan.in_blocks(known, "date", sma_days + days, rolled).where("slope is not null").select("date", "slope")
 
 
 def align(vix: DataFrame | None = None, slopes: DataFrame | None = None, share: DataFrame | None = None) -> DataFrame:
@@ -64,8 +67,7 @@ def align(vix: DataFrame | None = None, slopes: DataFrame | None = None, share:
         out = out.join(d.select("date", c), "date", "full_outer")
     for c in {"vix", "slope", "breadth"} - {c for _, c in given}:
         out = out.withColumn(c, F.lit(None).cast("double"))
-    w = W.partitionBy("_all").orderBy("date")
-    return out.withColumn("_all", F.lit(0)).select("date", *[wf.ffill(F.col(c), w).alias(c) for c in ("vix", "slope", "breadth")])
+    return scan.fill_forward(out, ["vix", "slope", "breadth"], ["date"]).select("date", "vix", "slope", "breadth")
 
 
 def classify(aligned: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -113,8 +115,7 @@ def as_of(asked: DataFrame, regimes: DataFrame) -> DataFrame:
     """
     dates = asked.select("date").where("date is not null").distinct()
     both = regimes.select("date", "regime", F.lit(0).alias("asked")).unionByName(dates.select("date", F.lit(None).cast("string").alias("regime"), F.lit(1).alias("asked")))
-    w = W.partitionBy("_all").orderBy("date", "asked").rowsBetween(W.unboundedPreceding, 0)
-    filled = both.withColumn("_all", F.lit(0)).withColumn("regime", F.last("regime", ignorenulls=True).over(w)).where("asked = 1").select("date", "regime")
+    filled = scan.fill_forward(both, ["regime"], ["date", "asked"]).where("asked = 1").select("date", "regime")
     return asked.drop("regime").join(filled, "date", "left").withColumn("regime", F.coalesce("regime", F.lit("neutral")))
 
 
