@@ -61,6 +61,13 @@ def drop_shared(spark: SparkSession, path: str) -> None:
         _WRITTEN.remove(path)
 
 
+def keep_shared(*paths: str) -> None:
+    """These tables are results in their own right: scratch() leaves them."""
+    for path in paths:
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables of write_shared() made inside are dropped at the end, but for the paths put into the list that it gives.

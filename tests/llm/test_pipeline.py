@@ -38,6 +38,9 @@ def test_stages_in_turn(spark):
     assert sorted(tuple(r) for r in got.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(tuple(r) for r in whole.select("doc_id", "start", "n_tokens", "ids_crc32").collect()) == want
+    # what a run leaves: every id, from the files alone
+    left = {r["doc_id"]: list(r["ids"]) for r in tokenbin.read_tokens(spark, corpus_pipeline.token_files(spark), with_ids=True).collect()}
+    assert left == {r["doc_id"]: library.encode(r["text"], add_special_tokens=False).ids + [2] for r in docs.collect()}
 
 
 def test_names():
