@@ -300,38 +300,34 @@ def find_contamination(
 ) -> DataFrame:
     """docs with a struct column `out` (another of that name goes): n_words, spans (merged [first, end) word numbers) and item_ids (sorted strings).
 
-    A map over the documents without a shuffle. The benchmark goes to the executors in blocks of bounded bytes, one
-    pass over the documents for each; a pass adds to the spans and items of those before it. With `clean` the last pass
-    cuts the spans out of the texts too.
+    One map over the documents without a shuffle, whatever the size of the benchmark. It goes to the executors in blocks of
+    bounded bytes; for each shard of text a task takes up one block after the other and lets go of it before the next, so
+    it holds one at a time. With `clean` the spans are cut out of the texts too.
     """
     kind = "struct<n_words: bigint, spans: array<struct<first: int, end: int>>, item_ids: array<string>>"
     docs = docs.drop(out)
     at = docs.columns.index(text)
     docs = docs.withColumn(out, F.expr(f"cast(null as {kind})"))
-    blocks = _item_blocks(benchmark, item_id, item_text, block_bytes)
-    items = next(blocks)
-    while items is not None:
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
-        items = next(blocks, None)
-
-        def scan(batches, phrases=phrases, cutting=clean and items is None):
-            for batch in pieces(batches, text, shard_bytes):
-                bodies, cols = utf8(batch, text), batch.columns
-                rows = []
-                for (n, spans, names), prior in zip(search(bodies, phrases.value), cols[-1].to_pylist(), strict=True):
-                    if prior is not None:
-                        spans = merge(spans + [(x["first"], x["end"]) for x in prior["spans"]])
-                        names = sorted({*names, *prior["item_ids"]})
-                    rows.append({"n_words": n, "spans": [{"first": b, "end": e} for b, e in spans], "item_ids": names})
-                cols[-1] = pa.array(rows, cols[-1].type)
-                if cutting:
-                    hit = [[(x["first"], x["end"]) for x in r["spans"]] for r in rows]
-                    texts = [cut(t, h) if h else old.as_py() for t, h, old in zip(bodies, hit, cols[at], strict=True)]
-                    cols[at] = pa.array(texts, cols[at].type)
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-        docs = docs.mapInArrow(scan, docs.schema)
-    return docs
+    sent = docs.sparkSession.sparkContext.broadcast
+    blocks = [sent(Phrases(items, window)) for items in _item_blocks(benchmark, item_id, item_text, block_bytes)]
+
+    def scan(batches):
+        for batch in pieces(batches, text, shard_bytes):
+            bodies, cols = utf8(batch, text), batch.columns
+            found = None
+            for block in blocks:
+                here = search(bodies, block.value)
+                if len(blocks) > 1:
+                    block.__dict__.pop("_value", None)  # read again from the executor's copy when its turn comes
+                found = here if found is None else [(n, merge(a + b), sorted({*x, *y})) for (n, a, x), (_, b, y) in zip(found, here, strict=True)]
+            rows = [{"n_words": n, "spans": [{"first": b, "end": e} for b, e in spans], "item_ids": names} for n, spans, names in found]
+            cols[-1] = pa.array(rows, cols[-1].type)
+            if clean:
+                texts = [cut(t, spans) if spans else old.as_py() for t, (_, spans, _), old in zip(bodies, found, cols[at], strict=True)]
+                cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return docs.mapInArrow(scan, docs.schema)
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", window: int = WINDOW) -> DataFrame:
