@@ -193,11 +193,11 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
     """docs with the same columns, each text replaced by the words of it that the mix takes, a block's words as often
     as its block is drawn, with the white space between them; documents of which nothing is taken go."""
     spark = docs.sparkSession
-    name = fresh("row", docs.columns)
+    name, held = fresh("row", docs.columns), fresh("_parts", docs.columns)
     rows = numbered(docs, name)
     _, parts, _ = mix(rows, text=text, row=name, **how)
     parts = spark.read.parquet(write_shared(parts, "parts"))
-    of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses", "extra"))).alias("_parts"))
+    of_row = parts.groupBy(F.col("row").alias(name)).agg(F.array_sort(F.collect_list(F.struct("first", "words", "uses", "extra"))).alias(held))
     words = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
 
     def piece(p: Column, w: Column, n: str) -> Column:
@@ -207,7 +207,7 @@ def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str | None = "
         return F.concat(F.array_repeat(piece(p, w, "words"), p["uses"].cast("int")), F.array_repeat(piece(p, w, "extra"), F.least(p["extra"], F.lit(1)).cast("int")))
 
     # the words are bound to a lambda variable, else each part would split the text anew
-    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_parts", lambda p: drawn(p, w))), " "))[0]
+    joined = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform(held, lambda p: drawn(p, w))), " "))[0]
     out = rows.join(of_row, name).withColumn(text, joined)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType))
