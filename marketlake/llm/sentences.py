@@ -3,7 +3,8 @@
 A sentence is a stretch without line breaks up to and with its closing marks. One of more than WINDOW words is cut where
 its content says: of every WINDOW consecutive words the least one (in byte order, the first of equals) begins a piece,
 so that two texts that share a passage cut it alike, wherever it stands in their sentences. A run is RUN sentences or
-pieces and those that follow until it has LEAST_WORDS words or LEAST_BYTES bytes. Any passage of 51 words that two
+pieces and those that follow until it has LEAST_WORDS words or LEAST_BYTES bytes or the text ends, so the last RUN
+sentences of a text are a run however short they are. Any passage of 51 words that two
 texts share holds pieces of 29 words at least that both cut alike, so it holds a run. Of all places in the corpus with
 the same run, in the order of doc_id and place, every one but the first has its sentences removed. Sentences compare
 with A-Z lower-cased and white space as single spaces.
@@ -12,7 +13,7 @@ Runs are hashed to 128 bits. Places whose first 64 bits occur once are settled b
 of a run comes from an aggregate that combines before the shuffle; the
 join back to the places is a plain equi-join that Spark may split where one run is very common.
 
-Defined results: a null or wordless text has no sentences; a text whose sentences do not make a run keeps all; a long
+Defined results: a null or wordless text has no sentences; a text of fewer than RUN sentences keeps all; a long
 text is cut and hashed whole; order is by doc_id (null first), then, for rows that repeat one, by a hash of the text;
 of rows equal in both one counts as the first; an empty table gives no rows; other columns are not read.
 """
@@ -103,8 +104,8 @@ def runs(found: list[tuple[int, int, int, bytes]], run: int = RUN, least_words:
     for i in range(len(found)):
         while end < len(found) and (end < i + run or (words < least_words and size < least_bytes)):
             words, size, end = words + found[end][2], size + len(found[end][3]), end + 1
-        if end < i + run or (words < least_words and size < least_bytes):
-            break  # what is left of the text makes no run
+        if end < i + run:
+            break  # a single sentence is left
         out.append((i, end - i))
         words, size = words - found[i][2], size - len(found[i][3])
     return out
@@ -201,7 +202,7 @@ b AS (SELECT w.doc_id, w.i, w.p, w.w, sum(CASE WHEN w.p = 1 OR c.p IS NOT NULL T
 f AS (SELECT doc_id, i, piece, count(*) AS words, string_agg(w, ' ' ORDER BY p) AS f FROM b GROUP BY doc_id, i, piece),
 k AS (SELECT doc_id, row_number() OVER o AS k, f, sum(words) OVER o AS cw, sum(strlen(f)) OVER o AS cb FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i, piece)),
 a AS (SELECT doc_id, count(*) AS n, list(f ORDER BY k) AS fs, list_prepend(0, list(cw ORDER BY k)) AS cw, list_prepend(0, list(cb ORDER BY k)) AS cb FROM k GROUP BY doc_id),
-e AS (SELECT doc_id, k, fs, list_filter(range(k + {RUN - 1}, least(k + {LEAST_WORDS + RUN}, n) + 1), lambda e: cw[e + 1] - cw[k] >= {LEAST_WORDS} OR cb[e + 1] - cb[k] >= {LEAST_BYTES})[1] AS e
+e AS (SELECT doc_id, k, fs, coalesce(list_filter(range(k + {RUN - 1}, least(k + {LEAST_WORDS + RUN}, n) + 1), lambda e: cw[e + 1] - cw[k] >= {LEAST_WORDS} OR cb[e + 1] - cb[k] >= {LEAST_BYTES})[1], CASE WHEN k + {RUN - 1} <= n THEN n END) AS e
   FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM a)),
 t AS (SELECT doc_id, k, e, row_number() OVER (PARTITION BY array_to_string(fs[k:e], chr(10)) ORDER BY doc_id, k) AS nth FROM e WHERE e IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(range(k, e + 1)) AS k FROM t WHERE nth > 1),

@@ -252,3 +252,25 @@ def test_members_of_a_key_are_compared_whole(spark):
         assert found and {(min(p), max(p)) for p in found} <= near
         assert groups(found) == groups(near)
     assert simhash.apart(docs, members.limit(0)).count() == 0
+
+
+def test_short_texts_that_repeat_go(spark):
+    """Two short sentences are a run, at the end of a text too; one sentence is none."""
+    texts = ["One. Two.", "one.  TWO.", "One. Two. Three four.", "One. Two. Three four.", "Solo.", "Solo.", "Some other words. Three four."]
+    got = {r["doc_id"]: r["removed"] for r in sentences.cut_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: [], 1: [0, 1], 2: [], 3: [0, 1, 2], 4: [], 5: [], 6: []}
+
+
+def test_blocks_of_a_benchmark_share_one_pass(spark):
+    """Fifty blocks are one node of the plan, one Python worker and the answers of a single block."""
+    items = spark.createDataFrame([(n, " ".join(f"w{(n * 31 + k) % 500}" for k in range(14))) for n in range(50)], "item_id long, text string")
+    docs = spark.createDataFrame([(n, " ".join(f"w{(n * 7 + k) % 500}" for k in range(300))) for n in range(20)], "doc_id long, text string")
+    one, many = (decontaminate.find_contamination(docs, items, block_bytes=b) for b in (1 << 20, 10))
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(n, f"some words {n} " * 40, "s", "kept", n) for n in range(30)], "doc_id long, text string, source string, _parts string, row int")
+    got = mixing.mixed_documents(docs, n_chars=None)
+    assert got.columns == docs.columns and got.where("_parts = 'kept'").count() == got.count() > 0
