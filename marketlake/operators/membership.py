@@ -23,6 +23,10 @@ INDEX_SOURCES = {
 WITH_HISTORY = ("sp500",)
 
 
+#: Days of a bin in which bars meet intervals.
+BIN_DAYS = 64
+
+
 def historic_tickers(cell: Column) -> Column:
     """A comma-joined cell to its distinct tickers: trimmed, -YYYYMM taken off, dots to dashes, upper case."""
     tidy = F.transform(F.split(F.coalesce(cell, F.lit("")), ","), lambda t: F.upper(F.replace(F.regexp_replace(F.trim(t), r"-\d{6}$", ""), F.lit("."), F.lit("-"))))
@@ -123,8 +127,26 @@ def coverage_top(members: DataFrame, missing: DataFrame, start: str, end: str, n
     return coverage_days(members, start, end).join(missing.select("ticker").distinct(), "ticker", "left_semi").orderBy(F.col("days").desc(), "ticker").limit(n)
 
 
-def bars_in_universe(bars: DataFrame, members: DataFrame) -> DataFrame:
-    """Bars on days when their ticker was in: an equi-join on the ticker with the interval as a further condition."""
-    m = members.select(F.col("ticker").alias("_t"), "date_added", "date_removed")
-    inside = (F.col("ticker") == F.col("_t")) & (F.col("date") >= F.col("date_added")) & (F.col("date_removed").isNull() | (F.col("date") < F.col("date_removed")))
-    return bars.join(m, inside, "left_semi")
+def disjoint(members: DataFrame) -> DataFrame:
+    """(ticker, date_added, date_removed): each ticker's days in, as intervals that neither meet nor overlap; those of no length go."""
+    far = F.coalesce("date_removed", F.lit("9999-12-31").cast("date"))
+    m = members.select("ticker", "date_added", far.alias("date_removed")).where("date_added < date_removed")
+    w = W.partitionBy("ticker").orderBy("date_added", "date_removed")
+    m = m.withColumn("_reached", F.max("date_removed").over(w.rowsBetween(W.unboundedPreceding, -1)))
+    m = m.withColumn("_g", F.count_if(F.coalesce(F.col("date_added") > F.col("_reached"), F.lit(True))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return m.groupBy("ticker", "_g").agg(F.min("date_added").alias("date_added"), F.max("date_removed").alias("date_removed")).drop("_g")
+
+
+def bars_in_universe(bars: DataFrame, members: DataFrame, days: int = BIN_DAYS) -> DataFrame:
+    """Bars on days when their ticker was in.
+
+    Disjoint intervals, cut to the dates of the bars, are spread over bins of days and meet the bars by ticker and bin, so a
+    bar is compared with the few intervals of its bin, however many its ticker has.
+    """
+    bin_of = lambda d: F.floor(F.unix_date(d) / days)
+    dates = bars.agg(F.min("date").alias("_from"), F.date_add(F.max("date"), 1).alias("_to"))  # one row
+    m = disjoint(members).join(F.broadcast(dates), (F.col("date_added") < F.col("_to")) & (F.col("date_removed") > F.col("_from")))
+    m = m.select(F.col("ticker").alias("_t"), F.greatest("date_added", "_from").alias("_in"), F.least("date_removed", "_to").alias("_out"))
+    m = m.withColumn("_b", F.explode(F.sequence(bin_of("_in"), bin_of(F.date_sub("_out", 1)))))
+    found = bars.withColumn("_bin", bin_of("date"))
+    return found.join(m, (F.col("ticker") == F.col("_t")) & (F.col("_bin") == F.col("_b")) & (F.col("date") >= F.col("_in")) & (F.col("date") < F.col("_out")), "left_semi").drop("_bin")

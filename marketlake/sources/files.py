@@ -63,6 +63,23 @@ def read_jdbc(spark: SparkSession, url: str, query: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 
+def read_jdbc_parts(spark: SparkSession, url: str, table: str, column: str, partitions: int = 8, **options: str) -> DataFrame:
+    """A table read in ranges of a column (a number, day or time), whose bounds the database is asked for first. Filters on
+    the result go to the database; rows without the column come with the first range."""
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    low, high = read_jdbc(spark, url, f"SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}", **options).first()
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if low is not None and low != high:
+        reader = reader.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(partitions))
+    return reader.load()
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, partitions: int = 8, batch: int = 10_000, mode: str = "append", **options: str) -> None:
+    """Rows into a table, in batches, by as many connections at most as partitions. A task that is tried again writes its
+    rows again, so a table without a key takes them through a staging table."""
+    df.coalesce(partitions).write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
+
+
 class _Tables(HTMLParser):
     def __init__(self) -> None:
         super().__init__()

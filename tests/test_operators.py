@@ -173,6 +173,25 @@ def test_membership_ends(spark):
         mem.tickers_of(m, "nope")
 
 
+def test_many_intervals_of_one_ticker(spark):
+    """Every other day of 200,000 is in, by 100,000 intervals, and all of them again as one that never ends on another ticker."""
+    d = lambda n: F.date_add(F.lit("1600-01-01").cast("date"), n.cast("int"))
+    m = spark.range(100_000).select(F.lit("A").alias("ticker"), d(F.col("id") * 2).alias("date_added"), d(F.col("id") * 2 + 1).alias("date_removed"))
+    m = m.unionByName(spark.range(1000).select(F.lit("B").alias("ticker"), d(F.col("id")).alias("date_added"), F.lit(None).cast("date").alias("date_removed")))
+    bars = spark.range(200_000).select(F.explode(F.array(F.lit("A"), F.lit("B"), F.lit("C"))).alias("ticker"), d(F.col("id")).alias("date"))
+    got = {r["ticker"]: r["count"] for r in mem.bars_in_universe(bars, m).groupBy("ticker").count().collect()}
+    assert got == {"A": 100_000, "B": 200_000}
+
+
+def test_overlaps_follow_each_interval(spark):
+    rng = random.Random(5)
+    spans = [(t, day(a), rng.choice([None, day(a + rng.randint(-2, 40))])) for t in "AB" for a in (rng.randint(0, 300) for _ in range(6))]
+    spans = [s for s in spans if s[2] or s[0] == "B"]
+    bars = spark.createDataFrame([(t, day(n)) for t in "ABC" for n in range(-5, 350)], "ticker string, date date")
+    got = {tuple(r) for r in mem.bars_in_universe(bars, spark.createDataFrame(spans, files.MEMBERS), 7).collect()}
+    assert got == {(t, d) for t, d in map(tuple, bars.collect()) if any(t == s and a <= d and (r is None or d < r) for s, a, r in spans)}
+
+
 def test_ticker_tokens(spark):
     r = spark.createDataFrame([("brk.b, ABC-200006 ,,abc",)], "c string").select(mem.historic_tickers(F.col("c"))).first()[0]
     assert r == ["BRK-B", "ABC"]

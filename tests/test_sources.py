@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.operators import ingest
-from marketlake.sources import versions, warehouse
+from marketlake.sources import files, versions, warehouse
 from marketlake.sources.http import HttpDocuments
 from tests.test_operators import BARS, day, panel
 
@@ -118,3 +118,22 @@ def test_tables_are_made_once(spark):
     spark.sql("DROP DATABASE lake_test CASCADE")
     m = spark.createDataFrame([("SP500", "A", None), ("SP500", "B", dt.date(2020, 1, 1)), ("X", "C", None)], "index_name string, ticker string, date_removed date")
     assert [r[0] for r in warehouse.current_members(m, "SP500").collect()] == ["A"]
+
+
+def test_jdbc_in_ranges(spark, tmp_path):
+    """Against the database that Spark ships: four tasks read, filters reach it, rows without the column are not lost."""
+    spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(1000).select(F.when(F.col("id") != 7, F.col("id")).alias("n"), F.date_add(F.lit(day(0)), F.col("id").cast("int")).alias("d"), (F.col("id") * 0.5).alias("x"))
+    files.write_jdbc(rows, url, "bars", partitions=2, driver=driver)
+    for column in ("n", "d"):
+        got = files.read_jdbc_parts(spark, url, "bars", column, 4, driver=driver)
+        assert got.rdd.getNumPartitions() == 4 and got.count() == 1000
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 400
+    some = got.where(F.col("n") >= 990)
+    assert some.count() == 10 and "PushedFilters: [*IsNotNull(n), *GreaterThanOrEqual(n,990)]" in some._jdf.queryExecution().executedPlan().toString()
+    files.write_jdbc(rows.where("n < 10"), url, "few", driver=driver)
+    assert files.read_jdbc_parts(spark, url, "few", "n", 4, driver=driver).agg(F.sum("x")).first()[0] == 19.0
+    files.write_jdbc(rows.where("false"), url, "no_bars", driver=driver)
+    assert files.read_jdbc_parts(spark, url, "no_bars", "n", 4, driver=driver).count() == 0
