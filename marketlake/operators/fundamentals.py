@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from marketlake.functions.numeric import half_even
 
 KEY = ("ticker", "metric", "fiscal_year", "fiscal_period", "form_type")
-DOCUMENT = (
-    "struct<facts: map<string, map<string, struct<units: map<string, array<struct<"
-    "val: double, fy: int, fp: string, start: string, `end`: string, filed: string, form: string>>>>>>>"
-)
+#: Members of an observation that facts() reads, with their types.
+OBSERVATION = {"val": "double", "fy": "int", "fp": "string", "start": "string", "end": "string", "filed": "string", "form": "string"}
 
 # Metrics and the taxonomy tags that report them, in order of preference.
 METRIC_TAGS = {
@@ -83,16 +83,45 @@ def date_of(col: Column) -> Column:
     return F.try_to_date(col) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(col))
 
 
+def tags(documents: DataFrame, taxonomy: str | None = "us-gaap") -> DataFrame:
+    """(ticker, cik, taxonomy, source_tag, units, unit_names) of documents (ticker, cik, body: JSON), of all taxonomies if None.
+
+    Documents are read as VARIANT, so no schema has to fit: units maps a unit to whatever the document says there, and
+    unit_names are the units in the document's order (variants sort their keys). Tags without units do not come; bodies
+    that are null, no JSON or name a key twice have no tags.
+    """
+    parsed = documents.select("ticker", "cik", "body", F.try_parse_json("body").alias("_v"))
+    if taxonomy is None:
+        parsed = parsed.select("ticker", "cik", "body", F.explode(F.try_variant_get("_v", "$.facts", "map<string, variant>")).alias("taxonomy", "_t"))
+        found = F.try_variant_get("_t", "$", "map<string, variant>")
+    else:
+        parsed = parsed.withColumn("taxonomy", F.lit(taxonomy))
+        found = F.try_variant_get("_v", f"$.facts['{taxonomy}']", "map<string, variant>")
+    by_tag = parsed.select("ticker", "cik", "body", "taxonomy", F.explode(found).alias("source_tag", "_tag"))
+    by_tag = by_tag.withColumn("units", F.try_variant_get("_tag", "$.units", "map<string, variant>")).where(F.size("units") > 0)
+    here = F.concat(F.lit("$.facts['"), F.col("taxonomy"), F.lit("']['"), F.col("source_tag"), F.lit("'].units"))
+    # a second look at the text only where there is an order to find
+    names = F.when(F.size("units") > 1, F.json_object_keys(F.call_function("get_json_object", F.col("body"), here)))
+    return by_tag.select("ticker", "cik", "taxonomy", "source_tag", "units", F.coalesce(names, F.map_keys("units")).alias("unit_names"))
+
+
+def observations(by_tag: DataFrame) -> DataFrame:
+    """tags(), with other columns kept, to one row per observation: unit, its place unit_nth, obs_nth, and the
+    observation as a VARIANT. A unit that holds no list has none, and its siblings keep theirs."""
+    by_unit = by_tag.select("*", F.posexplode("unit_names").alias("unit_nth", "unit"))
+    listed = F.try_variant_get(F.try_element_at("units", F.col("unit")), "$", "array<variant>")
+    return by_unit.select("*", F.posexplode(listed).alias("obs_nth", "observation")).drop("units", "unit_names")
+
+
 def facts(documents: DataFrame, taxonomy: str = "us-gaap") -> DataFrame:
-    """documents (ticker, cik, body: JSON) to one row per observation of a known tag, with its place as `nth`."""
-    tags = F.from_json("body", DOCUMENT)["facts"][taxonomy]
-    by_tag = documents.select("ticker", "cik", F.explode(F.map_entries(tags)).alias("t")).select("ticker", "cik", F.col("t.key").alias("source_tag"), F.col("t.value.units").alias("units"))
-    known = by_tag.join(F.broadcast(tag_dimension(documents.sparkSession)), "source_tag")
-    by_unit = known.select("ticker", "cik", "metric", "source_tag", "metric_nth", "tag_nth", F.posexplode(F.map_entries("units")).alias("unit_nth", "u"))
-    seen = by_unit.select("*", F.posexplode("u.value").alias("obs_nth", "o"))
+    """documents (ticker, cik, body: JSON) to one row per observation of a known tag, with its place as `nth`. Members of
+    an observation that are missing or of another type are null."""
+    known = tags(documents, taxonomy).join(F.broadcast(tag_dimension(documents.sparkSession)), "source_tag")
+    seen = observations(known)
+    o = {name: F.try_variant_get("observation", f"$.{name}", of) for name, of in OBSERVATION.items()}
     return seen.select(
-        "ticker", "cik", "metric", "source_tag", F.col("o.val").alias("value"), F.col("u.key").alias("unit"), F.col("o.fy").alias("fiscal_year"), F.col("o.fp").alias("fiscal_period"),
-        date_of(F.col("o.start")).alias("period_start"), date_of(F.col("o.end")).alias("period_end"), date_of(F.col("o.filed")).alias("filed_date"), F.col("o.form").alias("form_type"),
+        "ticker", "cik", "metric", "source_tag", o["val"].alias("value"), "unit", o["fy"].alias("fiscal_year"), o["fp"].alias("fiscal_period"),
+        date_of(o["start"]).alias("period_start"), date_of(o["end"]).alias("period_end"), date_of(o["filed"]).alias("filed_date"), o["form"].alias("form_type"),
         F.struct("metric_nth", "tag_nth", "unit_nth", "obs_nth").alias("nth"),
     )
 
@@ -127,6 +156,14 @@ def absent(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.dropDuplicates(list(KEY)).join(stored.select(*KEY), list(KEY), "left_anti")
 
 
+def _append(new: DataFrame, stored: DataFrame, write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write the absent rows of new; one pass over new, counted on the way, so the counts are those of what is written."""
+    tried, kept = Observation(), Observation()
+    fresh = absent(new.observe(tried, F.count(F.lit(1)).alias("n")), stored)
+    write(fresh.observe(kept, F.count(F.lit(1)).alias("n")))
+    return {"attempted": tried.get.get("n", 0), "inserted": kept.get.get("n", 0)}
+
+
 def upsert(new: DataFrame, path: str) -> dict[str, int]:
     """Append absent rows to a Parquet table; how many were tried and inserted."""
     spark = new.sparkSession
@@ -136,11 +173,24 @@ def upsert(new: DataFrame, path: str) -> dict[str, int]:
         if "PATH_NOT_FOUND" not in str(gone):
             raise
         stored = spark.createDataFrame([], new.schema)
-    fresh = absent(new, stored)
-    inserted = fresh.count()
-    if inserted:
-        fresh.write.mode("append").parquet(path)
-    return {"attempted": new.count(), "inserted": inserted}
+    return _append(new, stored, lambda fresh: fresh.write.mode("append").parquet(path))
+
+
+def by_buckets(new: DataFrame, name: str) -> DataFrame:
+    """new, with the columns of a table, dealt over the table's buckets, so that dedup, join and insert need no other
+    shuffle. Columns of the table that new lacks become null, others of new are left out."""
+    spark = new.sparkSession
+    have = {c.lower() for c in new.columns}
+    fit = new.select(*[(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in spark.table(name).schema])
+    n = [int(r["data_type"]) for r in spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").collect()]
+    return fit.repartition(n[0], *KEY) if n else fit
+
+
+def insert_absent(new: DataFrame, name: str) -> dict[str, int]:
+    """upsert() into a table bucketed by KEY (warehouse.create_tables): new rows are shuffled once, to the buckets they
+    belong to, the stored side is read bucket by bucket without an exchange, and only touched buckets get a file."""
+    stored = new.sparkSession.table(name)
+    return _append(by_buckets(new, name), stored, lambda fresh: fresh.select(*stored.columns).write.insertInto(name))
 
 
 def read_pit(stored: DataFrame, ticker: str | None = None, metrics: list[str] | None = None, as_of: str | None = None) -> DataFrame:

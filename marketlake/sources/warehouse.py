@@ -19,12 +19,18 @@ TABLES = {
     ),
 }
 
+#: Tables laid out in buckets by the key that joins use.
+BUCKETED = {"fundamentals": "ticker, metric, fiscal_year, fiscal_period, form_type", "insider_transactions": "accession_number"}
 
-def create_tables(spark: SparkSession, database: str = "default") -> None:
-    """Idempotent. Metric, unit, form and tag stay strings: Parquet's dictionaries do what lookup tables would."""
+
+def create_tables(spark: SparkSession, database: str = "default", buckets: int = 64) -> None:
+    """Idempotent. Metric, unit, form and tag stay strings: Parquet's dictionaries do what lookup tables would. Fact tables
+    are bucketed and sorted by their key: take a number of buckets that lets one fit a task."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name, columns in TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+        key = BUCKETED.get(name)
+        layout = f" CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS" if key else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet{layout}")
 
 
 def current_members(members: DataFrame, index: str) -> DataFrame:

@@ -13,7 +13,7 @@ from marketlake.operators import fundamentals as fu
 from marketlake.operators import indicators as ind
 from marketlake.operators import insider, lookup, news, options, regime, signals
 from marketlake.operators import membership as mem
-from marketlake.sources import archive, files
+from marketlake.sources import archive, files, warehouse
 
 BARS = "ticker string, date date, open double, high double, low double, close double, volume double"
 
@@ -222,6 +222,54 @@ def test_upsert_twice(spark, tmp_path):
     assert fu.duplicate_keys(spark.read.parquet(path)).count() == 0
 
 
+def test_odd_documents_keep_what_is_sound(spark):
+    seen = '{"val": %s, "fy": 2020, "fp": "FY", "start": "2020-01-01", "end": "2020-12-31", "filed": "2021-02-01", "form": "10-K"}'
+    odd = '{"facts": {"us-gaap": {"Assets": {"units": {"USD": [%s, 7, {"val": "x", "fy": []}], "EUR": [%s], "odd": "none", "obj": {"a": 1}}}, "Goodwill": 5, "Liabilities": {"units": []}}, "dei": {"Shares": {"units": {"n": [%s]}}}}}'
+    docs = [("A", 1, odd % (seen % "1.5", seen % "2", seen % "3")), ("B", 2, "{"), ("C", 3, None), ("D", 4, '{"facts": [1]}'), ("E", 5, "")]
+    df = spark.createDataFrame(docs, "ticker string, cik int, body string")
+    rows = sorted(fu.facts(df).collect(), key=lambda r: r["nth"])
+    assert [(r["unit"], r["value"], r["fiscal_year"], r["nth"]["unit_nth"]) for r in rows] == [("USD", 1.5, 2020, 0), ("USD", None, None, 0), ("USD", None, None, 0), ("EUR", 2.0, 2020, 1)]
+    # of two units with the same fact the first of the document counts, though its name sorts after the other's
+    assert [(r["ticker"], r["unit"], r["value"]) for r in fu.parse(df).collect()] == [("A", "USD", 1.5)]
+    every = fu.observations(fu.tags(df, None)).groupBy("taxonomy", "source_tag", "unit").count().collect()
+    assert sorted(map(tuple, every)) == [("dei", "Shares", "n", 1), ("us-gaap", "Assets", "EUR", 1), ("us-gaap", "Assets", "USD", 3)]
+
+
+def test_upsert_of_nothing_and_repeats(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    rows = spark.createDataFrame([fact(1.0, 0, 91), fact(2.0, 0, 92)], FACT)
+    assert fu.upsert(rows, path) == {"attempted": 2, "inserted": 1}
+    assert fu.upsert(rows.where("false"), path) == {"attempted": 0, "inserted": 0}
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_bucketed_facts_are_not_shuffled(spark):
+    warehouse.create_tables(spark, "facts_test", buckets=4)
+    name = "facts_test.fundamentals"
+    spark.sql(f"TRUNCATE TABLE {name}")
+    ids = spark.range(200)
+    new = ids.selectExpr("concat('T', id % 50) ticker", "'M' metric", "double(id) value", "'USD' unit", "int(2000 + id % 3) fiscal_year", "'FY' fiscal_period",
+                         "date'2020-01-01' period_start", "date'2020-12-31' period_end", "date'2021-02-01' filed_date", "'10-K' form_type", "1 extra")
+    keys = new.select(*fu.KEY).distinct().count()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert fu.insert_absent(new, name) == {"attempted": 200, "inserted": keys}
+        more = new.unionByName(new.limit(1).withColumn("ticker", F.lit("NEW")))
+        plan = fu.absent(fu.by_buckets(more, name), spark.table(name))._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, plan  # that of the new rows
+        files = len(spark.table(name).inputFiles())
+        assert fu.insert_absent(more, name) == {"attempted": 201, "inserted": 1}
+        assert len(spark.table(name).inputFiles()) == files + 1  # the one bucket that is touched
+        assert fu.insert_absent(more, name)["inserted"] == 0 and fu.duplicate_keys(spark.table(name)).count() == 0
+        names = spark.createDataFrame([("M", "a metric")], "metric string, title string")
+        joined = spark.table(name).groupBy(*fu.KEY).count().join(F.broadcast(names), "metric")
+        assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP DATABASE facts_test CASCADE")
+
+
 def test_reconcile_counts_nulls_as_different(spark):
     a = spark.createDataFrame([fact(1.0, 0, 91)], FACT).withColumn("source_tag", F.lit("t"))
     assert fu.mismatches(a, a).count() == 0
