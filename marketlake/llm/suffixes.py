@@ -4,11 +4,10 @@ Sorting all suffixes of a corpus would shuffle every position. Only depth `lengt
 into q-gram buckets at sampled places that any two equal strings share: a string of `length` bytes has one anchor, the
 leftmost of its q-grams with the least hash. Buckets with one anchor in the whole corpus are settled: no string around
 it occurs twice. The others are refined. An anchor's record holds the bytes of all strings that have it as anchor; the
-records of a bucket come together, and inside a task the suffixes that begin at the anchors, and the reversed prefixes
-that end there, are sorted. Their bucket identifiers at depth k come from those at depth k - 1 by one update, and a
-string that starts d bytes before its anchor is refined by sorting on two pointers: the bucket of its first d bytes and
-the bucket, at depth length - d, of the later offset where its anchor lies. Equal pointers mean equal bytes; hashes only
-choose anchors and deal them out.
+records of a bucket come together, and inside a task all places of their strings get buckets of 8 bytes, which are refined
+by sorting on two identifiers, that of the place and that of a later one: those of 8 bytes give those of 16, these those
+of 32, and so on to `length`, with settled places left out. Equal identifiers mean equal bytes; hashes only choose anchors
+and deal them out.
 
 Buckets with more records than `hot` are not brought together. Their records first lose copies: of equal ones all but the
 earliest repeat every string they hold. Then each bucket is refined as a table: the offsets d are halved, and a record
@@ -41,7 +40,7 @@ HOT = 10_000
 STRETCH = 1 << 18
 #: Records that a task refines at once, but for the last bucket of them.
 GROUP_ROWS = 10_000
-#: Parts over which equal records of a hot bucket are dealt.
+#: Least number of parts over which equal records of a hot bucket are dealt; more, so that none has over `hot` of them.
 SALTS = 64
 
 _P = 0x9E3779B97F4A7C15
@@ -141,51 +140,69 @@ def all_anchors(texts: list[bytes], powers: Powers, length: int, gram: int):
 # --- refinement of buckets ------------------------------------------------------------------------------------------
 
 
-def sides(flat: np.ndarray, begin: np.ndarray, count: np.ndarray, step: int, width: int) -> np.ndarray:
-    """A row of `width` bytes for each record: those at begin, begin + step, ...; zeros after the count-th."""
-    at = np.arange(width)
-    index = begin[:, None] + step * at[None, :]
-    return np.where(at[None, :] < count[:, None], flat[np.clip(index, 0, len(flat) - 1)], 0).astype(np.uint8)
+def grams(flat: np.ndarray, q: int) -> np.ndarray:
+    """The q <= 8 bytes at each place as one number."""
+    out = np.zeros(len(flat) - q + 1, np.uint64)
+    for i in range(q):
+        out = out << np.uint64(8) | flat[i : i + len(out)]
+    return out
+
 
+def bucketed(places: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> None:
+    """Write each place's bucket to ids: the least of the places that have the same key."""
+    if not len(places):
+        return
+    order = np.argsort(keys)
+    keys, by = keys[order], places[order]
+    heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ids[by] = np.repeat(np.minimum.reduceat(by, heads), np.diff(np.r_[heads, len(by)]))
 
-def refined(bucket: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, depth): records sorted by bucket, then bytes; how many bytes each shares with the one before, -1 for
-    another bucket. The bucket identifiers at depth k are the running count of depths below k."""
-    n, width = rows.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = rows
-    words = padded.view(">u8").astype(np.uint64)
-    order = np.lexsort((*words.T[::-1], bucket))
-    a, b = rows[order[1:]], rows[order[:-1]]
-    differs = a != b
-    depth = np.where(differs.any(1), differs.argmax(1), width)
-    depth[bucket[order[1:]] != bucket[order[:-1]]] = -1
-    return order, np.r_[-1, depth]
 
+def refined(flat: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """For each place, where a string of `length` bytes starts, the least place in `strings` whose string is equal.
 
-def later_strings(flat: np.ndarray, start: np.ndarray, bucket: np.ndarray, left: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    Bucket-pointer refinement. q-grams give the first buckets. A bucket of depth k is refined to depth k + step by sorting
+    its places on two identifiers, its own and that of the place `step` bytes later, both of depth k; the identifiers of
+    the finer buckets take their stead in the next round, which so reaches twice as deep. Buckets of one place are settled:
+    their place is their identifier at every depth, and they are not sorted again.
+    """
+    depths = [min(8, length)]
+    while depths[-1] < length:
+        depths.append(min(2 * depths[-1], length))
+    # which places a depth needs: those of the depth after it, and the ones that these point to
+    needs = [np.zeros(len(flat), bool)]
+    needs[0][strings] = True
+    for low, high in zip(depths[-2::-1], depths[:0:-1], strict=True):
+        need = needs[-1].copy()
+        need[high - low :] |= needs[-1][: len(flat) - (high - low)]
+        needs.append(need)
+    needs.reverse()
+    places = np.flatnonzero(needs[0])
+    ids = np.arange(len(flat))
+    bucketed(places, grams(flat, depths[0])[places], ids)
+    for need, low, high in zip(needs[1:], depths, depths[1:], strict=False):
+        n_in = np.bincount(ids[places], minlength=len(flat))
+        places = np.flatnonzero(need)
+        open_ = places[n_in[ids[places]] > 1]
+        finer = np.arange(len(flat))
+        bucketed(open_, ids[open_] * len(flat) + ids[open_ + high - low], finer)
+        ids = finer
+    return ids[strings]
+
+
+def later_strings(flat: np.ndarray, start: np.ndarray, left: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """For records in the order of the corpus, a matrix [record, d]: the string that starts d bytes before the anchor
     is one of the record's and occurs in an earlier record.
 
     A record's bytes begin at flat[start] with its first string; its anchor is `left` bytes on and its last string
-    starts `last` bytes before the anchor.
+    starts `last` bytes before the anchor. Equal strings have the same anchor, so no two of one record are equal.
     """
-    n, widest = len(start), int(left.max(initial=0))
-    anchor = start + left
-    right_order, right_depth = refined(bucket, sides(flat, anchor, length - last, 1, length))
-    left_order, left_depth = refined(bucket, sides(flat, anchor - 1, left, -1, widest))
-    later = np.zeros((n, widest + 1), bool)
-    of_left, of_right = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(widest + 1):
-        live = np.flatnonzero((last <= d) & (d <= left))
-        if len(live) < 2:
-            continue
-        of_left[left_order] = np.cumsum(left_depth < d)
-        of_right[right_order] = np.cumsum(right_depth < length - d)
-        key = of_left[live] * (n + 1) + of_right[live]
-        by = np.argsort(key, kind="stable")
-        same = key[by[1:]] == key[by[:-1]]
-        later[live[by[1:][same]], d] = True
+    many = left - last + 1
+    record = np.repeat(np.arange(len(start)), many)
+    at = np.arange(len(record)) - np.repeat(np.cumsum(many) - many, many)
+    strings = start[record] + at
+    later = np.zeros((len(start), int(left.max(initial=0)) + 1), bool)
+    later[record, left[record] - at] = refined(flat, strings, length) != strings
     return later
 
 
@@ -206,14 +223,12 @@ def refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
             part = part.filter(pa.array(~again))
             h, uid, first = h[~again], uid[~again], first[~again]
         part = part.combine_chunks()
-        order = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        bucket = np.repeat(np.arange(len(order)), np.diff(np.r_[order, len(h)]))
         bodies = part["body"].combine_chunks()
         bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
         offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
         flat = np.frombuffer(bodies.buffers()[2] or b"\0", np.uint8)
         lead, tail = part["lead"].to_numpy().astype(np.int64), part["tail"].to_numpy().astype(np.int64)
-        later = later_strings(flat, offsets[:-1], bucket, lead, tail, length)
+        later = later_strings(flat, offsets[:-1], lead, tail, length)
         # runs of starts, from the largest d (the earliest start) down
         edge = np.diff(np.pad(later, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
@@ -255,13 +270,13 @@ def halved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["h", "doc_id", "uid", "first", "lead", "tail", "body", "low", "high"])
 
 
-def _later(rows: DataFrame, same: list[str], length: int) -> tuple[DataFrame, DataFrame]:
+def _later(rows: DataFrame, same: list[str], length: int, salts: int) -> tuple[DataFrame, DataFrame]:
     """(the earliest of each group of records equal in `same`; spans of all strings of the other ones).
 
-    A group is dealt over SALTS parts. What is not the first of its part is a later one; only the first ones are joined.
+    A group is dealt over `salts` parts. What is not the first of its part is a later one; only the first ones are joined.
     """
     place = F.struct("doc_id", "uid", "first")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "first"), F.lit(SALTS)))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("uid", "first"), F.lit(salts)))
     salted = salted.withColumn("turn", F.row_number().over(W.partitionBy(*same, "salt").orderBy(F.col("doc_id").asc_nulls_first(), "uid", "first")))
     firsts = salted.where("turn = 1")
     earliest = firsts.groupBy(*same).agg(F.min(place).alias("place"))
@@ -320,7 +335,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         tables.append(write_shared(made(open_.where("hot")), "hot-records"))
         # of rows equal in id and text one speaks for all
         hot_records = spark.read.parquet(tables[-1]).dropDuplicates(["h", "doc_id", "uid", "first"])
-        rows, again = _later(hot_records, ["h", "lead", "tail", "body"], length)
+        salts = max(SALTS, spark.read.parquet(tables[-1]).count() // hot)
+        rows, again = _later(hot_records, ["h", "lead", "tail", "body"], length, salts)
         spans.append(again)
         rows = rows.withColumns({"low": F.lit(0), "high": F.lit(length - gram)})
         kind = f"{_RECORD}, low int, high int"
@@ -331,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
             rows = rows.join(sizes, "h")
             spans.append(inside(rows.where(F.col("n") <= hot)))
             rows = rows.where(F.col("n") > hot).drop("n")
-            spans.append(_later(rows.where("low = high"), ["body", "low"], length)[1])
+            spans.append(_later(rows.where("low = high"), ["body", "low"], length, salts)[1])
             rows = rows.where("low < high")
             if rows.isEmpty():
                 break

@@ -316,6 +316,19 @@ def test_suffixes(spark, texts, hot):
     assert got == brute_suffixes(rows, suffixes.LENGTH)
 
 
+@pytest.mark.parametrize("length", [1, 5, 8, 9, 33, 100])
+def test_bucket_pointers(length):
+    """Buckets of every depth against strings compared whole: places between the strings, and after them, do not matter."""
+    rng = np.random.default_rng(length)
+    flat = rng.integers(97, 99, 3000).astype(np.uint8)
+    flat[1000:1400] = flat[:400]
+    flat[2000:2200] = flat[100:300]
+    strings = np.sort(rng.choice(len(flat) - length + 1, 1500, replace=False))
+    first: dict[bytes, int] = {}
+    want = [first.setdefault(flat[p : p + length].tobytes(), p) for p in strings.tolist()]
+    assert suffixes.refined(flat, strings, length).tolist() == want
+
+
 def test_suffixes_of_nothing(spark, docs):
     assert suffixes.cut_repeats(docs.limit(0)).count() == 0
 
