@@ -7,13 +7,12 @@ it occurs twice. The others are refined. An anchor's record holds the bytes of a
 records of a bucket come together, and inside a task all places of their strings get buckets of 8 bytes, which are refined
 by sorting on two identifiers, that of the place and that of a later one: those of 8 bytes give those of 16, these those
 of 32, and so on to `length`, with settled places left out. Equal identifiers mean equal bytes; hashes only choose anchors
-and deal them out.
+and deal them out. A record that equals an earlier one repeats each of its strings, and is not refined.
 
-Buckets with more records than `hot` are not brought together. Their records first lose copies: of equal ones all but the
-earliest repeat every string they hold. Then each bucket is refined as a table: the offsets d are halved, and a record
-goes to the bucket of the bytes that all its strings of one half share, `length` less the width of the half. A new bucket
-is refined in its turn, inside a task where it is small enough, else by halving again, down to single offsets, where
-equal bytes are equal strings and only the earliest stays.
+Buckets with more records than `hot` are not brought together: their copies are found as a table. Then each is refined as
+one: the offsets d are halved, and a record goes to the bucket of the bytes that all its strings of one half share,
+`length` less the width of the half. A new bucket is refined in its turn, inside a task where it is small enough, else by
+halving again, down to single offsets, where equal bytes are equal strings and only the earliest stays.
 
 Defined results: a null or empty text has no bytes and nothing removed; a text shorter than `length` keeps all; a long
 text is hashed in stretches that overlap, whole; order is by doc_id (null first), then, for rows that repeat one, by a
@@ -228,7 +227,14 @@ def refine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         offsets = np.frombuffer(bodies.buffers()[1], np.int32)[bodies.offset : bodies.offset + len(bodies) + 1].astype(np.int64)
         flat = np.frombuffer(bodies.buffers()[2] or b"\0", np.uint8)
         lead, tail = part["lead"].to_numpy().astype(np.int64), part["tail"].to_numpy().astype(np.int64)
-        later = later_strings(flat, offsets[:-1], lead, tail, length)
+        # a record that equals an earlier one repeats each of its strings; the others are refined
+        kind = bodies.dictionary_encode().indices.to_numpy().astype(np.int64) * (lead.max() + 1) + lead
+        fresh = np.zeros(len(kind), bool)
+        fresh[np.unique(kind, return_index=True)[1]] = True
+        d = np.arange(lead.max() + 1)
+        later = ~fresh[:, None] & (tail[:, None] <= d) & (d <= lead[:, None])
+        found = later_strings(flat, offsets[:-1][fresh], lead[fresh], tail[fresh], length)
+        later[np.flatnonzero(fresh), : found.shape[1]] = found
         # runs of starts, from the largest d (the earliest start) down
         edge = np.diff(np.pad(later, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, low = np.nonzero(edge == 1)
