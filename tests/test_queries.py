@@ -1,9 +1,10 @@
 import pytest
 
-from marketlake.plans import history, landing, market
+from marketlake.plans import caches, history, landing, market
 from tests.oracle import SF, spark_rows, sql_rows
 
-QUERIES, ORACLES = {**market.QUERIES, **history.QUERIES, **landing.QUERIES}, {**market.ORACLES, **history.ORACLES, **landing.ORACLES}
+PLANS = (market, history, landing, caches)
+QUERIES, ORACLES = {k: v for p in PLANS for k, v in p.QUERIES.items()}, {k: v for p in PLANS for k, v in p.ORACLES.items()}
 
 
 def test_every_query_has_a_twin():
