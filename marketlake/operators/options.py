@@ -63,7 +63,8 @@ def snapshots(contracts: DataFrame, today: str, days: tuple[int, int] = DAYS) ->
 
 
 def answers(payloads: DataFrame) -> DataFrame:
-    """payloads (ticker, body: JSON, error) read once: ticker, price, expirations, chains, error.
+    """payloads (ticker, body: JSON, error) read once: ticker, price, expirations, chains, error. A ticker's answer may
+    come in pages, one row each, so no row has to hold all of its contracts.
 
     error: no_price, no_options, the first characters of what the fetch said, or null. A chain that could not be fetched
     is null or not there and is passed over; the rest of its ticker counts.
@@ -90,15 +91,18 @@ def scan(payloads: DataFrame, today: str, days: tuple[int, int] = DAYS) -> tuple
     """(one row for each ticker as in snapshots(), with every kind of error; contracts inside the days) of raw payloads.
 
     The payloads are parsed once, into a table of the cluster's shared folder that the report and the contracts read.
+    A page with an error is passed over; only a ticker of which every page has one has an error, the least of them.
     """
     path = files.work_path(payloads.sparkSession, "answers")
     answers(payloads).write.parquet(path)
     read = payloads.sparkSession.read.parquet(path)
-    inside = F.filter("expirations", lambda e: F.datediff(F.try_to_date(e), F.lit(today).cast("date")).between(*days))
-    read = read.withColumn("expirations_used", F.coalesce(F.size(inside), F.lit(0)))
     live = in_window(contracts_of(read), today, days)
     found = snapshots(live, today, days).drop("price", "error", "expirations_used")
-    out = read.select("ticker", "price", F.greatest("expirations_used", F.lit(0)).alias("expirations_used"), F.coalesce("error", F.when(F.col("expirations_used") <= 0, "no_valid_expirations")).alias("error"))
+    each = read.select("ticker", "price", "error", F.explode_outer("expirations").alias("e"))
+    inside = F.datediff(F.try_to_date("e"), F.lit(today).cast("date")).between(*days)
+    out = each.groupBy("ticker").agg(F.max("price").alias("price"), F.count_distinct(F.when(inside, F.col("e"))).alias("expirations_used"), F.bool_or(F.col("error").isNull()).alias("_ok"), F.min("error").alias("error"))
+    error = F.when(~F.col("_ok"), F.col("error")).when(F.col("expirations_used") == 0, "no_valid_expirations")
+    out = out.select("ticker", "price", F.col("expirations_used").cast("int").alias("expirations_used"), error.alias("error"))
     out = out.join(found, "ticker", "left").fillna(0, ["put_volume", "call_volume", "put_oi", "call_oi"]).fillna({"unusual_activity": False, "signal": "neutral"})
     return out.withColumn("price", F.coalesce("price", F.lit(0.0))), live
 

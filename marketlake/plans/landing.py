@@ -17,9 +17,12 @@ from marketlake.operators import membership as mem
 from marketlake.plans import history, sql
 from marketlake.plans.market import _CLEAN, rounded
 from marketlake.sources import archive, files
-from marketlake.sources.tables import bars, daily_bars, market_series, nation_bars, read, trades
+from marketlake.sources.tables import bars, daily_bars, market_series, nation_bars, read, tasks, trades
 from marketlake.streaming.archives import merge_days
 
+#: Tasks' worth of contracts for each page of an expiration.
+PAGE_TASKS = 12
+
 
 def late_days_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two batches into a table by month: the second re-sends two tickers, twice, and leaves the others' bars alone."""
@@ -90,13 +93,17 @@ def regime_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def option_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw chains in JSON to one row for each ticker, with those that have no price, no options or an error."""
+    """Raw chains in JSON to one row for each ticker, with those that have no price, no options or an error. A ticker's
+    answer is a page for each expiration, and more of them as the contracts grow, so no document grows with the tables."""
     c = history._contracts(spark, sf_dir)
     contract = F.struct("strike", F.col("volume").cast("double").alias("volume"), F.col("open_interest").cast("double").alias("openInterest"), F.col("implied_volatility").alias("impliedVolatility"), F.col("contract_symbol").alias("contractSymbol"))
     side = lambda s: F.collect_list(F.when(F.col("option_type") == s, contract)).alias(f"{s}s")
-    chains = c.groupBy("ticker", "underlying_price", "expiration").agg(side("call"), side("put"))
-    body = F.to_json(F.struct(F.first("underlying_price").alias("price"), F.collect_list("expiration").alias("expirations"), F.collect_list(F.struct("expiration", "calls", "puts")).alias("chains")))
-    good = chains.groupBy("ticker").agg(body.alias("body")).withColumn("error", F.lit(None).cast("string"))
+    n = tasks(read(spark, sf_dir, "lineitem"))
+    page = ["ticker", "underlying_price", "expiration", "page"]
+    c = c.withColumn("page", F.pmod(F.xxhash64("contract_symbol"), F.lit(-(-n // PAGE_TASKS)))).repartition(n, *page)
+    chains = c.groupBy(*page).agg(side("call"), side("put"))
+    body = F.to_json(F.struct(F.col("underlying_price").alias("price"), F.array("expiration").alias("expirations"), F.array(F.struct("expiration", "calls", "puts")).alias("chains")))
+    good = chains.select("ticker", body.alias("body"), F.lit(None).cast("string").alias("error"))
     bad = [("~a", '{"expirations": ["1996-06-20"]}', None), ("~b", '{"price": 2.0, "expirations": []}', None), ("~c", None, "x" * 60), ("~d", '{"price": 3.0, "expirations": ["2000-01-01"]}', None), ("~f", '{"price": 5.0, "expirations": ["soon"], "chains": [{"expiration": "soon", "calls": [{"strike": 1.0, "volume": 5.0}], "puts": null}]}', None), ("~e", '{"price": 4.0, "expirations": ["1996-06-20"], "chains": [null]}', None)]
     snaps, _ = options.scan(good.unionByName(spark.createDataFrame(bad, good.schema)), history.TODAY)
     out = snaps.select("ticker", "price", "pcr_volume", "pcr_oi", "put_volume", "call_volume", "put_oi", "call_oi", "avg_put_iv", "avg_call_iv", "unusual_activity", "expirations_used", "signal", "error")

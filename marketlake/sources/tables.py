@@ -10,6 +10,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a stored table that a task of a shuffle takes.
+TASK_ROWS = 500_000
+
+
+def tasks(stored: DataFrame) -> int:
+    """How many tasks a shuffle of a stored table takes, so that a task's share stays as it is while the table grows.
+    Parquet's footers hold the number of rows, so no column is read."""
+    return max(1, -(-stored.count() // TASK_ROWS))
+
+
 def daily_bars(rows: DataFrame) -> DataFrame:
     """rows (ticker, date, price, volume, nth) to bars: the first and last price by nth, the extremes and the volume."""
     return rows.groupBy("ticker", "date").agg(

@@ -332,6 +332,15 @@ def test_a_date_that_is_none_does_not_end_a_scan(spark):
     assert sorted((r["option_type"], r["strike"]) for r in live.collect()) == [("call", 1.0), ("put", 2.0)]
 
 
+def test_an_answer_in_pages_is_one_row(spark):
+    page = lambda e, side, v: f'{{"price": 10.0, "expirations": ["{e}"], "chains": [{{"expiration": "{e}", "{side}s": [{{"strike": 9.0, "volume": {v}}}]}}]}}'
+    pages = [("A", page("2020-02-01", "call", 4.0), None), ("A", page("2020-02-01", "put", 6.0), None), ("A", page("2020-02-08", "put", 2.0), None), ("A", None, "HTTP 503"), ("B", None, "HTTP 503"), ("B", None, "HTTP 500")]
+    snaps, live = options.scan(spark.createDataFrame(pages, "ticker string, body string, error string"), "2020-01-01")
+    got = {r["ticker"]: r for r in snaps.collect()}
+    assert snaps.count() == 2 and live.count() == 3
+    assert (got["A"]["price"], got["A"]["expirations_used"], got["A"]["pcr_volume"], got["A"]["error"], got["B"]["error"]) == (10.0, 2, 2.0, None, "HTTP 500")
+
+
 def test_last_entry_of_the_map_counts(spark):
     body = '{"0": {"ticker": "a", "cik_str": 9}, "1": {"ticker": "B", "cik_str": 5}, "2": {"ticker": "A", "cik_str": 3}}'
     got = fu.cik_map(spark.createDataFrame([(body,)], "body string"))
