@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from marketlake.functions.numeric import half_even
 
 KEY = ("ticker", "metric", "fiscal_year", "fiscal_period", "form_type")
+#: Characters of a document that tell its range from others'.
+RANGE_CHARS = 256
 #: Members of an observation that facts() reads, with their types.
 OBSERVATION = {"val": "double", "fy": "int", "fp": "string", "start": "string", "end": "string", "filed": "string", "form": "string"}
 
@@ -266,10 +268,16 @@ def with_fundamentals(companies: DataFrame, stored: DataFrame) -> DataFrame:
 
 def cik_map(documents: DataFrame) -> DataFrame:
     """(ticker, cik) from the published map (body: JSON of {n: {ticker, cik_str}}); tickers in upper case. Of entries that
-    share a ticker the last in the document counts; of documents that do, the one with the greatest body."""
+    share a ticker the last in the document counts; of documents that do, the one with the greatest body.
+
+    A number that grows with the body stands for each document, so no entry carries its document: documents are dealt over
+    ranges of how they begin, which the driver samples, and sorted inside these on the whole of it.
+    """
+    ranges = documents.where("body is not null").repartitionByRange(F.substring("body", 1, RANGE_CHARS)).sortWithinPartitions("body")
+    ranked = ranges.select("body", F.monotonically_increasing_id().alias("rank")).repartition("rank")
     entries = F.map_values(F.from_json("body", "map<string, struct<ticker: string, cik_str: bigint>>"))
-    rows = documents.select("body", F.posexplode(entries).alias("nth", "r"))
-    return rows.groupBy(F.upper("r.ticker").alias("ticker")).agg(F.max_by("r.cik_str", F.struct("body", "nth")).cast("int").alias("cik"))
+    rows = ranked.select("rank", F.posexplode(entries).alias("nth", "r")).select("rank", "nth", F.upper("r.ticker").alias("ticker"), "r.cik_str")
+    return rows.groupBy("ticker").agg(F.max_by("cik_str", F.struct("rank", "nth")).cast("int").alias("cik"))
 
 
 def with_cik(tickers: DataFrame, ciks: DataFrame) -> DataFrame:

@@ -70,10 +70,10 @@ def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cik_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published map of tickers to numbers, one JSON document for each nation."""
+    """The published map of tickers to numbers, one JSON document for each nation, in the order of the numbers."""
     s = read(spark, sf_dir, "supplier")
     entry = F.struct(F.col("s_suppkey").cast("string").alias("key"), F.struct(F.lower("s_name").alias("ticker"), F.col("s_suppkey").cast("long").alias("cik_str")).alias("value"))
-    return fu.cik_map(s.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("body")))
+    return fu.cik_map(s.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s_suppkey", entry.alias("e"))))["e"])).alias("body")))
 
 
 def older_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

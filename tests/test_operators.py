@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,9 @@ from marketlake.operators import fundamentals as fu
 from marketlake.operators import indicators as ind
 from marketlake.operators import insider, lookup, news, options, regime, signals
 from marketlake.operators import membership as mem
+from marketlake.plans import history
 from marketlake.sources import archive, files, warehouse
+from tests.oracle import SF
 
 BARS = "ticker string, date date, open double, high double, low double, close double, volume double"
 
@@ -347,6 +350,31 @@ def test_last_entry_of_the_map_counts(spark):
     assert {r["ticker"]: r["cik"] for r in got.collect()} == {"A": 3, "B": 5}
 
 
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_entry_of_the_map_carries_its_document(spark):
+    bodies = ['{"0": {"ticker": "a", "cik_str": 1}, "1": {"ticker": "b", "cik_str": 2}}', '{"1": {"ticker": "A", "cik_str": 7}}', '{"0": {"ticker": "a", "cik_str": 4}}', "none", None]
+    got = fu.cik_map(spark.createDataFrame([(b,) for b in bodies], "body string"))
+    assert {r["ticker"]: r["cik"] for r in got.collect()} == {"A": 7, "B": 2}
+    kept = re.search(r"Generate posexplode\(.*\), \[([^\]]*)\]", plan_of(got)).group(1)
+    assert "rank" in kept and "body" not in kept
+
+
+def test_ownership_lines_are_shuffled_as_rows(spark):
+    plan = plan_of(history.insider_xml(spark, SF))
+    assert "SortAggregate" not in plan and "ownershipDocument" not in plan[plan.rindex("Exchange") :]
+    assert not re.search("nonDerivativeTransaction><transactionDate", plan[plan.rindex("ObjectHashAggregate") :])
+
+
+def test_ownership_bodies_that_are_cut_short_give_no_rows(spark):
+    whole = "<ownershipDocument><nonDerivativeTable><nonDerivativeTransaction><transactionCoding><transactionCode>\t\n P\r </transactionCode></transactionCoding></nonDerivativeTransaction></nonDerivativeTable></ownershipDocument>"
+    bodies = [whole, whole + " \n ", whole.replace("</ownershipDocument>", "</ownershipDocument >"), whole[:-1], whole[:-25], "/x>", "", None]
+    docs = spark.createDataFrame([("T", 1, str(i), "2000-01-01", b) for i, b in enumerate(bodies)], "ticker string, cik int, accession_number string, filing_date string, body string")
+    assert sorted((r["accession_number"], r["transaction_code"]) for r in insider.transactions(docs).collect()) == [("0", "P"), ("1", "P"), ("2", "P")]
+
+
 def test_news_dedup_keeps_nulls_and_tickers(spark):
     rows = [("A", 1, day(1)), ("A", 1, day(0)), ("B", 1, day(1)), ("A", None, day(0)), ("A", None, day(1))]
     df = spark.createDataFrame(rows, "ticker string, article_id long, snapshot_date date").withColumn("published_at", F.lit(None).cast("timestamp"))
