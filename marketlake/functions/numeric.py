@@ -27,7 +27,7 @@ def flag_one(text: Column) -> Column:
 
 
 def text_or_null(text: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(""))
 
 
 def half_even(col: Column, digits: int = 0) -> Column:

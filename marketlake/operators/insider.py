@@ -51,7 +51,8 @@ def transactions(documents: DataFrame) -> DataFrame:
         f" postTransactionAmounts: struct<sharesOwnedFollowingTransaction: {leaf}>, ownershipNature: struct<directOrIndirectOwnership: {leaf}>>>>>"
     )
     text = lambda c: text_or_null(F.coalesce(c["value"], c["_VALUE"]))
-    whole = F.rlike(F.rtrim("body"), F.lit(r"(?s)</\s*\w+\s*>\s*$"))
+    # the last mark is an end tag; only what follows it is searched
+    whole = F.contains("body", F.lit("<")) & F.rlike(F.substring_index("body", "<", -1), F.lit(r"^/\s*\w+\s*>\s*$"))
     parsed = documents.where(whole).withColumn("d", F.from_xml("body", schema, {"mode": "PERMISSIVE"}))
     rows = parsed.select("ticker", "cik", "accession_number", "filing_date", F.col("d.reportingOwner").alias("owners"), F.posexplode("d.nonDerivativeTable.nonDerivativeTransaction").alias("transaction_index", "t"))
     rows = rows.select("*", F.explode_outer("owners").alias("o"))

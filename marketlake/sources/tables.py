@@ -11,13 +11,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of a stored table that a task of a shuffle takes.
-TASK_ROWS = 500_000
+TASK_ROWS = 250_000
 
 
 def tasks(stored: DataFrame) -> int:
-    """How many tasks a shuffle of a stored table takes, so that a task's share stays as it is while the table grows.
-    Parquet's footers hold the number of rows, so no column is read."""
-    return max(1, -(-stored.count() // TASK_ROWS))
+    """How many tasks a shuffle of a stored table takes, so that a task's share stays as it is while the table grows; one
+    for each core at least. Parquet's footers hold the number of rows, so no column is read."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TASK_ROWS))
 
 
 def daily_bars(rows: DataFrame) -> DataFrame:
