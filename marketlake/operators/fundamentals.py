@@ -132,6 +132,12 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=["fiscal_year", "fiscal_period", "period_end", "filed_date", "form_type"])
 
 
+def by_key(rows: DataFrame, n: int) -> DataFrame:
+    """rows dealt over n tasks by KEY, so that counts by KEY need no other shuffle. Take n by the number of rows: a task's
+    share then stays as it is while they grow."""
+    return rows.repartition(n, *KEY)
+
+
 def one_per_filing(rows: DataFrame) -> DataFrame:
     """Stage 1: per metric, period, form and filing date the fact whose length is nearest the period's; where any fact
     has no start, the one that ends last. Ties fall to the order of the document, `nth`."""

@@ -375,6 +375,11 @@ def test_ownership_bodies_that_are_cut_short_give_no_rows(spark):
     assert sorted((r["accession_number"], r["transaction_code"]) for r in insider.transactions(docs).collect()) == [("0", "P"), ("1", "P"), ("2", "P")]
 
 
+def test_tasks_of_an_audit_grow_with_the_rows(spark):
+    audit = plan_of(history.dup_audit(spark, SF))
+    assert audit.count("REPARTITION_BY_NUM") == 2 and audit.index("REPARTITION_BY_NUM") > audit.rindex("HashAggregate")
+
+
 def test_news_dedup_keeps_nulls_and_tickers(spark):
     rows = [("A", 1, day(1)), ("A", 1, day(0)), ("B", 1, day(1)), ("A", None, day(0)), ("A", None, day(1))]
     df = spark.createDataFrame(rows, "ticker string, article_id long, snapshot_date date").withColumn("published_at", F.lit(None).cast("timestamp"))
