@@ -48,16 +48,26 @@ CHUNK_DOCS = 10_000
 
 def permuted(index: Column, size: Column, *key: Column | int, inverse: bool = False) -> Column:
     """A pseudorandom permutation of 0 .. size - 1, or its inverse, applied to index; key picks the permutation."""
+    return swapped(index, size, round_keys(size, *key), inverse)
+
+
+def round_keys(size: Column, *key: Column | int) -> Column:
+    """For each round what its pairs sum up to, modulo size, and what its coins are mixed with."""
     fixed = [F.lit(k) if isinstance(k, int) else k for k in key]
+    return F.array(*[F.struct(F.pmod(F.xxhash64(F.lit("k"), F.lit(r), *fixed), size).alias("sum"), F.xxhash64(F.lit("b"), F.lit(r), *fixed).alias("coin")) for r in range(ROUNDS)])
+
+
+def swapped(index: Column, size: Column, keys: Column, inverse: bool = False) -> Column:
+    """permuted() by round_keys(), which many rows may share: a round costs a row one hash of one number."""
 
     def swap(x: Column, r: Column) -> Column:
-        partner = F.pmod(F.pmod(F.xxhash64(F.lit("k"), r, *fixed), size) - x, size)
-        coin = F.xxhash64(F.lit("b"), r, F.greatest(x, partner), *fixed).bitwiseAND(F.lit(1))
+        partner = r["sum"] - x
+        partner = F.when(partner < 0, partner + size).otherwise(partner)
+        coin = F.xxhash64(F.greatest(x, partner).bitwiseXOR(r["coin"])).bitwiseAND(F.lit(1))
         return F.when(coin == 1, partner).otherwise(x)
 
     # each round swaps pairs and undoes itself, so the rounds in reverse are the inverse
-    rounds = (F.lit(ROUNDS - 1), F.lit(0)) if inverse else (F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(F.sequence(*rounds), index.cast("long"), swap)
+    return F.aggregate(F.reverse(keys) if inverse else keys, index.cast("long"), swap)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -117,11 +127,15 @@ def draw(spark: SparkSession, planned: DataFrame, shard_slots: int = SHARD_SLOTS
     )
     slots = slots.withColumn("bin", F.floor(F.col("at") / width))
     last = F.col("first_slot") + F.col("slots") - 1
-    of_bin = planned.where("slots > 0").withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor(last / width))))
+    # keys of a permutation are made once for each pass over a source, not for each slot
+    turns = F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.greatest("blocks", F.lit(1))))
+    keyed = F.transform(turns, lambda turn: round_keys(F.greatest("blocks", F.lit(1)), F.xxhash64("source"), turn, seed + 1))
+    of_bin = planned.where("slots > 0").withColumn("keys", keyed)
+    of_bin = of_bin.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first_slot") / width), F.floor(last / width))))
     mixed = slots.join(of_bin, (slots["bin"] == of_bin["bin"]) & (slots["at"] >= of_bin["first_slot"]) & (slots["at"] <= last))
     number = F.col("at") - F.col("first_slot")
     turn, within = F.floor(number / F.col("blocks")), F.pmod(number, F.col("blocks"))
-    taken = permuted(within, F.col("blocks"), F.xxhash64("source"), turn, seed + 1)
+    taken = swapped(within, F.col("blocks"), F.get("keys", turn.cast("int")))
     return mixed.select("shard", "slot", "source", taken.alias("block"), F.when(number == F.col("slots") - 1, F.col("last_words")).alias("last_words"))
 
 

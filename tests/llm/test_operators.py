@@ -553,3 +553,10 @@ def test_a_rule_that_good_documents_trip_loses_its_weight(share):
     weights = np.array(model.weights())
     kept = np.log(model.share / (1 - model.share)) + (votes == -1) @ weights[:, 0] + (votes == 1) @ weights[:, 1] >= 0
     assert kept[verse].mean() > 0.95 and kept[~junk].mean() > 0.95 and 1 - kept[junk].mean() > 0.85
+
+
+def test_rows_share_the_keys_of_a_permutation(spark):
+    n = F.lit(50).cast("long")
+    d = spark.range(50).withColumn("keys", mixing.round_keys(n, 3))
+    r = d.select(mixing.swapped(F.col("id"), n, F.col("keys")).alias("a"), mixing.permuted(F.col("id"), n, 3).alias("b")).collect()
+    assert [x["a"] for x in r] == [x["b"] for x in r] and sorted(x["a"] for x in r) == list(range(50))
