@@ -132,10 +132,10 @@ def complete(rows: DataFrame) -> DataFrame:
     return rows.dropna(subset=["fiscal_year", "fiscal_period", "period_end", "filed_date", "form_type"])
 
 
-def by_key(rows: DataFrame, n: int) -> DataFrame:
-    """rows dealt over n tasks by KEY, so that counts by KEY need no other shuffle. Take n by the number of rows: a task's
-    share then stays as it is while they grow."""
-    return rows.repartition(n, *KEY)
+def by_key(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """rows dealt over n tasks by KEY, so that aggregates by KEY need no other shuffle. Take n by the number of rows: a task's
+    share then stays as it is while they grow. Without it Spark takes the session's number."""
+    return rows.repartition(n, *KEY) if n else rows.repartition(*KEY)
 
 
 def one_per_filing(rows: DataFrame) -> DataFrame:
@@ -155,8 +155,23 @@ def first_filed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def earliest(rows: DataFrame) -> DataFrame:
+    """first_filed(one_per_filing(rows)) without nth, of complete rows, as one aggregate by KEY: only facts of a key's first
+    filing day can stay, so both picks of stage 1 are made among these. Where rows are dealt by KEY (by_key), no other
+    shuffle follows; where a reader asks for some columns only, Spark prunes the picks and what they order by."""
+    rest = [c for c in rows.columns if c not in (*KEY, "filed_date", "nth")]
+    usual = F.when(F.col("fiscal_period") == "FY", 365).otherwise(91)
+    off, last = F.abs(F.datediff("period_end", "period_start") - usual).alias("off"), (-F.unix_date("period_end")).alias("last")
+    found = rows.groupBy(*KEY).agg(
+        F.min("filed_date").alias("filed_date"), F.min(F.struct("filed_date", F.col("period_start").isNotNull().alias("all")))["all"].alias("_all"),
+        F.min_by(F.struct(*rest), F.struct("filed_date", off, last, "nth")).alias("_near"), F.min_by(F.struct(*rest), F.struct("filed_date", last, "nth")).alias("_last"),
+    )
+    picked = found.withColumn("_row", F.when(F.col("_all"), F.col("_near")).otherwise(F.col("_last")))
+    return picked.select(*[F.col(f"_row.{c}") if c in rest else c for c in rows.columns if c != "nth"])
+
+
 def parse(documents: DataFrame) -> DataFrame:
-    return first_filed(one_per_filing(complete(facts(documents)))).drop("nth")
+    return earliest(by_key(complete(facts(documents))))
 
 
 def absent(new: DataFrame, stored: DataFrame) -> DataFrame:

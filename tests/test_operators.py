@@ -216,6 +216,21 @@ def test_fundamentals_two_stages(spark):
     assert sorted((r["form_type"], r["value"]) for r in got.collect()) == [("10-K", 6.0), ("10-Q", 2.0), ("10-Q/A", 7.0)]
 
 
+def test_fundamentals_stages_at_once(spark):
+    """The one aggregate against the two stages, over keys with and without facts that lack a start; columns that nobody
+    asks for are not read, so they are not shuffled."""
+    rng = random.Random(3)
+    rows = [fact(float(i), rng.choice([None, *range(0, 90, 9)] if i % 2 else [0, 30]), 91 + rng.randint(0, 3), 100 + rng.randint(0, 2), rng.choice(["FY", "Q1"]), rng.choice(["10-K", "10-Q", None]), i) for i in range(300)]
+    rows = [(rng.choice(["A", "B", "C", None]), rng.choice("MN"), *r[2:]) for r in rows]
+    facts = fu.complete(spark.createDataFrame(rows, FACT).repartition(7))
+    want = fu.first_filed(fu.one_per_filing(facts)).drop("nth")
+    for dealt in (facts, fu.by_key(facts), fu.by_key(facts, 3)):
+        got = fu.earliest(dealt)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    used = history.fundamentals_upsert(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" in used and "l_extendedprice" not in used and "l_partkey" not in used
+
+
 def test_upsert_twice(spark, tmp_path):
     rows = spark.createDataFrame([fact(1.0, 0, 91)], FACT)
     path = str(tmp_path / "facts")
