@@ -20,7 +20,7 @@ quarter of the bits or less are candidates, whose similarity is then counted on
 the documents' number has (30 at most), so that unlike texts seldom share one. A replaced word costs five shingles but at
 most a word and two pairs, so prints of texts with scattered edits are near. Where a share p of the bits is unlike, two
 texts meet with probability 1 - (1 - (1 - p) ** bits) ** 96: for p = 0.08, 0.10 and 0.15 that is 1.000, 1.000 and 0.936 with
-22 bits (up to 65,536 texts) and 1.000, 0.984 and 0.521 with 30 (over 8 million).
+22 bits (under 65,536 texts) and 1.000, 0.984 and 0.521 with 30 (over 8 million).
 """
 
 from __future__ import annotations
