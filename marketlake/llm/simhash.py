@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,7 @@ PRINT_KEYS = 96
 KEY_SPARE = 6
 KEY_MOST = 30
 PRINT_MOST = 128
-#: Members of one key, and shingles of these, that make a tile.
+#: Rows of one shingle that make a tile, and comparisons that a pair of tiles makes, at most.
 LIKE_TILE = 512
 LIKE_VALUES = 1 << 21
 
@@ -309,7 +310,7 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (uid, doc_id, text) as classes (rep, first) of equal shingle sets, and links (u, v) between their rep.
 
     rep is the uid of a class's first document. First every class meets the first one under each of its keys; then the
-    classes of a key that no link holds together yet are compared in tasks, tile by tile, and no pairs are written. The
+    classes of keys that no link holds together yet are compared by apart(), each once, however many such keys it has. The
     links hold every group together; they are not all of its pairs.
     """
     spark = docs.sparkSession
@@ -332,14 +333,16 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = print_keys(classes, key_bits(classes.count())).withColumns({"u": F.min("rep").over(by), "n": F.count("*").over(by)})
     met = spark.read.parquet(write_shared(keyed.where("n > 1").drop("n"), "met"))
     pairs = candidates(met.where("rep != u").select("u", F.col("rep").alias("v")).distinct(), classes)
-    linked = spark.read.parquet(write_shared(similar(docs, pairs), "alike"))
+    pairs = spark.read.parquet(write_shared(pairs, "pairs"))
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()).withColumnRenamed("uid", "rep")
+    linked = spark.read.parquet(write_shared(similar(sets, pairs), "alike"))
     roots = components(linked).withColumnRenamed("node", "rep")
     rooted = met.select("key", "rep").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = spark.read.parquet(write_shared(rooted, "rooted"))
     # keys whose members are one group already are done; so are the pairs with the first of a key
     split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("rep").alias("u"))
     split = split.where("a != b and n > 2").select("key", F.col("u").alias("leader"))
-    left = rooted.join(split.hint("merge"), "key").where("rep != leader").select("key", "rep", "root")
+    left = rooted.join(split.hint("merge"), "key").where("rep != leader").select("rep", "root").distinct()
     return classes.select("rep", "first"), linked.unionByName(apart(docs, spark.read.parquet(write_shared(left, "open"))))
 
 
@@ -355,75 +358,78 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(write_shared(texts.mapInArrow(scan, "uid bigint, s array<bigint>"), "sets"))
 
 
-def root_links(reps: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], tiles: np.ndarray) -> list[tuple[int, int]]:
-    """Links of the similarity between members of unlike root (and, of two tiles, between these), thinned to a forest."""
-    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
-    owner = np.repeat(np.arange(n), sizes)
-    _, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, of = owner[count[of] > 1], of[count[of] > 1]  # a shingle of one set is in no intersection
-    by = np.argsort(of, kind="stable")
-    owner, of = owner[by], of[by]
-    new = np.r_[True, of[1:] != of[:-1]] if len(of) else np.zeros(0, bool)
-    at = np.cumsum(new) - 1
-    shared = np.zeros((n, n), np.int32)
-    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
-        lo, hi = np.searchsorted(at, [begin, begin + 2048])
-        has = np.zeros((n, 2048), np.float32)
-        has[owner[lo:hi], at[lo:hi] - begin] = 1
-        shared += (has @ has.T).astype(np.int32)  # at most 2048, so exact
+def scarce(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(h, rep, root, n, at, cap): where the sets (rep, s) of members (rep, root) look for each other, a prefix filter.
+
+    Each set is put in one order, the shingles that fewest sets hold first. Two sets that reach the similarity share one of
+    the first n - ceil(part / whole * n) + 1 shingles of either; those that no other set holds are left out, as they are in no
+    intersection. At the first shingle shared, the `at` before it are in no intersection either, so the other set has at most
+    `cap` shingles; two rows of one h can be such a pair if the n of each is within the cap of the other.
+    """
     part, whole = LIKE
-    near = shared.astype(np.int64) * (part + whole) >= part * (sizes[:, None] + sizes[None, :])
-    near &= roots[:, None] != roots[None, :]
-    if tiles.min() != tiles.max():
-        near &= tiles[:, None] != tiles[None, :]
-    i, j = np.nonzero(np.triu(near))
-    names, code = np.unique(roots, return_inverse=True)
-    _, first = np.unique(np.minimum(code[i], code[j]) * len(names) + np.maximum(code[i], code[j]), return_index=True)
-    parent = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    found = []
-    for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
-        a, b = top(int(code[x])), top(int(code[y]))
-        if a != b:
-            parent[a] = b
-            found.append((int(reps[x]), int(reps[y])))
-    return found
+    each = sets.select("rep", F.size("s").alias("n"), F.explode("s").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    held = each.join(shared.hint("merge"), "h").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("shared"))
+    held = held.withColumn("lone", F.expr("n - size(shared)"))
+    first = F.expr(f"slice(shared, 1, cast(greatest(n - ({part} * n + {whole - 1}) div {whole} + 1 - lone, 0) as int))")
+    rows = held.select("rep", "n", "lone", F.posexplode(first).alias("i", "e")).select("e.h", "rep", "n", F.expr("lone + i").alias("at"))
+    rows = rows.withColumn("cap", F.expr(f"({part + whole} * (n - at) - {part} * n) div {part}"))
+    return rows.join(members.hint("merge"), "rep").select("h", "rep", "root", "n", "at", "cap")
 
 
-def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: int = LIKE_VALUES) -> DataFrame:
-    """(u, v): links of the similarity between members (key, rep, root) of a key that are of unlike root, as a forest.
+def with_leaders(rows: DataFrame) -> DataFrame:
+    """(u, v): the pairs of rows of scarce() of unlike root in which one is the row of its h with the fewest shingles before it."""
+    lead = F.min(F.struct("at", (-F.col("n")).alias("less"), "rep", "root", "n", "cap")).alias("l")
+    lead = rows.groupBy("h").agg(lead, F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    pairs = rows.join(lead.select("h", "l").hint("merge"), "h").where("root != l.root and n <= l.cap and l.n <= cap")
+    return pairs.select(F.least("rep", "l.rep").alias("u"), F.greatest("rep", "l.rep").alias("v")).distinct()
 
-    A key's members are dealt over tiles of about `most` members and `values` shingles, and each pair of tiles is a group,
-    so no task holds more than two tiles; pairs are compared inside the task and only links that join roots leave it.
-    """
-    sets = shingle_sets(docs, members.select(F.col("rep").alias("uid")).distinct()).withColumnRenamed("uid", "rep")
-    sizes = members.join(sets.select("rep", F.size("s").alias("n")).hint("merge"), "rep").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    tiles = sizes.select("key", F.expr(f"cast(ceil(greatest(m / {most}D, n / {values}D)) as int)").alias("tiles"))
-    dealt = members.join(tiles.hint("merge"), "key").withColumn("t", F.expr(f"cast(pmod(xxhash64(rep, {SEED}), tiles) as int)"))
-    pair = F.expr("transform(sequence(0, tiles - 1), x -> struct(least(x, t) as i, greatest(x, t) as j))")
-    dealt = dealt.withColumn("p", F.explode(pair)).select("key", "p.i", "p.j", "t", "rep", "root")
 
-    def compare(key, group):
-        column = lambda name: group[name].to_numpy()
-        held = [x.values.to_numpy() for x in group["s"]]
-        found = root_links(column("rep"), column("root"), held, column("t")) if len(held) > 1 else []
-        return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
+def tiled(rows: DataFrame, width: int) -> DataFrame:
+    """The rows of scarce() whose h has two roots or more, with t: tiles of `width` rows of one h, alike in n and cap."""
+    split = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("h")
+    nth = F.row_number().over(W.partitionBy("h").orderBy("n", "cap", "rep"))
+    return rows.join(split.hint("merge"), "h").withColumn("t", ((nth - 1) / width).cast("int"))
 
-    return dealt.join(sets.hint("merge"), "rep").groupBy("key", "i", "j").applyInArrow(compare, "u long, v long")
 
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """(h, i, j): the pairs of tiles of tiled(), i <= j, that can hold a pair: of unlike root, and within the caps."""
+    said = tiles.groupBy("h", "t").agg(F.min("n").alias("lo"), F.max("cap").alias("cap"), F.min("root").alias("a"), F.max("root").alias("b"))
+    one, two = (said.select("h", *[F.col(c).alias(f"{side}_{c}") for c in ("t", "lo", "cap", "a", "b")]) for side in "ij")
+    can = "i_t <= j_t and i_lo <= j_cap and j_lo <= i_cap and least(i_a, j_a) != greatest(i_b, j_b)"
+    return one.join(two.hint("merge"), "h").where(can).select("h", F.col("i_t").alias("i"), F.col("j_t").alias("j"))
 
-def similar(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of uid, those whose whole shingle sets reach the similarity."""
+
+def in_tiles(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(u, v): the pairs of rows of unlike root and within each other's cap that the pairs (h, i, j) of tiles hold."""
+    side = lambda k, t: tiles.select("h", F.col("t").alias(t), *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "root", "n", "cap")])
+    both = pairs.join(side("u", "i").hint("merge"), ["h", "i"]).join(side("v", "j").hint("merge"), ["h", "j"])
+    both = both.where("root_u != root_v and n_u <= cap_v and n_v <= cap_u and (i < j or rep_u < rep_v)")
+    return both.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
+
+
+def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: int = LIKE_VALUES) -> DataFrame:
+    """(u, v): links of the similarity between members (rep, root) that are of unlike root; they hold every group together.
+
+    All pairs are found, by their scarce shingles, and compared on the whole sets. First each shingle's rows meet the leader,
+    which makes one root of most of a large group of near copies; what is left of unlike root is compared by tiles of up to
+    `most` rows, of which a pair makes up to `values` comparisons. Tiles of one root, or of sizes too far apart, do not meet.
+    """
     spark = docs.sparkSession
-    pairs = spark.read.parquet(write_shared(pairs, "pairs"))
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct())
-    both = pairs.join(sets.select(F.col("uid").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
-    both = both.join(sets.select(F.col("uid").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
+    members = members.select("rep", "root").distinct()
+    sets = shingle_sets(docs, members.select(F.col("rep").alias("uid"))).withColumnRenamed("uid", "rep")
+    rows = spark.read.parquet(write_shared(scarce(sets, members), "scarce"))
+    led = spark.read.parquet(write_shared(similar(sets, with_leaders(rows)), "led"))
+    roots = components(led.unionByName(members.select(F.col("rep").alias("u"), F.col("root").alias("v")))).withColumnRenamed("node", "rep")
+    rows = rows.drop("root").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    tiles = spark.read.parquet(write_shared(tiled(rows, min(most, isqrt(values))), "tiles"))
+    return led.unionByName(similar(sets, in_tiles(tiles, tile_pairs(tiles))))
+
+
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of rep, those whose whole shingle sets (rep, s) reach the similarity."""
+    both = pairs.join(sets.select(F.col("rep").alias("u"), F.col("s").alias("a")).hint("merge"), "u")
+    both = both.join(sets.select(F.col("rep").alias("v"), F.col("s").alias("b")).hint("merge"), "v")
     # sizes that differ too much cannot reach it; else shared / (all) >= part / whole, in whole numbers
     part, whole = LIKE
     near = F.expr(f"{whole} * least(size(a), size(b)) >= {part} * greatest(size(a), size(b))")

@@ -254,6 +254,44 @@ def test_members_of_a_key_are_compared_whole(spark):
     assert simhash.apart(docs, members.limit(0)).count() == 0
 
 
+def test_rows_for_members_of_a_large_group_grow_with_it(spark):
+    """Members of a group of near copies, none linked yet: pairs in tiles and leaders' pairs hold every similar pair together;
+    twice the members make about twice the rows, not four times."""
+    made = {}
+    for n in (150, 300):
+        rng = random.Random(13)
+        base = [f"w{i}" for i in range(120)]
+        rows = [(0, " ".join(base))]
+        for i in range(1, n):
+            words = list(base)
+            for at in rng.sample(range(120), rng.randint(1, 6)):
+                words[at] = f"x{i}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, "uid long, text string")
+        members = spark.createDataFrame([(i, i) for i, _ in rows], "rep long, root long")
+        sets = simhash.shingle_sets(docs, members.select(F.col("rep").alias("uid"))).withColumnRenamed("uid", "rep")
+        found = simhash.scarce(sets, members)
+        own = {r["rep"]: frozenset(r["s"]) for r in sets.collect()}
+        near = {(a, b) for a in own for b in own if a < b and 9 * len(own[a] & own[b]) >= 4 * (len(own[a]) + len(own[b]))}
+        # a row stands for a shared shingle among the first of its set, and all similar pairs meet within their caps
+        by = collections.defaultdict(list)
+        for r in found.collect():
+            assert r["h"] in own[r["rep"]] and r["at"] <= r["n"] - -(-4 * r["n"] // 5)
+            by[r["h"]].append(r)
+        met = {(min(x["rep"], y["rep"]), max(x["rep"], y["rep"])) for g in by.values() for x in g for y in g if x["rep"] != y["rep"] and x["n"] <= y["cap"] and y["n"] <= x["cap"]}
+        assert near and near <= met
+        # all pairs in tiles alone, while each member is its own root
+        tiles = simhash.tiled(found, 10)
+        assert {tuple(r) for r in simhash.in_tiles(tiles, simhash.tile_pairs(tiles)).collect()} == met
+        # the leader's links make one root of those that any link reaches; then few tiles can hold a pair
+        led = simhash.similar(sets, simhash.with_leaders(found))
+        root = {r["node"]: r["root"] for r in simhash.components(led).collect()}
+        rooted = found.drop("root").join(spark.createDataFrame([(i, root.get(i, i)) for i in own], "rep long, root long"), "rep")
+        tiles = simhash.tiled(rooted, 10)
+        made[n] = tiles.join(simhash.tile_pairs(tiles).withColumnRenamed("i", "t"), ["h", "t"]).count()
+    assert 0 < made[300] < 3 * made[150]
+
+
 def test_short_texts_that_repeat_go(spark):
     """Two short sentences are a run, at the end of a text too; one sentence is none."""
     texts = ["One. Two.", "one.  TWO.", "One. Two. Three four.", "One. Two. Three four.", "Solo.", "Solo.", "Some other words. Three four."]
