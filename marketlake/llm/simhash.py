@@ -16,7 +16,8 @@ keep_distinct() is the rule of the pipeline's stage: SimHash prints find candida
 five-word shingles have a Jaccard similarity of 0.8 or more are near copies. At 0.8 two prints differ in up to 15 % of
 their bits, more than pigeonhole blocks of a useful length allow; so this print has 512 bits, over the distinct words and
 word pairs of a text, and lies under 96 keys of bits drawn from anywhere in it. Prints that share a key and differ in a
-quarter of the bits or less are candidates, whose similarity is then counted on the whole sets. A key has 6 bits more than
+quarter of the bits or less are candidates, whose similarity is then counted on the whole sets; texts of a key that the links
+with its first do not join are compared by apart(), all with all, by a prefix filter. A key has 6 bits more than
 the documents' number has (30 at most), so that unlike texts seldom share one. A replaced word costs five shingles but at
 most a word and two pairs, so prints of texts with scattered edits are near. Where a share p of the bits is unlike, two
 texts meet with probability 1 - (1 - (1 - p) ** bits) ** 96: for p = 0.08, 0.10 and 0.15 that is 1.000, 1.000 and 0.936 with
