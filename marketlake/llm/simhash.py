@@ -54,6 +54,8 @@ PRINT_KEYS = 96
 KEY_SPARE = 6
 KEY_MOST = 30
 PRINT_MOST = 128
+#: Candidates among the firsts of its keys that a text is compared with one by one, the nearest print first; the others go to apart().
+LEADERS = 4
 #: Rows of one shingle that make a tile, and comparisons that a pair of tiles makes, at most.
 LIKE_TILE = 512
 LIKE_VALUES = 1 << 21
@@ -298,21 +300,43 @@ def print_keys(classes: DataFrame, bits: int) -> DataFrame:
     return every.select("rep", F.xxhash64("k", *[F.col("print")[w].bitwiseAND(F.col("mask")[w]) for w in range(PRINT_WORDS)]).alias("key"))
 
 
-def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (u, v) of rep, those whose prints differ in PRINT_MOST bits or fewer."""
+def differing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v, bits): the pairs (u, v) of rep, with the number of bits in which their prints differ."""
     both = pairs
     for side in ("u", "v"):
         both = both.join(classes.select(F.col("rep").alias(side), F.col("print").alias(f"print_{side}")).hint("merge"), side)
     unlike = sum((F.bit_count(F.col("print_u")[w].bitwiseXOR(F.col("print_v")[w])) for w in range(1, PRINT_WORDS)), F.bit_count(F.col("print_u")[0].bitwiseXOR(F.col("print_v")[0])))
-    return both.where(unlike <= PRINT_MOST).select("u", "v")
+    return both.select("u", "v", unlike.alias("bits"))
+
+
+def candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of rep, those whose prints differ in PRINT_MOST bits or fewer."""
+    return differing(pairs, classes).where(f"bits <= {PRINT_MOST}").select("u", "v")
+
+
+def nearest_first(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(u, v, nth): the candidates of the pairs (u, v), each with its place among those of its v, the nearest print first."""
+    near = differing(pairs, classes).where(f"bits <= {PRINT_MOST}")
+    return near.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("bits", "u"))).select("u", "v", "nth")
+
+
+def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, root): both texts of each pair (u, v) that roots (rep, root) do not hold together; a text without one is its own."""
+    for side in ("u", "v"):
+        root = roots.select(F.col("rep").alias(side), F.col("root").alias(f"root_{side}"))
+        pairs = pairs.join(root.hint("merge"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    both = pairs.sparkSession.read.parquet(write_shared(pairs.where("root_u != root_v"), "unjoined"))
+    u, v = (both.select(F.col(side).alias("rep"), F.col(f"root_{side}").alias("root")) for side in ("u", "v"))
+    return u.unionByName(v).distinct()
 
 
 def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (uid, doc_id, text) as classes (rep, first) of equal shingle sets, and links (u, v) between their rep.
 
-    rep is the uid of a class's first document. First every class meets the first one under each of its keys; then the
-    classes of keys that no link holds together yet are compared by apart(), each once, however many such keys it has. The
-    links hold every group together; they are not all of its pairs.
+    rep is the uid of a class's first document. First every class is compared with the first one under each of its keys, up to
+    LEADERS of them, since a member of a large group has another first under almost every key; then the classes of keys, and
+    of pairs left over so, that no link holds together yet are compared by apart(), each once, however many such keys it has.
+    The links hold every group together; they are not all of its pairs.
     """
     spark = docs.sparkSession
 
@@ -333,17 +357,20 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = W.partitionBy("key")
     keyed = print_keys(classes, key_bits(classes.count())).withColumns({"u": F.min("rep").over(by), "n": F.count("*").over(by)})
     met = spark.read.parquet(write_shared(keyed.where("n > 1").drop("n"), "met"))
-    pairs = candidates(met.where("rep != u").select("u", F.col("rep").alias("v")).distinct(), classes)
+    pairs = nearest_first(met.where("rep != u").select("u", F.col("rep").alias("v")).distinct(), classes)
     pairs = spark.read.parquet(write_shared(pairs, "pairs"))
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()).withColumnRenamed("uid", "rep")
-    linked = spark.read.parquet(write_shared(similar(sets, pairs), "alike"))
+    near = pairs.where(f"nth <= {LEADERS}").select("u", "v")
+    sets = shingle_sets(docs, near.select(F.explode(F.array("u", "v")).alias("uid")).distinct()).withColumnRenamed("uid", "rep")
+    linked = spark.read.parquet(write_shared(similar(sets, near), "alike"))
     roots = components(linked).withColumnRenamed("node", "rep")
     rooted = met.select("key", "rep").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = spark.read.parquet(write_shared(rooted, "rooted"))
-    # keys whose members are one group already are done; so are the pairs with the first of a key
+    # keys whose members are one group already are done; so are the pairs with the first of a key, but for those left over
     split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("rep").alias("u"))
     split = split.where("a != b and n > 2").select("key", F.col("u").alias("leader"))
-    left = rooted.join(split.hint("merge"), "key").where("rep != leader").select("rep", "root").distinct()
+    over = unjoined(pairs.where(f"nth > {LEADERS}").select("u", "v"), roots)
+    rest = rooted.join(over.select("rep").hint("merge"), "rep", "left_anti")
+    left = rest.join(split.hint("merge"), "key").where("rep != leader").select("rep", "root").unionByName(over).distinct()
     return classes.select("rep", "first"), linked.unionByName(apart(docs, spark.read.parquet(write_shared(left, "open"))))
 
 

@@ -292,6 +292,30 @@ def test_rows_for_members_of_a_large_group_grow_with_it(spark):
     assert 0 < made[300] < 3 * made[150]
 
 
+def test_leaders_compared_with_a_member_are_few(spark, monkeypatch):
+    """In a group of near copies a member has another first under most of its keys; it is compared with the nearest of them, and
+    what is left over is found all the same."""
+    rng, n, compare, seen = random.Random(17), 200, simhash.similar, []
+    texts = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(120)]
+        for at in rng.sample(range(120), rng.randint(1, 8)):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "similar", lambda sets, pairs: seen.append([r["count"] for r in pairs.groupBy("v").count().collect()]) or compare(sets, pairs))
+    kept = {r["doc_id"] for r in simhash.keep_distinct(docs).collect()}
+    assert seen[0] and max(seen[0]) <= 4
+    # against all pairs of sets
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), simhash.LIKE_SHINGLE).tolist()) for t in texts]
+    root = list(range(n))
+    for a in range(n):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert kept == set(root) and 1 < len(kept) < n
+
+
 def test_short_texts_that_repeat_go(spark):
     """Two short sentences are a run, at the end of a text too; one sentence is none."""
     texts = ["One. Two.", "one.  TWO.", "One. Two. Three four.", "One. Two. Three four.", "Solo.", "Solo.", "Some other words. Three four."]
