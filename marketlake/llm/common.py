@@ -44,10 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def write_shared(df: DataFrame, label: str, compression: str = "zstd") -> str:
-    """Write a table to the shared folder, which also cuts its lineage; returns the path."""
+def write_shared(df: DataFrame, label: str, compression: str = "zstd", group_rows: int | None = None) -> str:
+    """Write a table to the shared folder, which also cuts its lineage; returns the path.
+
+    Rows of megabytes need `group_rows`: Spark reads 4096 rows at once, and the rows of a Parquet row group (128 MB) at most.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    if group_rows:
+        out = out.option("parquet.block.row.count.limit", group_rows)
+    out.parquet(path)
     _WRITTEN.append(path)
     return path
 

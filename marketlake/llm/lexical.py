@@ -115,7 +115,8 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
             )
         trim()
 
-    path = write_shared(docs.mapInArrow(shards, _SHARD), "lexical-index")
+    # a row group for each shard, so that a task that writes or reads shards holds one at a time
+    path = write_shared(docs.mapInArrow(shards, _SHARD), "lexical-index", group_rows=1)
     return Index(docs.sparkSession.read.parquet(path), n_docs, n_terms)
 
 

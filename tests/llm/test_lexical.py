@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from marketlake.llm import lexical
@@ -97,3 +98,11 @@ def test_few_documents_are_scored_exactly(spark):
             for _, _, upper, _ in lexical._bounds(row, block, len(row["doc_ids"]), False):
                 reached, held = reached + int((upper >= threshold).sum()), held + int((upper > 0).sum())
     assert 20 <= reached < 100 < 1000 < held
+
+
+def test_a_row_group_holds_one_shard(spark, corpus):
+    """Spark reads a row group of big rows at once, so one with all shards of a task would stand in memory whole."""
+    d = spark.createDataFrame(corpus[0], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(d, shard_bytes=3000)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.rows.inputFiles()]
+    assert max(m.num_rows for m in files) > 5 and all(m.num_row_groups == m.num_rows for m in files)
