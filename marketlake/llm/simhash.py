@@ -16,8 +16,8 @@ keep_distinct() is the rule of the pipeline's stage: SimHash prints find candida
 five-word shingles have a Jaccard similarity of 0.8 or more are near copies. At 0.8 two prints differ in up to 15 % of
 their bits, more than pigeonhole blocks of a useful length allow; so this print has 512 bits, over the distinct words and
 word pairs of a text, and lies under 96 keys of bits drawn from anywhere in it. Prints that share a key and differ in a
-quarter of the bits or less are candidates, whose similarity is then counted on the whole sets; texts of a key that the links
-with its first do not join are compared by apart(), all with all, by a prefix filter. A key has 6 bits more than
+quarter of the bits or less are candidates, whose similarity is then counted on the whole sets. Prints find most links, not
+all: the links that they miss are found by unmet(), a prefix filter over all texts, so no near copy is left. A key has 6 bits more than
 the documents' number has (30 at most), so that unlike texts seldom share one. A replaced word costs five shingles but at
 most a word and two pairs, so prints of texts with scattered edits are near. Where a share p of the bits is unlike, two
 texts meet with probability 1 - (1 - (1 - p) ** bits) ** 96: for p = 0.08, 0.10 and 0.15 that is 1.000, 1.000 and 0.936 with
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marketlake.llm.common import drop_shared, fresh, numbered, pieces, scratch, table, utf8, write_shared
+from marketlake.llm.common import drop_shared, fresh, numbered, pieces, release, scratch, table, utf8, write_shared
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -54,8 +54,11 @@ PRINT_KEYS = 96
 KEY_SPARE = 6
 KEY_MOST = 30
 PRINT_MOST = 128
-#: Candidates among the firsts of its keys that a text is compared with one by one, the nearest print first; the others go to apart().
+#: Candidates among the firsts of its keys that a text is compared with one by one, the nearest print first; unmet() sees to the others.
 LEADERS = 4
+#: Rows of one shingle that unmet() compares with each other, and the part of a set by which its head is longer than one shared shingle takes.
+HEAD_ROWS = 32
+HEAD_SPARE = 16
 #: Rows of one shingle that make a tile, and comparisons that a pair of tiles makes, at most.
 LIKE_TILE = 512
 LIKE_VALUES = 1 << 21
@@ -320,39 +323,30 @@ def nearest_first(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.withColumn("nth", F.row_number().over(W.partitionBy("v").orderBy("bits", "u"))).select("u", "v", "nth")
 
 
-def unjoined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """(rep, root): both texts of each pair (u, v) that roots (rep, root) do not hold together; a text without one is its own."""
-    for side in ("u", "v"):
-        root = roots.select(F.col("rep").alias(side), F.col("root").alias(f"root_{side}"))
-        pairs = pairs.join(root.hint("merge"), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    both = pairs.sparkSession.read.parquet(write_shared(pairs.where("root_u != root_v"), "unjoined"))
-    u, v = (both.select(F.col(side).alias("rep"), F.col(f"root_{side}").alias("root")) for side in ("u", "v"))
-    return u.unionByName(v).distinct()
-
-
 def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (uid, doc_id, text) as classes (rep, first) of equal shingle sets, and links (u, v) between their rep.
 
     rep is the uid of a class's first document. First every class is compared with the first one under each of its keys, up to
-    LEADERS of them, since a member of a large group has another first under almost every key; then the classes of keys, and
-    of pairs left over so, that no link holds together yet are compared by apart(), each once, however many such keys it has.
-    The links hold every group together; they are not all of its pairs.
+    LEADERS of them, since a member of a large group has another first under almost every key; then unmet() finds what links
+    these leave, whatever the prints say. The links hold every group together; they are not all of its pairs.
     """
     spark = docs.sparkSession
 
     def scan(batches):
         for batch in pieces(batches, "text", 2 << 20):
-            sets = [np.unique(shingle_hashes(t, LIKE_SHINGLE)) for t in utf8(batch, "text")]
+            sets = [np.unique(shingle_hashes(t, LIKE_SHINGLE).view(np.int64)) for t in utf8(batch, "text")]
             import xxhash
 
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
             prints = pa.array([wide_print(t).view(np.int64) if len(s) else None for t, s in zip(utf8(batch, "text"), sets, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digest, prints], names=["uid", "doc_id", "digest", "print"])
+            heads = pa.array([s[: head_size(len(s))] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], digest, prints, pa.array([len(s) for s in sets], pa.int64()), heads], names=["uid", "doc_id", "digest", "print", "n", "head"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = docs.select("uid", "doc_id", "text").mapInArrow(scan, f"uid bigint, doc_id {kind}, digest binary, print array<bigint>")
+    signed = docs.select("uid", "doc_id", "text").mapInArrow(scan, f"uid bigint, doc_id {kind}, digest binary, print array<bigint>, n bigint, head array<bigint>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
-    classes = signed.groupBy("digest").agg(first.alias("first"), F.any_value("print").alias("print")).select(F.col("first.uid").alias("rep"), "first", "print")
+    same = [F.any_value(c).alias(c) for c in ("print", "n", "head")]  # equal sets: n and head are equal, and any print will do
+    classes = signed.groupBy("digest").agg(first.alias("first"), *same).select(F.col("first.uid").alias("rep"), "first", "print", "n", "head")
     classes = spark.read.parquet(write_shared(classes, "classes"))
     by = W.partitionBy("key")
     keyed = print_keys(classes, key_bits(classes.count())).withColumns({"u": F.min("rep").over(by), "n": F.count("*").over(by)})
@@ -363,15 +357,65 @@ def alike(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = shingle_sets(docs, near.select(F.explode(F.array("u", "v")).alias("uid")).distinct()).withColumnRenamed("uid", "rep")
     linked = spark.read.parquet(write_shared(similar(sets, near), "alike"))
     roots = components(linked).withColumnRenamed("node", "rep")
-    rooted = met.select("key", "rep").join(roots.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = spark.read.parquet(write_shared(rooted, "rooted"))
-    # keys whose members are one group already are done; so are the pairs with the first of a key, but for those left over
-    split = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"), F.min("rep").alias("u"))
-    split = split.where("a != b and n > 2").select("key", F.col("u").alias("leader"))
-    over = unjoined(pairs.where(f"nth > {LEADERS}").select("u", "v"), roots)
-    rest = rooted.join(over.select("rep").hint("merge"), "rep", "left_anti")
-    left = rest.join(split.hint("merge"), "key").where("rep != leader").select("rep", "root").unionByName(over).distinct()
-    return classes.select("rep", "first"), linked.unionByName(apart(docs, spark.read.parquet(write_shared(left, "open"))))
+    release(spark)
+    return classes.select("rep", "first"), linked.unionByName(unmet(docs, classes, roots))
+
+
+def head_size(n: int) -> int:
+    """How many of the n shingles of a set, in an order that all sets share, make its head: of two similar sets, the heads share
+    one shingle more than the lesser of both n has in HEAD_SPARE parts.
+
+    A set has part / whole of its shingles or more in common with a similar one. Up to the lesser of both heads' last shingles
+    that head is whole, and all but n - ceil(part / whole * n) of it are shared, so the other head has them too.
+    """
+    part, whole = LIKE
+    return n and n - -(-part * n // whole) + 1 + n // HEAD_SPARE
+
+
+def unmet(docs: DataFrame, classes: DataFrame, roots: DataFrame, most: int = HEAD_ROWS) -> DataFrame:
+    """(u, v): links between classes (rep, n, head) of unlike root, roots (rep, root); they hold every group together.
+
+    All pairs that share a shingle which up to `most` heads have are compared. A pair that shares none of these shares only
+    frequent ones, and by head_size() so many that either set has more than ceil(part / whole * n) / HEAD_SPARE frequent ones
+    in its head. Such sets are members of apart(), which compares all its members by their scarcest shingles.
+    """
+    spark, (part, whole) = docs.sparkSession, LIKE
+    rows = spark.read.parquet(write_shared(shared_heads(classes, roots), "heads"))
+    split = rows.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a != b")
+    rows = spark.read.parquet(write_shared(rows.join(split.select("h", "c").hint("merge"), "h"), "split-heads"))
+    few = rows.where(f"c <= {most}")
+    side = lambda k: few.select("h", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "root", "n")])
+    pairs = side("u").join(side("v").hint("merge"), "h").where(f"rep_u < rep_v and root_u != root_v and {part} * n_u <= {whole} * n_v and {part} * n_v <= {whole} * n_u")
+    pairs = spark.read.parquet(write_shared(possible(pairs.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).distinct(), classes), "possible"))
+    often = rows.where(f"c > {most}").groupBy("rep", "root", "n").agg(F.count("*").alias("c"))
+    members = often.where(f"c > (({part} * n + {whole - 1}) div {whole}) div {HEAD_SPARE}").select("rep", "root")
+    members = spark.read.parquet(write_shared(members, "open"))
+    release(spark)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("uid")).unionByName(members.select(F.col("rep").alias("uid"))).distinct()
+    sets = shingle_sets(docs, wanted).withColumnRenamed("uid", "rep")
+    return similar(sets, pairs).unionByName(apart(docs, members, sets=sets))
+
+
+def shared_heads(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h, rep, root, n): the shingles h that the heads of two or more classes (rep, n, head) have."""
+    rows = classes.select("rep", "n", F.explode("head").alias("h"))
+    rows = rows.withColumn("c", F.count("*").over(W.partitionBy("h"))).where("c > 1")
+    return rows.join(roots.hint("merge"), "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("root"), "n")
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the pairs (u, v) of rep, those that can be similar by their heads; no similar pair goes.
+
+    Up to the lesser of both heads' last shingles the heads hold all of either set, so what one has there and the other has
+    not is in no intersection.
+    """
+    part, whole = LIKE
+    both = pairs
+    for k in ("u", "v"):
+        both = both.join(classes.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("head").alias(f"head_{k}")).hint("merge"), k)
+    both = both.withColumns({"last": F.expr("least(element_at(head_u, -1), element_at(head_v, -1))"), "shared": F.expr("size(array_intersect(head_u, head_v))")})
+    can = [f"{part + whole} * (n_{k} - size(filter(head_{k}, x -> x <= last)) + shared) >= {part} * (n_u + n_v)" for k in ("u", "v")]
+    return both.where(" and ".join(can)).select("u", "v")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -436,8 +480,9 @@ def in_tiles(tiles: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v")).distinct()
 
 
-def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: int = LIKE_VALUES) -> DataFrame:
+def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: int = LIKE_VALUES, sets: DataFrame | None = None) -> DataFrame:
     """(u, v): links of the similarity between members (rep, root) that are of unlike root; they hold every group together.
+    sets: the shingle sets (rep, s) of the members, and maybe of others, where they are written already.
 
     All pairs are found, by their scarce shingles, and compared on the whole sets. First each shingle's rows meet the leader,
     which makes one root of most of a large group of near copies; what is left of unlike root is compared by tiles of up to
@@ -445,7 +490,10 @@ def apart(docs: DataFrame, members: DataFrame, most: int = LIKE_TILE, values: in
     """
     spark = docs.sparkSession
     members = members.select("rep", "root").distinct()
-    sets = shingle_sets(docs, members.select(F.col("rep").alias("uid"))).withColumnRenamed("uid", "rep")
+    if sets is None:
+        sets = shingle_sets(docs, members.select(F.col("rep").alias("uid"))).withColumnRenamed("uid", "rep")
+    else:
+        sets = sets.join(members.select("rep").hint("merge"), "rep", "left_semi")
     rows = spark.read.parquet(write_shared(scarce(sets, members), "scarce"))
     led = spark.read.parquet(write_shared(similar(sets, with_leaders(rows)), "led"))
     roots = components(led.unionByName(members.select(F.col("rep").alias("u"), F.col("root").alias("v")))).withColumnRenamed("node", "rep")

@@ -336,3 +336,30 @@ def test_mix_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(n, f"some words {n} " * 40, "s", "kept", n) for n in range(30)], "doc_id long, text string, source string, _parts string, row int")
     got = mixing.mixed_documents(docs, n_chars=None)
     assert got.columns == docs.columns and got.where("_parts = 'kept'").count() == got.count() > 0
+
+
+def test_near_copies_that_no_print_finds(spark, monkeypatch):
+    """Links do not depend on prints: without a key, and where many texts share a line, every pair at 0.8 is found."""
+    rng, line = random.Random(23), " ".join(f"line{i}" for i in range(30))
+    rows = [(1000 + i, f"only {i} of its kind {' '.join(f'o{i}x{j}' for j in range(60))} {line}") for i in range(40)]
+    for g in range(12):
+        base = [f"g{g}w{rng.randint(0, 60)}" for _ in range(rng.choice([8, 60, 200]))]
+        for k in range(4):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randint(0, max(1, len(words) // 45))):
+                words[at] = f"x{rng.randint(0, 9999)}"
+            rows.append((10 * g + k, " ".join([*words, line] if g % 2 else words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(simhash.shingle_hashes(t.encode(), simhash.LIKE_SHINGLE).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if root[a] != root[b] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                root = {i: min(root[a], root[b]) if r in (root[a], root[b]) else r for i, r in root.items()}
+    assert 40 < len(set(root.values())) < len(root) - 10
+    kept = lambda: {r["doc_id"] for r in simhash.keep_distinct(docs).collect()}
+    assert kept() == set(root.values())
+    monkeypatch.setattr(simhash, "print_keys", lambda classes, bits: classes.select("rep", F.xxhash64("rep").alias("key")))
+    assert kept() == set(root.values())
+    monkeypatch.setattr(simhash.unmet, "__defaults__", (2,))
+    assert kept() == set(root.values())
